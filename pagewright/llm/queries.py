@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, plainform
+from . import leak, packing, plainform
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -37,7 +37,16 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return packed.where("piece = 2").select("doc_id", "kind_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_texts, p7_found, p7_containers)}
+def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that carry two fifths of a held-out passage or more, with the words covered."""
+    return leak.leaks(_read(spark, folder, "documents"), _read(spark, folder, "bench_item"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_leaks(spark, folder).select("doc_id", "item_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_texts, p7_found, p7_containers, p8_found, p8_leaks)}
 
 _MARKED = "[\\x{300}-\\x{36f}\\x{a0}\\x{ad}\\x{1680}\\x{2000}-\\x{200f}\\x{202a}-\\x{202f}\\x{205f}-\\x{206f}\\x{3000}\\x{feff}\\x{ff01}-\\x{ff5e}\\x{fb00}-\\x{fb06}ɑıɡÐðƉɖ]"
 _LOOKS = "".join(sorted(plainform.LOOKALIKE))
