@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from .textkit import word_bytes
 
 #: Words of a seed, the least length of a tile.
-SEED = 4
+SEED = 6
+#: Words that a group of neighbouring tiles must have together to count; shorter ones are common phrases.
+GROUP = 11
 #: Words that may be replaced between two tiles of the same alignment and still count as covered.
 BRIDGE = 2
 #: A seed that stands in more passages than this doesn't by itself make a passage a candidate.
@@ -70,18 +72,21 @@ def tile(pairs: np.ndarray, seed: int = SEED) -> list[tuple[int, int, int]]:
     return tiles
 
 
-def covered(tiles: list[tuple[int, int, int]], bridge: int = BRIDGE) -> int:
-    """Words of the passage under tiles, with gaps of up to bridge words between neighbours of nearly one alignment."""
-    tiles = sorted(tiles, key=lambda t: t[1])
-    total, last = 0, None
-    for d, p, n in tiles:
-        total += n
-        if last is not None:
-            gap_p, gap_d = p - last[1], d - last[0]
-            if 0 < gap_p <= bridge and 0 <= gap_d <= bridge + 1:
-                total += gap_p
+def covered(tiles: list[tuple[int, int, int]], bridge: int = BRIDGE, group: int = GROUP) -> int:
+    """Words of the passage under tiles, with gaps of up to bridge words between neighbours of nearly one alignment.
+
+    Neighbouring tiles of nearly one alignment form a group; groups of fewer than group words don't count.
+    """
+    total, run, last = 0, 0, None
+    for d, p, n in sorted(tiles, key=lambda t: t[1]):
+        gap_p, gap_d = (p - last[1], d - last[0]) if last else (99, 99)
+        if gap_p <= SEED + bridge and abs(gap_d - gap_p) <= bridge and gap_d >= 0:
+            run += n + (gap_p if gap_p <= bridge else 0)
+        else:
+            total += run if run >= group else 0
+            run = n
         last = (d + n, p + n)
-    return total
+    return total + (run if run >= group else 0)
 
 
 class Passages:
