@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leak, packing, plainform
+from . import leak, packing, plainform, reading
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -46,7 +46,21 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_leaks(spark, folder).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_texts, p7_found, p7_containers, p8_found, p8_leaks)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _read(spark, folder, "documents")
+    texts, levels = reading.rated_sample(documents, _read(spark, folder, "level_label"))
+    return reading.bands(documents, reading.fit(texts, levels)).select("doc_id", "band").distinct()
+
+
+def p9_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and words of each band, by source."""
+    documents = _read(spark, folder, "documents")
+    texts, levels = reading.rated_sample(documents, _read(spark, folder, "level_label"))
+    banded = reading.bands(documents.select("doc_id", "text"), reading.fit(texts, levels))
+    return banded.join(documents.select("doc_id", "source"), "doc_id").groupBy("source", "band").agg(F.count("*").alias("n_docs"), F.sum("words").alias("n_words"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_texts, p7_found, p7_containers, p8_found, p8_leaks, p9_found, p9_profile)}
 
 _MARKED = "[\\x{300}-\\x{36f}\\x{a0}\\x{ad}\\x{1680}\\x{2000}-\\x{200f}\\x{202a}-\\x{202f}\\x{205f}-\\x{206f}\\x{3000}\\x{feff}\\x{ff01}-\\x{ff5e}\\x{fb00}-\\x{fb06}ɑıɡÐðƉɖ]"
 _LOOKS = "".join(sorted(plainform.LOOKALIKE))
