@@ -5,13 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leak, packing, plainform, reading
+from . import canon, leak, packing, plainform, reading
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def _p1_values(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    reference = _read(spark, folder, "ref_value")
+    fields = [r[0] for r in reference.select("field_name").where("field_name is not null").distinct().limit(1000).collect()]
+    values = canon.field_values(_read(spark, folder, "ocr_result"), fields)
+    return values, canon.map_values(values, reference, canon.word_counts(values), ["result_id"])
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _p1_values(spark, folder)[1].distinct()
+
+
+def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """Values that stand for no entry, with their counts."""
+    values, mapped = _p1_values(spark, folder)
+    return canon.unmatched(values, mapped, ["result_id"])
+
+
 def p6_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Texts of train and ocr_box whose plain form differs, with that form."""
     rows = _read(spark, folder, "train").select(F.lit("train").alias("origin"), F.col("line_id").alias("row_id"), "text").unionByName(
@@ -60,7 +77,7 @@ def p9_profile(spark: SparkSession, folder: str) -> DataFrame:
     return banded.join(documents.select("doc_id", "source"), "doc_id").groupBy("source", "band").agg(F.count("*").alias("n_docs"), F.sum("words").alias("n_words"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_texts, p7_found, p7_containers, p8_found, p8_leaks, p9_found, p9_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p6_found, p6_texts, p7_found, p7_containers, p8_found, p8_leaks, p9_found, p9_profile)}
 
 _MARKED = "[\\x{300}-\\x{36f}\\x{a0}\\x{ad}\\x{1680}\\x{2000}-\\x{200f}\\x{202a}-\\x{202f}\\x{205f}-\\x{206f}\\x{3000}\\x{feff}\\x{ff01}-\\x{ff5e}\\x{fb00}-\\x{fb06}ɑıɡÐðƉɖ]"
 _LOOKS = "".join(sorted(plainform.LOOKALIKE))
