@@ -26,6 +26,8 @@ COMMON = 20_000
 MAX_ENTRIES = 100_000
 #: A word of a value counts as a word of its own beside the entry's if it is at least so common against it, in the field.
 OWN_WORD = 0.05
+#: ... and makes up at least this share of the field's words.
+OWN_SHARE = 0.0008
 
 # Words that may stand before or after a value of a field (folded, only letters).
 DECORATIONS = {
@@ -111,6 +113,7 @@ class Canon:
     def __init__(self, field: str, entries: Iterable[tuple[int, str]], counts: dict[str, int]) -> None:
         self.names = {i: name for i, name in entries}
         self.counts = counts
+        self.least = OWN_SHARE * sum(counts.values())
         self.folded: dict[str, int] = {}
         for w, c in counts.items():
             f = strip_marks(w)
@@ -175,7 +178,7 @@ class Canon:
             if fa == fb:
                 continue
             seen, usual = (self.folded.get(fa, 0), self.folded.get(fb, 1)) if folded else (self.counts.get(a, 0), self.counts.get(b, 1))
-            if seen < OWN_WORD * usual:
+            if seen < max(OWN_WORD * usual, self.least):
                 return False
             different += 1
         return different > 0
