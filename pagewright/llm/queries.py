@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import canon, leak, packing, plainform, reading
+from . import canon, leak, overlap, packing, plainform, reading
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -29,6 +29,21 @@ def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return canon.unmatched(values, mapped, ["result_id"])
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = overlap.overlaps(_read(spark, folder, "train_annotation"))
+    return found.select(F.least("train_id", "held_id").alias("sample_a"), F.greatest("train_id", "held_id").alias("sample_b"))
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlaps and distinct held-out records by split and source of the held-out record and way of finding."""
+    rows = _read(spark, folder, "train_annotation")
+    held = rows.select(F.col("sample_id").alias("held_id"), "split", "source")
+    return (
+        overlap.overlaps(rows).join(held, "held_id").groupBy("split", "source", "by_path", "by_label")
+        .agg(F.count("*").alias("n_pairs"), F.countDistinct("held_id").alias("n_records"))
+    )
+
+
 def p6_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Texts of train and ocr_box whose plain form differs, with that form."""
     rows = _read(spark, folder, "train").select(F.lit("train").alias("origin"), F.col("line_id").alias("row_id"), "text").unionByName(
@@ -77,7 +92,7 @@ def p9_profile(spark: SparkSession, folder: str) -> DataFrame:
     return banded.join(documents.select("doc_id", "source"), "doc_id").groupBy("source", "band").agg(F.count("*").alias("n_docs"), F.sum("words").alias("n_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p6_found, p6_texts, p7_found, p7_containers, p8_found, p8_leaks, p9_found, p9_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p5_found, p5_report, p6_found, p6_texts, p7_found, p7_containers, p8_found, p8_leaks, p9_found, p9_profile)}
 
 _MARKED = "[\\x{300}-\\x{36f}\\x{a0}\\x{ad}\\x{1680}\\x{2000}-\\x{200f}\\x{202a}-\\x{202f}\\x{205f}-\\x{206f}\\x{3000}\\x{feff}\\x{ff01}-\\x{ff5e}\\x{fb00}-\\x{fb06}ɑıɡÐðƉɖ]"
 _LOOKS = "".join(sorted(plainform.LOOKALIKE))
