@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import canon, leak, overlap, packing, plainform, reading
+from . import canon, leak, overlap, packing, plainform, reading, scannoise
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -29,6 +29,18 @@ def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return canon.unmatched(values, mapped, ["result_id"])
 
 
+def p4_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's text, from its lines and from its boxes, in paragraphs, with the noisy spots."""
+    results, boxes = _read(spark, folder, "ocr_result"), _read(spark, folder, "ocr_box")
+    texts = scannoise.text_pages(results)
+    pages = texts.unionByName(scannoise.box_pages(boxes, results))
+    return scannoise.repair(pages, scannoise.running_heads(texts), scannoise.vocabulary(results))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_texts(spark, folder).select("result_id", "unit", F.explode("spots").alias("s")).select("result_id", "unit", "s.pos", "s.kind")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     found = overlap.overlaps(_read(spark, folder, "train_annotation"))
     return found.select(F.least("train_id", "held_id").alias("sample_a"), F.greatest("train_id", "held_id").alias("sample_b"))
@@ -92,7 +104,7 @@ def p9_profile(spark: SparkSession, folder: str) -> DataFrame:
     return banded.join(documents.select("doc_id", "source"), "doc_id").groupBy("source", "band").agg(F.count("*").alias("n_docs"), F.sum("words").alias("n_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p5_found, p5_report, p6_found, p6_texts, p7_found, p7_containers, p8_found, p8_leaks, p9_found, p9_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p4_found, p4_texts, p5_found, p5_report, p6_found, p6_texts, p7_found, p7_containers, p8_found, p8_leaks, p9_found, p9_profile)}
 
 _MARKED = "[\\x{300}-\\x{36f}\\x{a0}\\x{ad}\\x{1680}\\x{2000}-\\x{200f}\\x{202a}-\\x{202f}\\x{205f}-\\x{206f}\\x{3000}\\x{feff}\\x{ff01}-\\x{ff5e}\\x{fb00}-\\x{fb06}ɑıɡÐðƉɖ]"
 _LOOKS = "".join(sorted(plainform.LOOKALIKE))
