@@ -34,7 +34,8 @@ def p4_texts(spark: SparkSession, folder: str) -> DataFrame:
     results, boxes = _read(spark, folder, "ocr_result"), _read(spark, folder, "ocr_box")
     texts = scannoise.text_pages(results)
     pages = texts.unionByName(scannoise.box_pages(boxes, results))
-    return scannoise.repair(pages, scannoise.running_heads(texts), scannoise.vocabulary(results))
+    heads, openers = scannoise.running_heads(texts)
+    return scannoise.repair(pages, heads, scannoise.vocabulary(results), openers)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
