@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import canon, leak, overlap, packing, plainform, reading, scannoise
+from . import addressing, canon, leak, overlap, packing, personal, plainform, reading, scannoise
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -29,6 +29,22 @@ def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return canon.unmatched(values, mapped, ["result_id"])
 
 
+def _place_words(spark: SparkSession, folder: str) -> addressing.PlaceWords:
+    provinces = _read(spark, folder, "ref_value").where("field_name = 'tinh_thanh'").select("canonical").limit(1000)
+    return addressing.place_words(_read(spark, folder, "ocr_result"), reference=[r[0] for r in provinces.collect() if r[0]])
+
+
+def p3_masked(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text and map value with placeholders for its personal items, and the items."""
+    results = _read(spark, folder, "ocr_result")
+    return personal.scan(results, personal.learn_names(results), _place_words(spark, folder))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    items = p3_masked(spark, folder).select("result_id", "field_name", F.explode("items").alias("i"))
+    return items.select("result_id", "field_name", "i.kind", "i.start_pos").distinct()
+
+
 def p4_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Every page's text, from its lines and from its boxes, in paragraphs, with the noisy spots."""
     results, boxes = _read(spark, folder, "ocr_result"), _read(spark, folder, "ocr_box")
@@ -105,7 +121,7 @@ def p9_profile(spark: SparkSession, folder: str) -> DataFrame:
     return banded.join(documents.select("doc_id", "source"), "doc_id").groupBy("source", "band").agg(F.count("*").alias("n_docs"), F.sum("words").alias("n_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p4_found, p4_texts, p5_found, p5_report, p6_found, p6_texts, p7_found, p7_containers, p8_found, p8_leaks, p9_found, p9_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p3_masked, p4_found, p4_texts, p5_found, p5_report, p6_found, p6_texts, p7_found, p7_containers, p8_found, p8_leaks, p9_found, p9_profile)}
 
 _MARKED = "[\\x{300}-\\x{36f}\\x{a0}\\x{ad}\\x{1680}\\x{2000}-\\x{200f}\\x{202a}-\\x{202f}\\x{205f}-\\x{206f}\\x{3000}\\x{feff}\\x{ff01}-\\x{ff5e}\\x{fb00}-\\x{fb06}ɑıɡÐðƉɖ]"
 _LOOKS = "".join(sorted(plainform.LOOKALIKE))
