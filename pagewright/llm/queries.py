@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import addressing, canon, leak, overlap, packing, personal, plainform, reading, scannoise
+from . import addressing, canon, leak, overlap, packing, personal, places, plainform, reading, scannoise
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -34,6 +34,17 @@ def _place_words(spark: SparkSession, folder: str) -> addressing.PlaceWords:
     return addressing.place_words(_read(spark, folder, "ocr_result"), reference=[r[0] for r in provinces.collect() if r[0]])
 
 
+def p2_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Every result with an address and the place it denotes."""
+    words = _place_words(spark, folder)
+    addresses = places.read_addresses(_read(spark, folder, "ocr_result"), words)
+    return places.places(places.linked(addresses, places.gazetteer(addresses, words)))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return places.pairs(p2_places(spark, folder))
+
+
 def p3_masked(spark: SparkSession, folder: str) -> DataFrame:
     """Every text and map value with placeholders for its personal items, and the items."""
     results = _read(spark, folder, "ocr_result")
@@ -121,7 +132,7 @@ def p9_profile(spark: SparkSession, folder: str) -> DataFrame:
     return banded.join(documents.select("doc_id", "source"), "doc_id").groupBy("source", "band").agg(F.count("*").alias("n_docs"), F.sum("words").alias("n_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p3_masked, p4_found, p4_texts, p5_found, p5_report, p6_found, p6_texts, p7_found, p7_containers, p8_found, p8_leaks, p9_found, p9_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_places, p3_found, p3_masked, p4_found, p4_texts, p5_found, p5_report, p6_found, p6_texts, p7_found, p7_containers, p8_found, p8_leaks, p9_found, p9_profile)}
 
 _MARKED = "[\\x{300}-\\x{36f}\\x{a0}\\x{ad}\\x{1680}\\x{2000}-\\x{200f}\\x{202a}-\\x{202f}\\x{205f}-\\x{206f}\\x{3000}\\x{feff}\\x{ff01}-\\x{ff5e}\\x{fb00}-\\x{fb06}ɑıɡÐðƉɖ]"
 _LOOKS = "".join(sorted(plainform.LOOKALIKE))
