@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.persist import cut
 from . import addressing, canon, leak, overlap, packing, personal, places, plainform, reading, scannoise
 
 
@@ -37,8 +38,9 @@ def _place_words(spark: SparkSession, folder: str) -> addressing.PlaceWords:
 def p2_places(spark: SparkSession, folder: str) -> DataFrame:
     """Every result with an address and the place it denotes."""
     words = _place_words(spark, folder)
-    addresses = places.read_addresses(_read(spark, folder, "ocr_result"), words)
-    return places.places(places.linked(addresses, places.gazetteer(addresses, words)))
+    addresses = cut(places.read_addresses(_read(spark, folder, "ocr_result"), words))
+    links = cut(places.linked(addresses, places.gazetteer(addresses, words)))
+    return cut(places.places(links))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,7 +101,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     """Every text in containers of every kind."""
     kinds = packing.container_kinds(_read(spark, folder, "container_kind"))
-    return packing.repack(packing.pack(packing.sizes(_read(spark, folder, "documents")), kinds), kinds)
+    return packing.repack(cut(packing.pack(packing.sizes(_read(spark, folder, "documents")), kinds)), kinds)
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
