@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,10 +40,7 @@ def nfc(col: Column | str) -> Column:
 
     The few code points that change under composition without a mark (singletons such as the Angstrom sign) are kept.
     """
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
+    @F.pandas_udf("string")
     def compose(s: pd.Series) -> pd.Series:
         return s.map(lambda t: unicodedata.normalize("NFC", t) if t is not None and not t.isascii() else t)
 
@@ -79,12 +77,12 @@ def peel(col: Column | str) -> Column:
 
 def typography(col: Column | str) -> Column:
     """Spacing of stops and stray signs: no blank before a stop, one after a comma or colon outside numbers and paths,
-    lone accents and quotes dropped, runs of blanks made one, ends trimmed."""
+    lone accents and quotes between blanks dropped, runs of blanks made one, white space at the ends trimmed."""
     c = F.col(col) if isinstance(col, str) else col
     c = F.regexp_replace(c, r"\s+([:,.?!;])", "$1")
-    c = F.regexp_replace(c, r"([,:])(?=[^\s\d/])", "$1 ")
-    c = F.regexp_replace(c, r"(?<=^|\s)[~^`'\"](?=\s|$)", "")
-    return F.trim(F.regexp_replace(c, r"[ \t]+", " "))
+    c = F.regexp_replace(c, r"([,:])([^\s0-9/])", "$1 $2")
+    c = F.regexp_replace(c, r"(?<=\s)[~^`'\"](?=\s)", "")
+    return F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"^\s+|\s+$", "")
 
 
 def like_case(original: Column, word: Column) -> Column:

@@ -20,10 +20,11 @@ def latest_results(stream: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def progress(stream: DataFrame, time: str, width: str = "1 day", late: str = "7 days", failed: str = "error") -> DataFrame:
     """(start, n, n_failed) by window of event time; rows later than `late` are dropped by the watermark, null times too."""
+    kind = stream.schema[time].dataType.simpleString()
     return (
-        stream.where(F.col(time).isNotNull()).withWatermark(time, late).groupBy(F.window(time, width))
+        stream.where(F.col(time).isNotNull()).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width))
         .agg(F.count("*").alias("n"), F.count_if(F.col(failed).isNotNull()).alias("n_failed"))
-        .select(F.col("window.start").alias("start"), "n", "n_failed")
+        .select(F.col("window.start").cast(kind).alias("start"), "n", "n_failed")
     )
 
 
