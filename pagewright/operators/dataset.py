@@ -87,7 +87,7 @@ LABEL_RULES = (
     (r"\bm[aã]\s+h[aà]ng\b", "Mã hàng"), (r"\bt[eê]n\s+h[aà]ng\b", "Tên hàng"), (r"\b[đd][oơ]n\s*gi[aá]\b", "Đơn giá"),
     (r"\bth[aà]nh\s*ti[eề]n\b", "Thành tiền"), (r"\bs[oố]\s+l[uư][oợ]ng\b", "Số lượng"), (r"\bghi\s+ch[uú]\b", "Ghi chú"),
     (r"\bt[oổ]ng\s+c[oộ]ng\b", "Tổng cộng"), (r"\b[đd][oơ]n\s+v[iị]\s+t[ií]nh\b", "Đơn vị tính"), (r"\bk[yý]\s+t[eê]n\b", "Ký tên"),
-    (r"\bs[oố]\s+(\d+)", "Số $1"), (r"\bph[oò]ng\s+k[eế]\s+to[aá]n\b", "Phòng kế toán"), (r"\b[đd]vt\b", "ĐVT"),
+    (r"\bs[oố]\s+(\d+)", "Số $1"), (r"\bph[oò]ng\s+k[eế]\s+to[aá]n\b", "Phòng kế toán"), (r"\b[ĐD][Vv][Tt]\b", "ĐVT"),
 )
 
 

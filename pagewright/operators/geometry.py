@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ SIDE_SHARE, ASPECT, PARALLEL_DEGREES, AREA_SHARE = 0.35, (0.35, 2.8), 14.0, 0.20
 APART, LEAST_AREA = 15.0, 100.0
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is worked out once, however often the expression uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -24,8 +31,11 @@ def line_of(p: Column, q: Column) -> Column:
 
 def intersection(m: Column, n: Column) -> Column:
     """The point where two lines meet, null for (nearly) parallel ones."""
-    det = m["a"] * n["b"] - n["a"] * m["b"]
-    return F.when(F.abs(det) >= 1e-6, F.struct(((m["b"] * n["c"] - n["b"] * m["c"]) / det).alias("x"), ((n["a"] * m["c"] - m["a"] * n["c"]) / det).alias("y")))
+    def meet(m: Column, n: Column) -> Column:
+        det = m["a"] * n["b"] - n["a"] * m["b"]
+        return F.when(F.abs(det) >= 1e-6, F.struct(((m["b"] * n["c"] - n["b"] * m["c"]) / det).alias("x"), ((n["a"] * m["c"] - m["a"] * n["c"]) / det).alias("y")))
+
+    return let(F.struct(m.alias("m"), n.alias("n")), lambda b: meet(b["m"], b["n"]))
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -44,20 +54,30 @@ def order_points(points: Column) -> Column:
 
     Equal sums or differences: the point written first.
     """
-    by = lambda key: F.array_sort(F.transform(points, lambda p, i: F.struct(key(p).alias("k"), i.alias("i"), p.alias("p"))))
-    pick = lambda key: by(key)[0]["p"]
-    four = F.array(
-        pick(lambda p: p["x"] + p["y"]), pick(lambda p: p["y"] - p["x"]), pick(lambda p: -(p["x"] + p["y"])), pick(lambda p: p["x"] - p["y"])
-    )
-    near = F.lit(False)
-    for a in range(4):
-        for b in range(a + 1, 4):
-            near = near | (distance(four[a], four[b]) < APART)
-    return F.when((F.size(points) == 4) & ~near & (area(four) >= LEAST_AREA), four)
+
+    def pick(ps: Column, key: Callable[[Column], Column]) -> Column:
+        return F.array_min(F.transform(ps, lambda p, i: F.struct(key(p).alias("k"), i.alias("i"), p["x"].alias("x"), p["y"].alias("y"))))
+
+    def corners(ps: Column) -> Column:
+        best = [pick(ps, k) for k in (lambda p: p["x"] + p["y"], lambda p: p["y"] - p["x"], lambda p: -(p["x"] + p["y"]), lambda p: p["x"] - p["y"])]
+        return F.transform(F.array(*best), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y")))
+
+    def checked(four: Column) -> Column:
+        near = F.lit(False)
+        for a in range(4):
+            for b in range(a + 1, 4):
+                near = near | (distance(four[a], four[b]) < APART)
+        return F.when(~near & (area(four) >= LEAST_AREA), four)
+
+    return F.when(F.size(points) == 4, let(points, lambda ps: let(corners(ps), checked)))
 
 
 def is_document(four: Column, width: Column, height: Column) -> Column:
     """Whether ordered corners (as of order_points) can be a document in an image of this size; null for null corners."""
+    return let(four, lambda q: _is_document(q, width, height))
+
+
+def _is_document(four: Column, width: Column, height: Column) -> Column:
     top, right, bottom, left = (distance(four[a], four[b]) for a, b in ((0, 1), (1, 2), (3, 2), (0, 3)))
     across, down = (top + bottom) / 2, (left + right) / 2
     angle = lambda a, b: F.degrees(F.atan2(four[b]["y"] - four[a]["y"], four[b]["x"] - four[a]["x"]))
@@ -76,12 +96,17 @@ def is_document(four: Column, width: Column, height: Column) -> Column:
 
 def four_of_five(points: Column) -> Column:
     """Corners of a convex five-gon with one corner cut off: the shortest side goes, its neighbours are made to meet."""
-    n = 5
-    at = lambda i: F.get(points, i % n)
-    sides = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(distance(at(i), at(i + 1)).alias("d"), i.alias("i"))))
-    k = sides[0]["i"]
-    meet = intersection(line_of(at(k + 4), at(k)), line_of(at(k + 1), at(k + 2)))
-    return F.when((F.size(points) == n) & meet.isNotNull(), order_points(F.array(meet, at(k + 2), at(k + 3), at(k + 4))))
+
+    def turned(ps: Column) -> Column:
+        """The points from the beginning of the shortest side on."""
+        sides = F.transform(ps, lambda p, i: F.struct(distance(p, F.get(ps, (i + 1) % 5)).alias("d"), i.alias("i")))
+        return let(F.array_min(sides)["i"], lambda k: F.concat(F.slice(ps, k + 1, F.lit(5)), F.slice(ps, F.lit(1), k)))
+
+    def corners(q: Column) -> Column:
+        meet = intersection(line_of(q[4], q[0]), line_of(q[1], q[2]))
+        return let(meet, lambda m: F.when(m.isNotNull(), order_points(F.array(m, q[2], q[3], q[4]))))
+
+    return F.when(F.size(points) == 5, let(points, lambda ps: let(turned(ps), corners)))
 
 
 def crop_padding(h: Column, w: Column, padding: Column | None = None, adaptive: bool = True) -> Column:
