@@ -3,7 +3,7 @@
 Method: a linear pairwise ranker learned from pairs of rated documents of different bands, on vocabulary features
 (share of each word of the rated sample) and syntax features (sentence length, word length, commas); isotonic
 regression of the ratings on the scores gives the scores where a band begins. As the features are shares, the same
-weights score a single sentence; a document gets the band in which most of its words stand.
+weights score a single sentence; the sentences of a document vote for its band.
 
 The ranker is fitted on a bounded sample of rated documents (SAMPLE of them, by hash of the id) in the driver;
 every document is scored.
@@ -26,10 +26,14 @@ BANDS = ("basic", "middle", "advanced")
 SAMPLE = 4000
 #: Pairs of rated documents drawn from the sample.
 PAIRS = 60_000
+#: Parts of the sample, each scored by a ranker fitted on the others for the calibration.
+FOLDS = 3
 #: Documents of the sample in which a word must stand to be a feature.
 LEAST_DOCS = 5
 #: Words of a document from which a band is given.
 LEAST_WORDS = 40
+#: Words of a sentence that votes, and the power of its length by which it does.
+LEAST_SENTENCE, VOTE_POWER = 5, 0.3
 #: Scale of the word shares against the syntax features.
 WORD_SCALE = 20.0
 _SYNTAX = 3
@@ -68,12 +72,21 @@ class Ranker:
         return s
 
     def band(self, text: str) -> str | None:
-        """The band in which most words stand; of equal ones the lower. None if no sentence has three words."""
-        votes = [0, 0, 0]
-        for words in sentences(text):
-            s = self.score(words)
-            votes[(s > self.starts[0]) + (s > self.starts[1])] += len(words)
-        return BANDS[votes.index(max(votes))] if any(votes) else None
+        """The band in which the text mainly stands; of equal ones the lower. None if no sentence has three words.
+
+        Each sentence votes, a long one somewhat more. Headings, numbers and lines of tables (few words, or a third of them
+        digits) vote only if there is nothing else.
+        """
+        for least, plain in ((LEAST_SENTENCE, True), (3, False)):
+            votes = [0.0, 0.0, 0.0]
+            for words in sentences(text):
+                if len(words) < least or (plain and 3 * sum(w.isdigit() for w in words) >= len(words)):
+                    continue
+                s = self.score(words)
+                votes[(s > self.starts[0]) + (s > self.starts[1])] += len(words) ** VOTE_POWER
+            if any(votes):
+                return BANDS[votes.index(max(votes))]
+        return None
 
 
 def isotonic(scores: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +102,25 @@ def isotonic(scores: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.nda
     return scores[order], np.repeat([b[0] for b in blocks], [int(b[1]) for b in blocks])
 
 
-def fit(texts: list[str], levels: list[float], pairs: int = PAIRS, steps: int = 400, seed: int = 7) -> Ranker:
+def _rank(x: np.ndarray, y: np.ndarray, pairs: int, steps: int, seed: int) -> np.ndarray:
+    """Weights that put the higher of two documents higher, for pairs drawn at random."""
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(0, len(y), pairs * 2), rng.integers(0, len(y), pairs * 2)
+    ranked = np.flatnonzero(np.abs(y[a] - y[b]) >= 0.5)[:pairs]
+    a, b = a[ranked], b[ranked]
+    weights = np.zeros(x.shape[1], np.float32)
+    m, s = np.zeros_like(weights), np.zeros_like(weights)
+    for t in range(1, steps + 1 if len(a) else 1):  # logistic loss of the pairs, by Adam
+        k = rng.integers(0, len(a), 1000)
+        diff = (x[a[k]] - x[b[k]]) * np.sign(y[a[k]] - y[b[k]])[:, None]
+        miss = 1 / (1 + np.exp(np.clip(diff @ weights, -30, 30)))
+        grad = 1e-3 * weights - (diff * miss[:, None]).mean(0)
+        m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad * grad
+        weights -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
+    return weights
+
+
+def fit(texts: list[str], levels: list[float], pairs: int = PAIRS, steps: int = 250, seed: int = 7) -> Ranker:
     """Fit the ranker on rated texts (level 0 to 2)."""
     docs = [[w for s in sentences(t) for w in s] or [b"-"] for t in texts]
     sent = [sentences(t) or [[b"-"] * 3] for t in texts]
@@ -105,24 +136,21 @@ def fit(texts: list[str], levels: list[float], pairs: int = PAIRS, steps: int =
         for s in ss:
             row[v:] += np.array(_syntax(s), np.float32) * (len(s) / n)
     y = np.array(levels, np.float32)
-    rng = np.random.default_rng(seed)
-    a, b = rng.integers(0, len(y), pairs * 2), rng.integers(0, len(y), pairs * 2)
-    ranked = np.flatnonzero(np.abs(y[a] - y[b]) >= 0.5)[:pairs]
-    a, b = a[ranked], b[ranked]
-    weights = np.zeros(v + _SYNTAX, np.float32)
-    m, s = np.zeros_like(weights), np.zeros_like(weights)
-    for t in range(1, steps + 1 if len(a) else 1):  # logistic loss of the pairs, by Adam
-        k = rng.integers(0, len(a), 1000)
-        diff = (x[a[k]] - x[b[k]]) * np.sign(y[a[k]] - y[b[k]])[:, None]
-        miss = 1 / (1 + np.exp(np.clip(diff @ weights, -30, 30)))
-        grad = 1e-3 * weights - (diff * miss[:, None]).mean(0)
-        m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad * grad
-        weights -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
-    scores, curve = isotonic(x @ weights, y)
+    weights = _rank(x, y, pairs, steps, seed)
+    # The calibration sees scores that its own documents had no part in.
+    held_out = np.zeros(len(y), np.float32)
+    fold = np.random.default_rng(seed).permutation(len(y)) % FOLDS
+    for k in range(FOLDS):
+        rest = fold != k
+        held_out[~rest] = x[~rest] @ (_rank(x[rest], y[rest], pairs, steps, seed + 1 + k) if rest.any() else weights)
+    scores, curve = isotonic(held_out, y)
+
+    # Linear between the middles of the steps of the calibration.
+    steps_at, first, count = np.unique(curve, return_index=True, return_counts=True)
+    middle = np.array([scores[f : f + c].mean() for f, c in zip(first, count, strict=True)])
 
     def start(level: float) -> float:
-        k = int(np.searchsorted(curve, level))
-        return float("inf") if k == len(curve) else float(scores[k] if k == 0 else (scores[k - 1] + scores[k]) / 2)
+        return float("inf") if level > steps_at[-1] else float(np.interp(level, steps_at, middle))
 
     words = {w: float(weights[k]) * WORD_SCALE for w, k in vocabulary.items()}
     return Ranker(words, tuple(float(z) for z in weights[v:]), (start(0.5), start(1.5)))
