@@ -24,6 +24,7 @@ class Preset:
     upscale: float = 1.0
     color_mode: str = "color"  # color, grayscale or clean_bw
     deskew: bool = True
+    flatten: bool = False
     rotation: int = 0
 
 
@@ -240,6 +241,63 @@ def flatten(img: np.ndarray, corners: np.ndarray) -> np.ndarray:
     return out if gray(out).var() >= 15 else img
 
 
+def otsu(light: np.ndarray) -> int:
+    """Threshold that parts dark from bright best."""
+    hist = np.bincount(light.ravel(), minlength=256).astype(np.float64)
+    below, total = hist.cumsum(), hist.sum()
+    mean_below = (hist * np.arange(256)).cumsum()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = (mean_below[-1] * below / total - mean_below) ** 2 / (below * (total - below))
+    return int(np.nanargmax(np.where(np.isfinite(spread), spread, -1)))
+
+
+def largest_region(mask: np.ndarray) -> np.ndarray:
+    """The largest four-connected region of a mask: labels spread along rows and columns until they settle."""
+    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
+    while True:
+        before = label
+        for axis in (0, 1):
+            for flip in (False, True):
+                x = np.flip(label, axis) if flip else label
+                runs = np.moveaxis(x, axis, 0).copy()
+                for k in range(1, len(runs)):
+                    runs[k] = np.where(runs[k] > 0, np.maximum(runs[k], runs[k - 1]), 0)
+                x = np.moveaxis(runs, 0, axis)
+                label = np.flip(x, axis) if flip else x
+        if (label == before).all():
+            break
+    counts = np.bincount(label.ravel())
+    counts[0] = 0
+    return label == counts.argmax() if counts.any() else np.zeros_like(mask)
+
+
+def find_document(img: np.ndarray) -> np.ndarray | None:
+    """Corners (top left, top right, bottom right, bottom left) of the bright sheet in a picture; None for a full page or where
+    the largest bright region fills its quadrilateral badly or takes less than a fifth of the picture."""
+    if is_full_page(img):
+        return None
+    step = max(1, max(img.shape[:2]) // 300)
+    light = gray(img)[::step, ::step]
+    region = largest_region(light > otsu(light))
+    ys, xs = np.nonzero(region)
+    if len(ys) < 0.2 * region.size:
+        return None
+    ends = [np.argmin(xs + ys), np.argmin(ys - xs), np.argmax(xs + ys), np.argmax(ys - xs)]
+    four = np.array([[xs[k], ys[k]] for k in ends], float)
+    x, y = four.T
+    area = abs((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2
+    sides = np.hypot(*(four - np.roll(four, -1, 0)).T)
+    if sides.min() < 0.35 * min(region.shape) or area < 0.2 * region.size or len(ys) < 0.85 * area:
+        return None
+    return four * step
+
+
+def crop_and_flatten(img: np.ndarray) -> np.ndarray:
+    """The sheet in a picture as an upright image; a full page stays as it is."""
+    corners = find_document(img)
+    return img if corners is None else flatten(img, corners)
+
+
 def crop(img: np.ndarray, x: float, y: float, w: float, h: float, pad_x: int, pad_y: int) -> np.ndarray:
     """The padded box, inside the image."""
     return img[max(0, int(y) - pad_y) : int(y + h) + pad_y, max(0, int(x) - pad_x) : int(x + w) + pad_x]
@@ -281,7 +339,7 @@ def shrink(img: np.ndarray, most: int = 2000) -> np.ndarray:
 def enhance(img: np.ndarray, preset: Preset, stop: Callable[[], bool] = lambda: False) -> np.ndarray:
     """All steps in their order; when stop() holds, what is there so far."""
     steps = [
-        lambda x: rotate(x, preset.rotation), lambda x: deskew(x) if preset.deskew else x, lambda x: denoise(x, preset.denoise),
+        lambda x: rotate(x, preset.rotation), lambda x: crop_and_flatten(x) if preset.flatten else x, lambda x: deskew(x) if preset.deskew else x, lambda x: denoise(x, preset.denoise),
         lambda x: whiten(x, preset.whitening), lambda x: contrast(x, preset.contrast),
         lambda x: clean_bw(x) if preset.color_mode == "clean_bw" else gray(x) if preset.color_mode == "grayscale" else x,
         lambda x: sharpen(x, preset.sharpness), lambda x: upscale(x, preset.upscale),

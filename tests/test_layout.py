@@ -126,3 +126,17 @@ def test_flatten_and_corners():
     flat = raster.flatten(img, np.array([[121, 101], [949, 101], [949, 799], [121, 799]]))
     assert 650 < flat.shape[0] < 900 and 750 < flat.shape[1] < 1100
     assert raster.shrink(np.zeros((4000, 10), np.uint8)).shape == (2000, 5)
+
+
+def test_find_document():
+    img = np.zeros((900, 1100, 3), np.uint8) + np.array([45, 75, 115], np.uint8)
+    y, x = np.mgrid[0:900, 0:1100]
+    inside = (y > 100 - (x - 120) * 20 / 830) & (y < 820 - (x - 80) * 20 / 900) & (x > 120 - (y - 100) * 40 / 720) & (x < 950 + (y - 80) * 30 / 720)
+    img[inside] = 245
+    img[300:320, 300:800] = 10  # a blank sheet would be left as it is
+    corners = raster.find_document(img)
+    assert np.abs(corners - np.array([[120, 100], [950, 80], [980, 800], [80, 820]])).max() < 15
+    out = raster.crop_and_flatten(img)
+    assert 650 < out.shape[0] < 900 and 750 < out.shape[1] < 1000
+    full = np.full((300, 300), 240, np.uint8)
+    assert raster.find_document(full) is None and raster.crop_and_flatten(full) is full
