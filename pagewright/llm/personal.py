@@ -103,9 +103,12 @@ def find_items(text: str, names: Names, words: PlaceWords, field: str = "full_te
         if field == "cccd" or _ID_LABEL.search(folded[max(0, m.start() - 40) : m.start()]):
             take(m.start(), m.end(), "id_number")
     for m in _PHONE.finditer(line):
-        digits = sum(c.isalnum() for c in m[0]) - (2 if "+84" in m[0] else 0)
-        if 9 <= digits <= 11 and not _CODE_LABEL.search(folded[max(0, m.start() - 24) : m.start()]):
-            take(m.start(), m.end(), "phone")
+        places = [m.start() + k for k, c in enumerate(m[0]) if c.isalnum()]
+        # What follows on the next line may look like more digits: a number has 10 (11 on a land line), or 9 after +84.
+        country = "+84" in m[0]
+        full = 11 if country else 11 if re.match(r"\(?[0oO]2", m[0]) else 10
+        if full - 1 <= len(places) <= full + 1 and not _CODE_LABEL.search(folded[max(0, m.start() - 24) : m.start()]):
+            take(m.start(), places[min(full, len(places)) - 1] + 1, "phone")
     tokens = list(_CAPITAL.finditer(line))
     k = 0
     while k + 3 <= len(tokens):
