@@ -26,6 +26,8 @@ from .textkit import osa_distance
 GAZETTEER = 50_000
 #: A name next to one that is so many times more frequent is a misspelling of it.
 RATIO = 4
+#: A district stands below a province at least so often against the province it stands below most.
+STRAY = 0.1
 SALTS = 16
 
 SCHEMA = "result_id bigint, file_path string, page_index int, number string, street string, ward string, district string, province string, bare array<string>"
@@ -189,14 +191,14 @@ class Linker:
             options.append((score, x, d, w))
         top = max((o[0] for o in options), default=0)
         if top <= 0:
-            return street, ward, district, p or province
+            return self._one(streets, None) or street, ward, district, p or province
         best = [o for o in options if o[0] == top]
         if len(best) > 1:
             named = {x for _, x, _, _ in best}
             return self._one(streets, None) or street, ward, None, named.pop() if len(named) == 1 else None
         _, x, d, w = best[0]
         w = (self._one(self.near("ward", w), g.wards[x, d]) or w) if w else None
-        return self._one(streets, g.streets[x, d]) or street, w, d, x
+        return self._one(streets, g.streets[x, d]) or self._one(streets, None) or street, w, d, x
 
     @staticmethod
     def _one(near: dict[str, int], among: Counter | None) -> str | None:
@@ -240,6 +242,21 @@ def gazetteer(addresses: DataFrame, words: PlaceWords, share: int = GAZETTEER) -
             first, middle, _ = r["name"].split()
             if first in words.streets and not middle.endswith("."):
                 g.streets[r["p"], r["d"]][r["name"]] += r["n"]
+    # A bare ward taken for a province puts a district below it now and then, far less often than below its own.
+    most = Counter()
+    for ds in g.districts.values():
+        for d, n in ds.items():
+            most[d] = max(most[d], n)
+    for ds in g.districts.values():
+        for d in [d for d, n in ds.items() if n < STRAY * most[d]]:
+            del ds[d]
+    # A misspelled street may be alone in its district; against all districts it shows.
+    everywhere: Counter = Counter()
+    for streets in g.streets.values():
+        everywhere.update(streets)
+    sound = _clean(everywhere)
+    for key, streets in g.streets.items():
+        g.streets[key] = Counter({s: n for s, n in streets.items() if s in sound})
     return g.prepared()
 
 
