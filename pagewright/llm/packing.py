@@ -148,9 +148,9 @@ def repack(packed: DataFrame, kinds: list[tuple[int, int]], open_bins: int = OPE
         .groupBy("kind_id", "grp")
         .applyInPandas(again, "kind_id int, unit bigint, moved bigint")
     )
-    return packed.join(moved, ["kind_id", "unit"], "left").select(
-        "doc_id", "kind_id", "piece", "first_token", "tokens", F.coalesce("moved", "container").alias("container")
-    )
+    out = ["doc_id", "kind_id", "piece", "first_token", "tokens"]
+    closed = packed.where("unit is null").select(*out, "container")  # kept from the join: null is no key to meet by
+    return closed.unionByName(packed.where("unit is not null").join(moved, ["kind_id", "unit"]).select(*out, F.col("moved").alias("container")))
 
 
 def container_kinds(table: DataFrame, most: int = 1000) -> list[tuple[int, int]]:
