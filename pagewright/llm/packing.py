@@ -18,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.persist import cut
+
 #: Open bins of a task and kind.
 OPEN_BINS = 64
 #: Units left open by the first round that one group of the second round packs, about.
@@ -141,6 +143,7 @@ def repack(packed: DataFrame, kinds: list[tuple[int, int]], open_bins: int = OPE
             first_unit.setdefault(b, unit)
         return pd.DataFrame({"kind_id": pdf["kind_id"], "unit": pdf["unit"], "moved": [first_unit[b] for b in to]})
 
+    packed = cut(packed)  # used three times: a task that ran again in another order would number its bins anew
     width = max(1, per_group // open_bins)  # tasks per group
     units = packed.where("unit is not null").select("kind_id", "unit", "unit_tokens").distinct()
     moved = (
