@@ -202,9 +202,10 @@ def match_shard(train: list[str], held: list[str], edits: int = EDITS) -> list[t
     index = FullTextIndex(records)
     parts = [_split(x) for x in held]
     sizes = np.array([len(p[0]) for p in parts])
+    own = [_split(x) for x in train]
     out = []
     for t, r in candidates(index, sizes, [encode(x) for x in train], edits):
-        letters, digits = _split(train[t])
+        letters, digits = own[t]
         if digits == parts[r][1] and (d := osa_distance(letters, parts[r][0], edits)) <= edits:
             out.append((train[t], held[r], d))
     return out

@@ -52,18 +52,30 @@ def osa_distance(a: str, b: str, limit: int) -> int:
     a, b = a[start:la], b[start:lb]
     if not a or not b:
         return min(limit + 1, max(len(a), len(b)))
-    before, row = None, list(range(len(b) + 1))
+    n, far = len(b), limit + 1
+    before, row = None, [j if j <= limit else far for j in range(n + 1)]
     for i, x in enumerate(a, 1):
-        new = [i]
-        best = i
-        for j, y in enumerate(b, 1):
-            v = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y))
-            if before is not None and j > 1 and x == b[j - 2] and y == a[i - 2]:
-                v = min(v, before[j - 2] + 1)
-            new.append(v)
+        first, last = max(1, i - limit), min(n, i + limit)  # cells further from the diagonal are beyond the limit
+        new = [far] * (n + 1)
+        if i <= limit:
+            new[0] = i
+        left = new[first - 1]
+        best = left
+        for j in range(first, last + 1):
+            y = b[j - 1]
+            v = row[j - 1]
+            if x != y:
+                if row[j] < v:
+                    v = row[j]
+                if left < v:
+                    v = left
+                v += 1
+                if before is not None and j > 1 and x == b[j - 2] and y == a[i - 2] and before[j - 2] + 1 < v:
+                    v = before[j - 2] + 1
+            new[j] = left = v
             if v < best:
                 best = v
         if best > limit:
-            return limit + 1
+            return far
         before, row = row, new
-    return min(row[-1], limit + 1)
+    return min(row[-1], far)
