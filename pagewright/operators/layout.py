@@ -6,6 +6,8 @@ array (a page holds few) and the rest are expressions on it, so there is one shu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,16 +106,21 @@ def lines(boxes: DataFrame, page: str = "page_id", box: str = "box_id") -> DataF
     """
     placed = columns(boxes.where("x is not null and y is not null and w is not null and h is not null"), page, box)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, number = [], 0
-        for col, part in pdf.groupby("col_id"):
-            for ids in group_lines(list(zip(part["x"], part["y"], part["w"], part["h"], part[box], strict=True))):
-                out += [(pdf[page].iloc[0], b, int(col), number, k) for k, b in enumerate(ids)]
-                number += 1
-        return pd.DataFrame(out, columns=[page, box, "col_id", "line_no", "box_no"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for p, cols, xs, ys, ws, hs, ids in zip(*(b[c] for c in ("p", "c", "x", "y", "w", "h", "i")), strict=True):
+                rows = list(zip(xs.tolist(), ys.tolist(), ws.tolist(), hs.tolist(), ids.tolist(), strict=True))
+                number = 0
+                for col in sorted(set(cols.tolist())):
+                    for line in group_lines([r for r, c in zip(rows, cols.tolist(), strict=True) if c == col]):
+                        out += [(p, i, col, number, k) for k, i in enumerate(line)]
+                        number += 1
+            yield pd.DataFrame(out, columns=[page, box, "col_id", "line_no", "box_no"])
 
     kind = {c: boxes.schema[c].dataType.simpleString() for c in (page, box)}
-    return placed.select(page, box, "x", "y", "w", "h", "col_id").groupBy(page).applyInPandas(
+    whole = placed.groupBy(F.col(page).alias("p")).agg(F.collect_list(F.struct(F.col("col_id").alias("c"), "x", "y", "w", "h", F.col(box).alias("i"))).alias("b"))
+    return whole.select("p", "b.c", "b.x", "b.y", "b.w", "b.h", "b.i").mapInPandas(
         run, f"{page} {kind[page]}, {box} {kind[box]}, col_id int, line_no int, box_no int"
     )
 
