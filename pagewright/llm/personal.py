@@ -2,12 +2,13 @@
 
 Method: information-theoretic sanitisation. How strongly a word reveals a protected entity is estimated from the
 corpus: for each word, the pointwise mutual information of standing at a place of a person's name (first, middle, last
-word, taken from the values of the field that holds persons) against standing anywhere in the texts. A run of three
-words whose disclosure exceeds a threshold is a person. Addresses are found by the words of place and street names
+word, taken from the values of the field that holds persons) against standing anywhere in the texts. A run of two to
+four words whose disclosure exceeds a threshold is a person; a label or honorific before it lowers the threshold. Addresses are found by the words of place and street names
 learned from the address field; phones, e-mail addresses and identity numbers by their written forms and the labels
 before them. Found items are generalised to typed placeholders; the rest of the text stays.
 
-The learned tables hold words that make up a share of at least 1 in SHARE of a position, so their size is bounded.
+The learned tables hold words that make up a share of at least 1 in SHARE of a position, so their size is bounded. Any other
+word gets a smoothed value: names hold it as often as 1 in RARE, so it speaks against a name if texts hold it more often.
 """
 
 from __future__ import annotations
@@ -25,8 +26,11 @@ from ..functions.text import remove_accents
 from .addressing import PlaceWords, compose, find_addresses, fold_places, joined
 
 SHARE = 1000
-#: Bits that the three words of a name must disclose together.
+#: Bits that the words of a name must disclose together, and behind a label or honorific.
 DISCLOSURE = 6.0
+LABELLED = 0.0
+#: Smoothed share of a place that a word has which isn't learned there.
+RARE = 50_000
 #: Fields whose values hold one item as a whole.
 WHOLE = {"ho_ten": "person", "sdt": "phone", "fax": "phone", "cccd": "id_number", "email": "email"}
 #: Fields that hold no personal items: codes, and what other problems deal with.
@@ -48,6 +52,11 @@ _ID_LABEL = re.compile(
 _CODE_LABEL = re.compile(
     r"(?:so phieu|phieu so|ma van don|van don|mst|ma so thue|tax (?:code|id)|stk|so tk|so tai khoan|tai khoan|account(?: no)?|no\.|so hoa don|ma don|(?<![a-z])so\s?:)[\s:.#]*$"
 )
+# What announces a person (folded, at the end of what stands before).
+_PERSON_LABEL = re.compile(
+    r"(?<![a-z])(?:(?:ong|ba|anh|chi|mr|ms|mrs|miss)(?:\s?/\s?(?:ong|ba|anh|chi|mr|ms|mrs|miss))?\.?\s?:?|"
+    r"(?:ho (?:va )?ten|ho ten|nguoi (?:nhan|gui|giao|lap|mua|ban|ky|lien he|dai dien)|full name|name|receiver|recipient|sender|contact|attn)\s?:)\s*$"
+)
 _TITLE = re.compile(r"^(?:ong|ba|anh|chi|co|chu|bac|mr|ms|mrs|miss)\.?\s+", re.I)
 
 
@@ -59,15 +68,59 @@ class Item:
 
 
 class Names:
-    """Bits that a folded word discloses at each place of a name."""
+    """Bits that a folded word discloses at the first, a middle and the last place of a name.
+
+    A fourth table holds the bits (below 0) of words that are common in texts, for places where they aren't learned;
+    words in none of the tables disclose nothing.
+    """
 
     def __init__(self, bits: list[dict[str, float]], least: float = DISCLOSURE) -> None:
-        self.bits, self.least = bits, least
+        self.bits, self.least = bits[:3], least
+        self.common = bits[3] if len(bits) > 3 else {}
+
+    def disclosed(self, words: list[str]) -> tuple[float, int]:
+        """Bits that the words disclose as a name, and how many of them are learned at their place."""
+        total, learned = 0.0, 0
+        for k, w in enumerate(words):
+            table = self.bits[0 if k == 0 else 2 if k == len(words) - 1 else 1]
+            learned += w in table
+            total += table[w] if w in table else self.common.get(w, 0.0)
+        return total, learned
 
-    def is_name(self, words: list[str]) -> bool:
-        if len(words) != 3 or any(w not in b for w, b in zip(words, self.bits, strict=True)):
+    def is_name(self, words: list[str], labelled: bool = False) -> bool:
+        """Whether two to four words are a name; without a label, at most one of them may be unknown, and two must be known."""
+        if not 2 <= len(words) <= 4:
             return False
-        return sum(b[w] for w, b in zip(words, self.bits, strict=True)) >= self.least
+        total, learned = self.disclosed(words)
+        return total >= LABELLED if labelled else total >= self.least and learned >= max(2, len(words) - 1)
+
+
+def find_names(line: str, folded: str, taken: bytearray, names: Names, person: bool = False) -> list[tuple[int, int]]:
+    """Places of the names in a line, at characters that aren't taken; of names that overlap, the one that discloses most.
+
+    Words of a name are parted by white space; a word that isn't learned belongs to it only over a single space, as the
+    next column or line of a page is no part of it. The start of a line that is to hold a person counts as labelled.
+    """
+    tokens = [t for t in _CAPITAL.finditer(line) if t[0][0].isupper() and not any(taken[t.start() : t.end()])]
+    options = []
+    for k, first in enumerate(tokens):
+        words = [folded[first.start() : first.end()]]
+        labelled = bool(_PERSON_LABEL.search(folded[max(0, first.start() - 32) : first.start()])) or (person and not line[: first.start()].strip())
+        near = True
+        for last, t in zip(tokens[k:], tokens[k + 1 : k + 4], strict=False):
+            gap = line[last.end() : t.start()]
+            if not gap.isspace():
+                break
+            near = near and gap == " "
+            words.append(folded[t.start() : t.end()])
+            total, learned = names.disclosed(words)
+            if (near or learned == len(words)) and names.is_name(words, labelled):
+                options.append((-total, not labelled, -first.start(), -t.end()))
+    found: list[tuple[int, int]] = []
+    for _, _, start, end in sorted(options):
+        if all(-end <= x or -start >= y for x, y in found):
+            found.append((-start, -end))
+    return found
 
 
 _CAPITAL = re.compile(r"[^\W\d_]+")
@@ -109,20 +162,10 @@ def find_items(text: str, names: Names, words: PlaceWords, field: str = "full_te
         full = 11 if country else 11 if re.match(r"\(?[0oO]2", m[0]) else 10
         if full - 1 <= len(places) <= full + 1 and not _CODE_LABEL.search(folded[max(0, m.start() - 24) : m.start()]):
             take(m.start(), places[min(full, len(places)) - 1] + 1, "phone")
-    tokens = list(_CAPITAL.finditer(line))
-    k = 0
-    while k + 3 <= len(tokens):
-        three = tokens[k : k + 3]
-        if (
-            all(t[0][0].isupper() for t in three)
-            and all(line[a.end() : b.start()].isspace() for a, b in zip(three, three[1:], strict=False))
-            and not any(taken[three[0].start() : three[2].end()])
-            and names.is_name([folded[t.start() : t.end()] for t in three])
-        ):
-            take(three[0].start(), three[2].end(), "person")
-            k += 3
-        else:
-            k += 1
+    people = find_names(line, folded, taken, names, WHOLE.get(field) == "person")
+    for x, y in people:  # a part of a value that may be a name as a whole must be known for certain
+        if WHOLE.get(field) != "person" or names.disclosed(w := folded[x:y].split())[1] == len(w) >= 3:
+            take(x, y, "person")
     if field in WHOLE and not found:
         body = line.strip()
         lead = len(line) - len(line.lstrip())
@@ -136,6 +179,8 @@ def find_items(text: str, names: Names, words: PlaceWords, field: str = "full_te
         if fits:
             lead += len(m[0]) if kind == "person" and (m := _TITLE.match(body)) else 0
             take(lead, len(line.rstrip()), kind)
+        for x, y in people:
+            take(x, y, "person")
     return sorted(found, key=lambda i: i.start)
 
 
@@ -149,14 +194,17 @@ def masked(text: str, items: list[Item]) -> str:
 
 
 def learn_names(results: DataFrame, field: str = "ho_ten", column: str = "extracted_fields", text: str = "full_text") -> list[dict[str, float]]:
-    """For each place of a three-word name: folded word -> bits it discloses there.
+    """For the first, a middle and the last place of a name of two to four words: folded word -> bits it discloses there.
 
     bits = log2(share of the word at that place of names / share of the word in all texts), over all rows. Words
-    that make up less than 1 in SHARE of a place are left out, so at most SHARE words of a place are collected.
+    that make up less than 1 in SHARE of a place are left out, so at most SHARE words of a place are collected. The last
+    table has the bits of words for places where they are left out, log2(1 / RARE / share of the word in all texts), where
+    these are below 0, so of at most RARE words.
     """
     fold = lambda c: F.lower(remove_accents(c))
-    names = results.select(F.split(F.trim(fold(F.regexp_replace(F.col(column)[field], r"\s+", " "))), " ").alias("n")).where("size(n) = 3")
-    places = names.select(F.posexplode("n").alias("place", "w")).where("w rlike '^[a-z]+$'").groupBy("place", "w").count()
+    names = results.select(F.split(F.trim(fold(F.regexp_replace(F.col(column)[field], r"\s+", " "))), " ").alias("n")).where("size(n) between 2 and 4")
+    place = F.when(F.col("at") == 0, 0).when(F.col("at") == F.col("words") - 1, 2).otherwise(1)
+    places = names.select(F.size("n").alias("words"), F.posexplode("n").alias("at", "w")).select(place.alias("place"), "w").where("w rlike '^[a-z]+$'").groupBy("place", "w").count()
     total = F.broadcast(places.groupBy("place").agg(F.sum("count").alias("names")))
     frequent = places.join(total, "place").where(F.col("count") * SHARE >= F.col("names"))
     background = (
@@ -167,7 +215,9 @@ def learn_names(results: DataFrame, field: str = "ho_ten", column: str = "extrac
         frequent.join(background, "w", "left").crossJoin(corpus)
         .select("place", "w", F.log2((F.col("count") / F.col("names")) / ((F.coalesce("everywhere", F.lit(0)) + 1) / (F.col("corpus") + 1))).alias("bits"))
     )
-    out: list[dict[str, float]] = [{}, {}, {}]
+    common = background.crossJoin(corpus).where(F.col("everywhere") * RARE > F.col("corpus"))
+    rows = rows.union(common.select(F.lit(3).alias("place"), "w", F.log2(F.col("corpus") / RARE / F.col("everywhere")).alias("bits")))
+    out: list[dict[str, float]] = [{}, {}, {}, {}]
     for r in rows.collect():
         out[r["place"]][r["w"]] = r["bits"]
     return out

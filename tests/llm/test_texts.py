@@ -29,6 +29,25 @@ def test_items():
     assert found(" Lý Thanh Hà ", "ho_ten") == [("person", "Lý Thanh Hà")] and found("không rõ", "ho_ten") == []
 
 
+def test_names_of_two_to_four_words_and_unknown_words():
+    assert found("Giao cho Sầm Lâm ký") == [("person", "Sầm Lâm")]
+    assert found("gặp Cù Xuân Văn Bằng nhé") == [("person", "Cù Xuân Văn Bằng")]
+    assert found("gặp Sầm Xuân Tró nhé") == [("person", "Sầm Xuân Tró")]
+    assert found("Ông Zuy Tró đã ký. Người nhận: Bà Qua Văn Ơm") == [("person", "Zuy Tró"), ("person", "Qua Văn Ơm")]
+    assert found("Zuy Tró đã ký, Sầm Tró") == []
+    assert found("Sầm Văn Bằng  Tró") == [("person", "Sầm Văn Bằng")]
+    assert found("Sầm Zuy Tró (kho)", "ho_ten") == [("person", "Sầm Zuy Tró")] and found("Tró Sầm Xuân", "ho_ten") == [("person", "Tró Sầm Xuân")]
+    common = personal.Names([*NAMES.bits, {"cong": -9.0, "ty": -9.0}])
+    assert personal.find_items("Người nhận: Công Ty Tró", common, WORDS) == []
+
+
+def test_names_of_all_lengths_are_learned(spark):
+    rows = [("cầm tay", {"ho_ten": n}) for n in ("Sầm Lâm", "Cù Văn Bằng", "Cù Xuân Văn Bằng")] + [("thùng thùng thùng thùng", None)]
+    bits = personal.learn_names(spark.createDataFrame(rows, "full_text string, extracted_fields map<string,string>"))
+    assert [set(b) for b in bits[:3]] == [{"sam", "cu"}, {"van", "xuan"}, {"lam", "bang"}]
+    assert bits[3]["thung"] < bits[3]["cam"] < 0
+
+
 def test_mask():
     text = "Ông/Bà: Sầm Xuân Lâm, 0217.3070.062."
     items = personal.find_items(text, NAMES, WORDS)
