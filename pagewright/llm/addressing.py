@@ -42,17 +42,27 @@ def joined(text: str) -> tuple[str, list[int]]:
 _NUMBER = r"(?:(?:so nha|so|sn|lo|lot)\s+)?(?:[a-h]\s?-?\s?\d{1,4}|\d{1,4}(?:\s?/\s?\d{1,4})?(?:\s?[a-h](?![a-z.]))?)"
 _STREET_WORD = r"(?:duong|pho|dg|d|p)\b\.?"
 _NAME = r"[a-z]+\s+(?:[a-z]\s?\.|[a-z]+)\s+[a-z]+"
-_ANCHOR = re.compile(
-    rf"(?<![\w/.\-+])(?P<num>{_NUMBER})(?![\w/])\s*,?\s*(?:(?P<sw>(?:duong|pho|dg|d)\b\.?)\s*)?(?P<street>{_NAME})(?![a-z])"
+_ANCHOR, _ANCHOR_3 = (
+    re.compile(rf"(?<![\w/.\-+])(?P<num>{_NUMBER})(?![\w/])\s*,?\s*(?:(?P<sw>(?:duong|pho|dg|d)\b\.?)\s*)?(?P<street>{street})(?![a-z])")
+    for street in ("[a-z]+", _NAME)
 )
+_WORD = re.compile(r"[a-z]\s?\.|[a-z]+(?![a-z])")
 _LEVELS = {
     "province": r"(?:tinh|tp|t|thanh pho)", "district": r"(?:huyen|quan|h|q|thi xa)", "ward": r"(?:phuong|p|xa|thi tran)",
 }
 _DELIMITER = r"\s*[,;]\s*|\s+-\s+|\s*–\s*"
+_DELIMITED = re.compile(_DELIMITER)
 _PART = re.compile(
     rf"(?:(?P<province>{_LEVELS['province']})(?:\s*\.\s*|\s+)|(?P<district>{_LEVELS['district']})(?:\s*\.\s*|\s+)|(?P<ward>{_LEVELS['ward']})(?:\s*\.\s*|\s+|(?=\d)))?"
     r"(?:(?P<digits>\d{1,2})(?![\d/])|(?P<name>[a-z]+\s+[a-z]+)(?![a-z]))"
 )
+# A part of one to four words, bounded by what follows.
+_LONG = re.compile(
+    rf"(?:(?P<province>{_LEVELS['province']})(?:\s*\.\s*|\s+)|(?P<district>{_LEVELS['district']})(?:\s*\.\s*|\s+)|(?P<ward>{_LEVELS['ward']})(?:\s*\.\s*|\s+))?"
+    r"(?P<digits>$^)?(?P<name>[a-z]+(?:\s+[a-z]+){0,3})(?=\s*(?:[,;–()]|\.(?!\w)|$)|\s+-\s)"
+)
+_BOUND = re.compile(r"\s*(?:[,;–()]|\.(?!\w)|$)|\s+-\s")
+_OPEN = re.compile(r"(?:^|[,;:(–]|\s-)\s*$")
 _COUNTRY = re.compile(r"(?:viet nam|vn)\b")
 _PART_END = re.compile(
     r"(?:(?:(?:tinh|tp|t|huyen|quan|h|q|phuong|p)(?:\s*\.\s*|\s+))?[a-z]+\s+[a-z]+|(?:phuong|p)\s*\.?\s*\d{1,2})$"
@@ -112,25 +122,96 @@ def find_addresses(text: str, words: PlaceWords) -> list[Address]:
     at = 0
     while m := _ANCHOR.search(folded, at):
         at = m.start() + 1
-        first = m["street"].split()[0]
-        named = bool(re.match(r"(?:so|sn|lo)", m["num"]))
-        sure = words.is_street(first)
-        if not (sure or m["sw"] or named):
-            continue
-        a = Address(m.start(), m.end(), _number(m["num"]), re.sub(r"\s+", " ", re.sub(r"\s*\.", ".", m["street"])))
-        # The number word may have been cut off by the pattern's leftmost digit; take it in.
-        w = re.search(r"(?:so nha|so|sn|lo|lot)\s+$", folded[max(0, a.start - 8) : a.start])
-        if w and not named:
-            a.start -= len(w[0])
-        a.end = _parts_after(folded, m.end(), a, words)
-        a.start = _parts_before(folded, a.start, a, words)
-        if not (a.ward or a.district or a.province or a.bare or (sure and (m["sw"] or named))):
-            continue
-        found.append(a)
-        at = max(a.end, m.start() + 1)
+        # The last digits of a phone or identity number are a house number only if three words and a delimiter say so.
+        group = bool(re.search(r"\d{3}[\s.)]*$", folded[max(0, m.start() - 8) : m.start()]))
+        for n, street, r, first in _streets(text, folded, m, words):
+            if group and n != 3:
+                continue
+            named = bool(re.match(r"(?:so|sn|lo)", r["num"]))
+            sure = words.is_street(first) if n == 3 else first in words.streets
+            if not (sure or r["sw"] or named):
+                continue
+            end = r.start("street") + len(street)
+            a = Address(r.start(), end, _number(r["num"]), re.sub(r"\s+", " ", re.sub(r"\s*\.", ".", street)))
+            # The number word may have been cut off by the pattern's leftmost digit; take it in.
+            w = re.search(r"(?:so nha|so|sn|lo|lot)\s+$", folded[max(0, a.start - 8) : a.start])
+            if w and not named:
+                a.start -= len(w[0])
+            a.end = _parts_after(folded, end, a, words, not group)
+            if n > 3 and a.end == end:
+                continue
+            a.start = _parts_before(folded, a.start, a, words, text)
+            if a.ward or a.district or a.province or a.bare or (n == 3 and sure and (r["sw"] or named)):
+                found.append(a)
+                at = max(a.end, m.start() + 1)
+                break
     return found
 
 
+def _streets(text: str, folded: str, m: re.Match, words: PlaceWords):
+    """The ways to read a street of one to five words at an anchor: (words, text, match, first word), the likeliest first.
+
+    A street ends at a delimiter, a word for a level with its name, or, if it is written with capitals, at a small letter. Three words
+    are also read where nothing ends them.
+    """
+    three = _ANCHOR_3.match(folded, m.start())
+    at = end = m.start("street")
+    n, bound = 0, False
+    while n < 5 and (w := _WORD.match(folded, end)):
+        small = n and text[at].isupper() and text[end].islower()
+        if n and (small or _level_follows(folded, end, words, n >= 3)):
+            end, bound = at + len(folded[at:end].rstrip()), not small or n < 3
+            break
+        n, end = n + 1, w.end()
+        if bound := bool(_BOUND.match(folded, end)):
+            break
+        if not folded[end : end + 1].isspace():
+            break
+        end += len(folded[end:]) - len(folded[end:].lstrip()) if n < 5 else 0
+    if n == 5 and not bound:
+        bound = _level_follows(folded, end + len(folded[end : end + 1]), words)
+    street = folded[at:end]
+    if n == 2 and three and three.end() == end:
+        # The same words with the street word as the first of the name, as in "Phó Sỹ Chuẩn".
+        first = three["street"].split()[0]
+        if first in words.streets and text[three.start("street") :][: len(first)].lower() not in ("phố", "đường"):
+            n = 3
+        else:
+            three = None
+    whole = bool(bound and n != 3)
+    parts = whole and bool(_next_part(folded, end, words))
+    if parts:
+        yield n, street, m, street.split()[0]
+    if three:
+        yield 3, three["street"], three, three["street"].split()[0]
+    if whole and not parts and n < 3:
+        yield n, street, m, street.split()[0]
+
+
+def _level_follows(s: str, at: int, words: PlaceWords, initials: bool = True) -> bool:
+    """Whether a word for a level and its name begin here without a delimiter before them.
+
+    One letter needs digits, or two words of places where it is no initial of a street.
+    """
+    for m in _readings(s, at):
+        level = m["province"] or m["district"] or m["ward"]
+        if level and _valid(m, words):
+            name = (m["name"] or "").split()
+            if m["digits"] or (len(level) > 1 and level != "xa") or (initials and len(name) > 1 and all(words.is_place(x) for x in name)):
+                return True
+    return False
+
+
+def _next_part(s: str, at: int, words: PlaceWords) -> re.Match | None:
+    """The part that begins behind a delimiter here."""
+    if d := _DELIMITED.match(s, at):
+        return next((m for m in _readings(s, d.end()) if _valid(m, words)), None)
+    gap = re.compile(r"\s+").match(s, at)
+    if gap and _level_follows(s, gap.end(), words):
+        return next((m for m in _readings(s, gap.end()) if (m["province"] or m["district"] or m["ward"]) and _valid(m, words)), None)
+    return None
+
+
 def _number(text: str) -> str:
     text = re.sub(r"^(?:so nha|so|sn|lot|lo)\s+", "", text)
     return re.sub(r"[\s\-]", "", text)
@@ -144,56 +225,61 @@ def _take(a: Address, m: re.Match, words: PlaceWords) -> bool:
         a.ward = a.ward or str(int(m["digits"]))
         return True
     name = re.sub(r"\s+", " ", m["name"])
-    x, y = name.split()
-    if level is None:
-        if not (words.is_place(x) and words.is_place(y)):
-            return False
-        a.bare.append(name)
+    if not _valid(m, words):
+        return False
+    if level is not None and getattr(a, level) is None:
+        setattr(a, level, name)
     else:
-        if not (words.is_place(x) or words.is_place(y)):
-            return False
-        if getattr(a, level) is None:
-            setattr(a, level, name)
-        else:
-            a.bare.append(name)
+        a.bare.append(name)
     return True
 
 
-def _parts_after(s: str, at: int, a: Address, words: PlaceWords) -> int:
-    while d := re.compile(_DELIMITER).match(s, at):
-        if c := _COUNTRY.match(s, d.end()):
-            at = c.end()
+def _parts_after(s: str, at: int, a: Address, words: PlaceWords, first: bool = True) -> int:
+    """The end of the parts behind a street; the first may do without a delimiter if `first`."""
+    while (d := _DELIMITED.match(s, at)) or first:
+        if d and (c := _COUNTRY.match(s, d.end())):
+            at, first = c.end(), False
             continue
         # "t. phieu suong" may also read as a bare name when its level word belongs to the name ("huyen que")
-        best = None
-        for m in _readings(s, d.end()):
-            if _valid(m, words):
-                best = m
-                break
+        best = _next_part(s, at, words)
         if not best or not _take(a, best, words):
             break
-        at = best.end()
+        at, first = best.end(), False
     return at
 
 
 def _readings(s: str, at: int):
-    """The ways to read a part at a place: with a word for its level, and as a bare name."""
+    """The ways to read a part at a place: with a word for its level, and as a bare name; longer bounded names first, single words last."""
+    long = _LONG.match(s, at)
+    size = len(long["name"].split()) if long else 2
+    if size > 2:
+        yield long
     if m := _PART.match(s, at):
         yield m
     if m := re.compile(r"(?P<province>$^)?(?P<district>$^)?(?P<ward>$^)?(?P<digits>$^)?(?P<name>[a-z]+\s+[a-z]+)(?![a-z])").match(s, at):
         yield m
+    if size == 1:
+        yield long
 
 
 def _valid(m: re.Match, words: PlaceWords) -> bool:
     if m["digits"]:
         return bool(m["ward"])
-    x, y = m["name"].split()
-    if m["province"] or m["district"] or m["ward"]:
+    name = m["name"].split()
+    level = m["province"] or m["district"] or m["ward"]
+    if len(name) == 1:
+        return name[0] in words.places or bool(level) and len(name[0]) >= 4 and words.is_place(name[0])
+    if len(name) > 2:
+        return all(words.is_place(x) for x in name)
+    x, y = name
+    if level:
         return words.is_place(x) and words.is_place(y) or ((words.is_place(x) or words.is_place(y)) and len(x) + len(y) >= 5)
+    if x in ("tinh", "quan", "phuong", "xa") and x not in words.places:
+        return False
     return words.is_place(x) and words.is_place(y)
 
 
-def _parts_before(s: str, at: int, a: Address, words: PlaceWords) -> int:
+def _parts_before(s: str, at: int, a: Address, words: PlaceWords, text: str) -> int:
     before: list[re.Match] = []
     while d := re.search(rf"(?:{_DELIMITER})$", s[:at]):
         end = d.start()
@@ -208,8 +294,16 @@ def _parts_before(s: str, at: int, a: Address, words: PlaceWords) -> int:
                     continue
                 if any(x.isdigit() for x in s[b:end]) and not re.match(r"(?:phuong|p)\b|p\d", s[b:end]):
                     continue
-                m = _PART.fullmatch(s, b, end) or next((r for r in _readings(s, b) if r.end() == end), None)
-                if m and _valid(m, words):
+                m = _PART.fullmatch(s, b, end)
+                if not (m and _valid(m, words)):
+                    m = next((r for r in _readings(s, b) if r.end() == end and _valid(r, words)), None)
+                    # Names of other lengths than two end at a delimiter on both sides.
+                    if m and m["name"] and len(m["name"].split()) != 2 and not _OPEN.search(s[max(0, b - 8) : b]):
+                        m = None
+                    # A person's name ("Quản ...") may read as the word for a level.
+                    if m and m["district"] == "quan" and text[m.start() : m.start() + 4].lower() not in ("quan", "quận"):
+                        m = None
+                if m:
                     best = m
                     break
             if best:
@@ -243,8 +337,8 @@ def place_words(results: DataFrame, field_name: str = "dia_chi", column: str = "
         least = F.broadcast(counted.agg((F.sum("count") / SHARE).alias("least")))
         return {r["w"] for r in counted.join(least, F.col("count") >= F.col("least")).select("w").collect()}
 
-    places = frequent(r"(?:^|[,;\-] ?)(?:tinh|tp|t|huyen|quan|h|q|phuong|p)(?: ?\. ?| )([a-z]+ [a-z]+)(?= ?(?:[,;\-(]|$))", 1)
-    streets = frequent(r"(?:so|sn|lo|^|[,;] ?) ?[a-h]?-?\d+(?:/\d+)? ?[a-h]?,? (?:(?:duong|pho|dg|d)\.? )?([a-z]+) (?:[a-z]\.|[a-z]+) [a-z]+(?= ?(?:[,;\-(]|$))", 1)
+    places = frequent(r"(?:^|[,;\-] ?)(?:tinh|tp|t|huyen|quan|h|q|phuong|p)(?: ?\. ?| )([a-z]+(?: [a-z]+){0,3})(?= ?(?:[,;\-(]|$))", 1)
+    streets = frequent(r"(?:so|sn|lo|^|[,;] ?) ?[a-h]?-?\d+(?:/\d+)? ?[a-h]?,? (?:(?:duong|pho|dg|d)\.? )?([a-z]+)(?: (?:[a-z]\.|[a-z]+)){0,4}(?= ?(?:[,;\-(]|$))", 1)
     for name in reference or []:
         places |= set(strip_marks(name).split())
     level_words = {"tinh", "huyen", "quan", "phuong", "duong", "pho", "tp"}

@@ -239,8 +239,7 @@ def gazetteer(addresses: DataFrame, words: PlaceWords, share: int = GAZETTEER) -
         elif r["kind"] == "ward" and (r["name"].isdigit() or fit(r["name"])):
             g.wards[r["p"], r["d"]][r["name"]] += r["n"]
         elif r["kind"] == "street":
-            first, middle, _ = r["name"].split()
-            if first in words.streets and not middle.endswith("."):
+            if r["name"].split()[0] in words.streets and "." not in r["name"]:
                 g.streets[r["p"], r["d"]][r["name"]] += r["n"]
     # A bare ward taken for a province puts a district below it now and then, far less often than below its own.
     most = Counter()

@@ -84,6 +84,30 @@ def test_addresses():
     assert text[a.start : a.end] == "Mộc Kha, 12/3 A đường Giả Văn Nam" and a.number == "12/3a"
 
 
+def test_streets_and_places_of_other_lengths():
+    assert parts("Số 12 đường Bạch Quỳ, P.8, H. Sếu, tỉnh Vãng Quế") == [("12", "bach quy", "8", "seu", "vang que", [])]
+    assert parts("12 đường Bạch, phường Mộc Kha Linh, Vãng Quế") == [("12", "bach", "moc kha linh", None, None, ["vang que"])]
+    assert parts("Giao 12 Bạch Thế Văn Quỳ, P.8, H. Phiêu Lũng Vĩnh, tỉnh Cầm") == [("12", "bach the van quy", "8", "phieu lung vinh", "cam", [])]
+    assert parts("số 7 phố Cù Thế Văn Nam Sơn phường Sếu, Vãng Quế") == [("7", "cu the van nam son", "seu", None, None, ["vang que"])]
+    assert parts("tỉnh Sếu, H. Phiêu Lũng Vĩnh, 12 đường Bạch Quỳ") == [("12", "bach quy", None, "phieu lung vinh", "seu", [])]
+    assert parts("12 Bạch Thế Quỳ, P.8, H. Phiêu Lũng, Tel. 5") == [("12", "bach the quy", "8", "phieu lung", None, [])]
+    assert parts("12 Bạch Quỳ giao ngay, 3 Bạch ngày 5") == []
+    assert parts("ĐT 0951 879 309 Bạch Quỳ, H. Kha Mộc") == []
+    assert parts("Quản Linh Kha Mộc, số 12 Bạch Thế Quỳ, P.8") == [("12", "bach the quy", "8", None, None, ["kha moc"])]
+
+
+def test_same_place_of_other_lengths(spark):
+    rows = [(i, f"f{i}", 0, "Số 12, đường Bạch Quỳ, P.8, H. Phiêu Lũng Vĩnh, tỉnh Sếu", None) for i in (1, 2)]
+    rows += [(3, "f3", 0, None, {"dia_chi": "12 Bach Quy, phuong 8, huyen Phieu Lung Vinh, tinh Seu"}), (4, "f4", 0, "Số 12 đường Bạch, P.8, H. Phiêu Lũng Vĩnh, tỉnh Sếu", None)]
+    assert linked_pairs(spark, rows) == {(1, 2), (1, 3), (2, 3)}
+
+
+def test_words_of_other_lengths_are_learned(spark):
+    rows = [({"dia_chi": "12 đường Bạch Quỳ, P. Sếu, H. Phiêu Lũng Vĩnh, tỉnh Kha"},), ({"dia_chi": "số 3 Giả Thế Văn Nam, P.8"},)]
+    words = addressing.place_words(spark.createDataFrame(rows, "extracted_fields map<string,string>"))
+    assert words.places == {"seu", "phieu", "lung", "vinh", "kha"} and words.streets == {"bach", "gia"}
+
+
 def results(spark, rows):
     return spark.createDataFrame(rows, "result_id bigint, file_path string, page_index int, full_text string, extracted_fields map<string,string>, place string, k string")
 
