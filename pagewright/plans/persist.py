@@ -1,19 +1,37 @@
-"""Cutting a plan at a result that several branches use."""
+"""Cutting a plan at a result that several branches use, and folders that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the checkpoint folder that all executors share, so that losing one loses nothing.
+def shared_folder(spark: SparkSession, name: str = "") -> str:
+    """A new folder below the one the cluster names in spark.checkpoint.dir; it goes when the application ends.
 
-    The folder is the cluster's (spark.checkpoint.dir). Only where none is set, as in tests, a temporary one is taken.
+    Where none is named, a temporary one will do on a local master, as in tests; on a cluster that is an error, as executors
+    would write to disks of their own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagewright-"))
-    return df.checkpoint()
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if base is None:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="pagewright-")
+        context.setCheckpointDir(base)
+    folder = f"{base.rstrip('/')}/pagewright-{name}{uuid.uuid4().hex}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and written as a table in a shared folder, so that losing an executor costs a reread, not a repeat.
+
+    A checkpoint would do too, but runs the plan twice: once for the job, once for the copy.
+    """
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
