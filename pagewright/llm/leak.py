@@ -1,16 +1,19 @@
 """Held-out passages inside corpus documents (problem 8).
 
-Method: greedy string tiling. Documents are read as words without case, accents and punctuation; runs of SEED words
-shared with a passage are found by a running Karp-Rabin hash over the whole document (numpy, a batch at a time);
-for each document and passage with enough seeds, the longest non-overlapping matches are marked repeatedly, and the
+Method: greedy string tiling. Documents are read as words of any script without case, accents and punctuation; runs of SEED words
+shared with a passage are found by a running Karp-Rabin hash over the whole document (numpy, a batch at a time) and checked
+word by word; for each document and passage with enough seeds to reach the threshold, the longest non-overlapping matches are marked repeatedly, and the
 part of the passage that the tiles cover is held against a threshold. Tiles may stand in any order in the document.
 
-The passages (a bench table) go to every task: their size is checked against MAX_PASSAGE_BYTES before.
+The passages (a bench table) go to every executor, where a worker builds their table once: their size is checked against
+MAX_PASSAGE_BYTES before.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import word_bytes
+from .textkit import words_of
 
 #: Words of a seed, the least length of a tile.
 SEED = 6
@@ -26,8 +29,6 @@ SEED = 6
 GROUP = 11
 #: Words that may be replaced between two tiles of the same alignment and still count as covered.
 BRIDGE = 2
-#: A seed that stands in more passages than this doesn't by itself make a passage a candidate.
-RARE = 3
 MAX_PASSAGE_BYTES = 32 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -90,43 +91,30 @@ def covered(tiles: list[tuple[int, int, int]], bridge: int = BRIDGE, group: int
 
 
 class Passages:
-    """Passages as word numbers and a sorted table of the hashes of their seeds."""
+    """Passages as word numbers and a sorted table of the hashes of their seeds; built in time linear in their words, but for sorts."""
 
     def __init__(self, items: list[tuple[int, str]], seed: int = SEED) -> None:
         self.seed = seed
         self.ids = [i for i, _ in items]
-        words = [word_bytes(self._without_standing(t, items)) for _, t in items]
+        opened = Counter(t.split(". ", 1)[0] for _, t in items if ". " in t)
+        words = [words_of(self._without_standing(t, opened)) for _, t in items]
         self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for ws in words for w in ws), 1)}
-        self.lengths = np.array([len(w) for w in words])
-        hashes, item, pos = [], [], []
-        for k, ws in enumerate(words):
-            h = self.rolling(np.array([self.vocabulary[w] for w in ws], np.uint64))
-            hashes.append(h)
-            item.append(np.full(len(h), k))
-            pos.append(np.arange(len(h)))
-        h, item, pos = (np.concatenate(x) if x else np.array([], np.int64) for x in (hashes, item, pos))
-        order = np.argsort(h, kind="stable")
+        self.lengths = np.array([len(w) for w in words], np.int64)
+        self.flat = np.array([self.vocabulary[w] for ws in words for w in ws], np.uint64)
+        self.base = np.r_[0, np.cumsum(self.lengths)[:-1]].astype(np.int64) if items else np.array([], np.int64)
+        h = self.rolling(self.flat)
+        item = np.repeat(np.arange(len(items)), self.lengths)[: len(h)]
+        pos = np.arange(len(h)) - self.base[item]
+        inside = pos + seed <= self.lengths[item]  # seeds don't run on into the next passage
+        order = np.flatnonzero(inside)[np.argsort(h[inside], kind="stable")]
         self.item, self.pos = item[order], pos[order]
         self.keys, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
-        spread = np.array([len(set(self.item[f : f + c].tolist())) for f, c in zip(self.first, self.count, strict=True)])
-        self.rare = spread <= RARE
-        # A passage that consists of common seeds for a good part needs them all to be found.
-        share = np.ones(len(items))
-        of = np.repeat(self.rare, self.count)
-        for k in range(len(items)):
-            own = of[self.item == k]
-            share[k] = own.mean() if len(own) else 1
-        self.needs_all = share < 0.7
-        if self.needs_all.any():
-            some = np.isin(self.item, np.flatnonzero(self.needs_all))
-            self.rare |= np.add.reduceat(some, self.first) > 0
 
     @staticmethod
-    def _without_standing(text: str, items: list[tuple[int, str]]) -> str:
+    def _without_standing(text: str, opened: Counter) -> str:
         """The text without a first sentence that opens other passages too (an instruction, no part of the passage)."""
-        head = text.split(". ", 1)[0]
-        same = sum(t.startswith(head + ". ") for _, t in items)
-        return text.split(". ", 1)[1] if same > 2 and ". " in text else text
+        head, stop, rest = text.partition(". ")
+        return rest if stop and opened[head] > 2 else text
 
     def rolling(self, numbers: np.ndarray) -> np.ndarray:
         """Karp-Rabin hash of every run of seed word numbers."""
@@ -139,18 +127,8 @@ class Passages:
             h += numbers[k : k + n]
         return h
 
-    def leaks(self, texts: list[str], least: float) -> Iterator[tuple[int, int, int, int]]:
-        """(index of the text, item id, words covered, words of the passage) with covered >= least * words."""
-        if not len(self.keys):
-            return
-        get = self.vocabulary.get
-        numbers: list[int] = []
-        bounds = [0]
-        for t in texts:
-            numbers += [get(w, 0) for w in word_bytes(t)]
-            numbers += [0] * self.seed
-            bounds.append(len(numbers))
-        ids = np.array(numbers, np.uint64)
+    def _seeds(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ids, item, place in the passage) of all seed matches; a hash that is met is checked word by word."""
         h = self.rolling(ids)
         known = ids != 0
         ok = known[: len(h)].copy()
@@ -161,24 +139,66 @@ class Passages:
         slot[slot == len(self.keys)] = 0
         hit = self.keys[slot] == h[at]
         at, slot = at[hit], slot[hit]
-        bounds = np.array(bounds)
-        text_of = np.searchsorted(bounds, at, side="right") - 1
-        for t in np.unique(text_of[self.rare[slot]]).tolist():
-            lo, hi = np.searchsorted(text_of, [t, t + 1])
-            a, s = at[lo:hi], slot[lo:hi]
-            r = self.rare[s]
-            items = set(np.unique(self.item[_spread(self.first[s[r]], self.count[s[r]])]).tolist())
-            rows = _spread(self.first[s], self.count[s])
-            where = np.repeat(a, self.count[s])
-            item, pos = self.item[rows], self.pos[rows]
-            for k in sorted(items):
-                mine = item == k
-                need = least * self.lengths[k]
-                if mine.sum() * self.seed < need - BRIDGE * mine.sum():  # even if every seed were a tile of its own
-                    continue
-                got = covered(tile(np.column_stack([where[mine], pos[mine]]), self.seed))
-                if got >= need:
-                    yield t, self.ids[k], got, int(self.lengths[k])
+        rows, where = _spread(self.first[slot], self.count[slot]), np.repeat(at, self.count[slot])
+        item, pos = self.item[rows], self.pos[rows]
+        same = np.ones(len(where), bool)
+        for k in range(self.seed):
+            same &= ids[where + k] == self.flat[self.base[item] + pos + k]
+        return where[same], item[same], pos[same]
+
+    def _reach(self, key: np.ndarray, pos: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The most words that tiles of seeds at these places (sorted by key, then place) could cover, by key.
+
+        It counts a place once, however often the document repeats it, and leaves out what stands too far from other seeds
+        to be part of a group.
+        """
+        if not len(pos):
+            return np.array([])
+        apart = np.r_[np.where(np.diff(key) == 0, np.diff(pos), 1 << 30), 1 << 30]
+        words = np.minimum(apart, self.seed + BRIDGE)
+        words[apart >= 1 << 30] = self.seed
+        starts = np.flatnonzero(np.r_[True, apart[:-1] > self.seed + SEED + BRIDGE])
+        group = np.add.reduceat(words, starts)
+        group[group < GROUP] = 0
+        per_key = np.zeros(len(first))
+        np.add.at(per_key, np.searchsorted(first, starts, side="right") - 1, group)
+        return per_key
+
+    def leaks(self, texts: list[str], least: float) -> Iterator[tuple[int, int, int, int]]:
+        """(index of the text, item id, words covered, words of the passage) with covered >= least * words."""
+        if not len(self.keys):
+            return
+        get = self.vocabulary.get
+        numbers: list[int] = []
+        bounds = [0]
+        for t in texts:
+            numbers += [get(w, 0) for w in words_of(t)]
+            numbers += [0] * self.seed
+            bounds.append(len(numbers))
+        where, item, pos = self._seeds(np.array(numbers, np.uint64))
+        text_of = np.searchsorted(np.array(bounds), where, side="right") - 1
+        key = text_of * len(self.ids) + item
+        order = np.lexsort((pos, key))
+        where, item, pos, key = where[order], item[order], pos[order], key[order]
+        pairs, first, count = np.unique(key, return_index=True, return_counts=True)
+        need = least * self.lengths[pairs % len(self.ids)]
+        enough = self._reach(key, pos, first) >= need
+        for pair, f, c, n in zip(pairs[enough].tolist(), first[enough].tolist(), count[enough].tolist(), need[enough].tolist(), strict=True):
+            got = covered(tile(np.column_stack([where[f : f + c], pos[f : f + c]]), self.seed))
+            if got >= n:
+                t, k = divmod(pair, len(self.ids))
+                yield t, self.ids[k], got, int(self.lengths[k])
+
+
+#: The passages that this worker process has built last, by the call they belong to.
+_BUILT: dict[str, Passages] = {}
+
+
+def _built(call: str, items: list[tuple[int, str]]) -> Passages:
+    if call not in _BUILT:
+        _BUILT.clear()
+        _BUILT[call] = Passages(items)
+    return _BUILT[call]
 
 
 def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -205,9 +225,10 @@ def leaks(documents: DataFrame, items: DataFrame, least: float = 0.4) -> DataFra
     """
     passages = passage_list(items)
     broadcast = documents.sparkSession.sparkContext.broadcast(passages)
+    call = uuid.uuid4().hex
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Passages(broadcast.value)
+        index = _built(call, broadcast.value)
         for batch in batches:
             ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
             rows = [(ids[t], i, c, n) for t, i, c, n in index.leaks(texts, least)]

@@ -112,12 +112,12 @@ _CLUSTERS = f"\\P{{M}}[\\p{{M}}{_klass(''.join(_invisible()))}]*|\\p{{M}}+"
 def plain_form(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """(keys..., raw, plain) of the rows whose text holds a character outside the plain set.
 
-    Rows with a null or plain text are left out: their plain form is the text itself. keys must identify a row; rows
-    that repeat a key give one row. Extra columns are ignored, whatever their names. A look-alike letter is replaced
+    Rows with a null or plain text are left out: their plain form is the text itself. Rows that repeat key and text
+    give one row, texts of one key a row each. Extra columns are ignored, whatever their names. A look-alike letter is replaced
     only in a word that also holds a Latin letter; words wholly in another script stay.
     """
     spark = df.sparkSession
-    key = F.struct(*[F.col(k) for k in keys])
+    key = F.struct(*[F.col(k) for k in keys], F.xxhash64(text_col).alias("__text"))
     suspects = df.where(F.col(text_col).rlike(GATE)).select(key.alias("k"), F.col(text_col).alias("raw")).dropDuplicates(["k"])
     points = F.broadcast(
         spark.createDataFrame(
@@ -154,7 +154,7 @@ def plain_form(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFr
     rebuilt = ordered.groupBy("k").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("w", "c", F.coalesce("one", "joined").alias("s")))), lambda x: x["s"]), "").alias("plain")
     )
-    return suspects.join(rebuilt, "k", "left").select("k.*", "raw", F.coalesce("plain", F.lit("")).alias("plain"))
+    return suspects.join(rebuilt, "k", "left").select(*[F.col("k")[c].alias(c) for c in keys], "raw", F.coalesce("plain", F.lit("")).alias("plain"))
 
 
 def with_plain(df: DataFrame, keys: list[str], text_col: str = "text", out_col: str = "plain_text") -> DataFrame:
@@ -164,5 +164,3 @@ def with_plain(df: DataFrame, keys: list[str], text_col: str = "text", out_col:
     for i, k in enumerate(keys):
         on = on & (df[k] == changed[f"__k{i}"])
     return df.join(changed, on, "left").select(*[df[c] for c in df.columns if c != out_col], F.coalesce("__plain", df[text_col]).alias(out_col))
-
-

@@ -137,9 +137,10 @@ def p9_profile(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_places, p3_found, p3_masked, p4_found, p4_texts, p5_found, p5_report, p6_found, p6_texts, p7_found, p7_containers, p8_found, p8_leaks, p9_found, p9_profile)}
 
 _MARKED = "[\\x{300}-\\x{36f}\\x{a0}\\x{ad}\\x{1680}\\x{2000}-\\x{200f}\\x{202a}-\\x{202f}\\x{205f}-\\x{206f}\\x{3000}\\x{feff}\\x{ff01}-\\x{ff5e}\\x{fb00}-\\x{fb06}ɑıɡÐðƉɖ]"
-_LOOKS = "".join(sorted(plainform.LOOKALIKE))
+# A word that mixes Latin letters with those of an alphabet that has look-alikes of them, said without the operator's table.
+_OTHER = "\\p{Greek}\\p{Cyrillic}\\p{Armenian}\\p{Cherokee}"
 _WORDPART = "[\\p{L}\\p{M}\\p{N}\\p{Cf}]*"
-_MIXED = f"\\p{{Latin}}{_WORDPART}[{_LOOKS}]|[{_LOOKS}]{_WORDPART}\\p{{Latin}}"
+_MIXED = f"\\p{{Latin}}{_WORDPART}[{_OTHER}]|[{_OTHER}]{_WORDPART}\\p{{Latin}}"
 
 SQL = {
     "p6_found": f"""

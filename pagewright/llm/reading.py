@@ -11,7 +11,6 @@ every document is scored.
 
 from __future__ import annotations
 
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textkit import Folding, word_part
+
 BANDS = ("basic", "middle", "advanced")
 #: Rated documents that the ranker is fitted on, at most.
 SAMPLE = 4000
@@ -37,45 +38,47 @@ LEAST_SENTENCE, VOTE_POWER = 5, 0.3
 #: Scale of the word shares against the syntax features.
 WORD_SCALE = 20.0
 _SYNTAX = 3
-_CLASS = bytes(
-    (c | 0x20 if 65 <= c <= 90 else c) if c < 128 and chr(c).isalnum() else 46 if chr(c) in ".!?\n" else 44 if chr(c) in ",;:" else 32
-    for c in range(256)
-)
+# What ends a sentence, and what parts its clauses.
+_ENDS, _COMMAS = frozenset(".!?\n。！？।॥։؟"), frozenset(",;:，、；：،؛")
+
+
+def _token_part(c: str) -> str:
+    return "." if c in _ENDS else " , " if c in _COMMAS else word_part(c)
+
+
+_TOKENS = Folding(_token_part)
 
 
-def sentences(text: str) -> list[list[bytes]]:
-    """The sentences of a text as folded words; commas are words of their own."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKD", text).replace("đ", "d").replace("Đ", "D")
-    raw = text.encode("ascii", "ignore").translate(_CLASS).replace(b",", b" , ")
-    return [s for s in map(bytes.split, raw.split(b".")) if len(s) >= 3]
+def sentences(text: str) -> list[list[str]]:
+    """The sentences of a text as folded words of any script; commas are words of their own."""
+    return [s for s in map(str.split, text.translate(_TOKENS).split(".")) if len(s) >= 3]
 
 
-def _syntax(words: list[bytes]) -> tuple[float, float, float]:
+def _syntax(words: list[str]) -> tuple[float, float, float]:
     n = len(words)
-    return n / 30, sum(map(len, words)) / n / 5, words.count(b",") / 2
+    return n / 30, sum(map(len, words)) / n / 5, words.count(",") / 2
 
 
 @dataclass
 class Ranker:
     """Weights of words and of syntax features, and the scores where the middle and the advanced band begin."""
 
-    words: dict[bytes, float]
+    words: dict[str, float]
     syntax: tuple[float, ...]
     starts: tuple[float, float]
 
-    def score(self, words: list[bytes]) -> float:
+    def score(self, words: list[str]) -> float:
         get = self.words.get
         s = sum([get(w, 0.0) for w in words]) / len(words)
         for a, b in zip(self.syntax, _syntax(words), strict=True):
             s += a * b
         return s
 
-    def band(self, text: str) -> str | None:
-        """The band in which the text mainly stands; of equal ones the lower. None if no sentence has three words.
+    def band(self, text: str) -> str:
+        """The band in which the text mainly stands; of equal ones the lower.
 
         Each sentence votes, a long one somewhat more. Headings, numbers and lines of tables (few words, or a third of them
-        digits) vote only if there is nothing else.
+        digits) vote only if there is nothing else; where no sentence has three words, the text is judged as one.
         """
         for least, plain in ((LEAST_SENTENCE, True), (3, False)):
             votes = [0.0, 0.0, 0.0]
@@ -86,7 +89,8 @@ class Ranker:
                 votes[(s > self.starts[0]) + (s > self.starts[1])] += len(words) ** VOTE_POWER
             if any(votes):
                 return BANDS[votes.index(max(votes))]
-        return None
+        s = self.score(text.translate(_TOKENS).replace(".", " ").split() or ["-"])
+        return BANDS[(s > self.starts[0]) + (s > self.starts[1])]
 
 
 def isotonic(scores: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,8 +126,8 @@ def _rank(x: np.ndarray, y: np.ndarray, pairs: int, steps: int, seed: int) -> np
 
 def fit(texts: list[str], levels: list[float], pairs: int = PAIRS, steps: int = 250, seed: int = 7) -> Ranker:
     """Fit the ranker on rated texts (level 0 to 2)."""
-    docs = [[w for s in sentences(t) for w in s] or [b"-"] for t in texts]
-    sent = [sentences(t) or [[b"-"] * 3] for t in texts]
+    docs = [[w for s in sentences(t) for w in s] or ["-"] for t in texts]
+    sent = [sentences(t) or [["-"] * 3] for t in texts]
     seen = Counter(w for d in docs for w in set(d) if not w.isdigit())
     vocabulary = {w: k for k, w in enumerate(w for w, c in sorted(seen.items()) if c >= LEAST_DOCS)}
     v = len(vocabulary)
@@ -189,8 +193,8 @@ def bands(documents: DataFrame, ranker: Ranker, least_words: int = LEAST_WORDS)
             rows = []
             for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
                 n = len(text.split())
-                if n >= least_words and (band := rank.band(text)):
-                    rows.append((doc_id, n, band))
+                if n >= least_words:
+                    rows.append((doc_id, n, rank.band(text)))
             yield pd.DataFrame(rows, columns=["doc_id", "words", "band"])
 
     return documents.where("text is not null and doc_id is not null").select("doc_id", "text").mapInPandas(judge, "doc_id bigint, words int, band string")

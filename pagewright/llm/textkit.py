@@ -1,12 +1,52 @@
-"""Text folding shared by the operators here, for code that runs in Python workers."""
+"""Text folding shared by the operators here, for code that runs in Python workers.
+
+Folding goes through str.translate with tables that grow by the characters met, at most one entry a code point.
+"""
 
 from __future__ import annotations
 
 import unicodedata
 
-_WORDS = bytes(
-    (c | 0x20 if 65 <= c <= 90 else c) if chr(c).isalnum() and c < 128 else 32 for c in range(256)
-)
+#: Letters that Unicode doesn't take apart, as people write them without their signs.
+_ALONE = {"đ": "d", "Đ": "d", "ð": "d", "ø": "o", "Ø": "o", "ł": "l", "Ł": "l", "ß": "ss", "æ": "ae", "Æ": "ae", "œ": "oe", "Œ": "oe", "ħ": "h", "ı": "i"}
+#: First and last code points of scripts written without spaces: each of their characters is a word.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2FA1F))
+
+
+class Folding(dict):
+    """Table for str.translate that works out a character when it is met first."""
+
+    def __init__(self, of) -> None:
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, c: int) -> str:
+        self[c] = self.of(chr(c))
+        return self[c]
+
+
+def _stripped(c: str) -> str:
+    low = c.lower()
+    if low < "\x80":
+        return low
+    return "d" if low == "đ" else unicodedata.normalize("NFD", low)[0] if len(low) == 1 else low
+
+
+def _folded(c: str) -> str:
+    """Lower-case letters and digits without marks, or nothing."""
+    plain = "".join(_ALONE.get(x, x) for x in unicodedata.normalize("NFKD", c))
+    return "".join(x for x in plain.lower() if not unicodedata.combining(x))
+
+
+def word_part(c: str) -> str:
+    """What a character gives to a word: itself folded, nothing for marks, or a blank."""
+    if unicodedata.category(c) in ("Mn", "Me", "Cf"):
+        return ""
+    part = "".join(x if x.isalnum() or unicodedata.category(x) == "Mc" else " " for x in _folded(c))
+    return f" {part} " if any(a <= ord(c) <= b for a, b in _UNSPACED) else part
+
+
+_STRIP, _WORDS = Folding(_stripped), Folding(word_part)
 
 
 def strip_marks(text: str) -> str:
@@ -14,25 +54,17 @@ def strip_marks(text: str) -> str:
 
     Letters outside ASCII that have no ASCII base stay as they are.
     """
-    text = unicodedata.normalize("NFC", text).lower()
     if text.isascii():
-        return text
-    out = []
-    for ch in text:
-        if ch < "\x80":
-            out.append(ch)
-        elif ch == "đ":
-            out.append("d")
-        else:
-            out.append(unicodedata.normalize("NFD", ch)[0])
-    return "".join(out)
-
-
-def word_bytes(text: str) -> list[bytes]:
-    """The lower-case ASCII words of a text; accents and characters without an ASCII form are dropped."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKD", text).replace("đ", "d").replace("Đ", "D")
-    return text.encode("ascii", "ignore").translate(_WORDS).split()
+        return text.lower()
+    return unicodedata.normalize("NFC", text).translate(_STRIP)
+
+
+def words_of(text: str) -> list[str]:
+    """The folded words of a text: runs of letters and digits of any script, lower case, without accents.
+
+    A character of a script that is written without spaces is a word of its own.
+    """
+    return text.translate(_WORDS).split()
 
 
 def osa_distance(a: str, b: str, limit: int) -> int:
