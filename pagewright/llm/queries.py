@@ -77,15 +77,20 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Overlaps and distinct held-out records by split and source of the held-out record and way of finding."""
+    """Overlaps, distinct held-out records, and spans of their labels, by split and source of the held-out record and way of finding."""
     rows = _read(spark, folder, "train_annotation")
     held = rows.select(F.col("sample_id").alias("held_id"), "split", "source")
     return (
         overlap.overlaps(rows).join(held, "held_id").groupBy("split", "source", "by_path", "by_label")
-        .agg(F.count("*").alias("n_pairs"), F.countDistinct("held_id").alias("n_records"))
+        .agg(F.count("*").alias("n_pairs"), F.countDistinct("held_id").alias("n_records"), F.sum("spans").alias("n_spans"), F.sum("chars").alias("n_chars"))
     )
 
 
+def p5_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record with the class of its exact copies and the number of records of the other side that it overlaps with."""
+    return overlap.links(_read(spark, folder, "train_annotation"))
+
+
 def p6_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Texts of train and ocr_box whose plain form differs, with that form."""
     rows = _read(spark, folder, "train").select(F.lit("train").alias("origin"), F.col("line_id").alias("row_id"), "text").unionByName(
@@ -134,7 +139,7 @@ def p9_profile(spark: SparkSession, folder: str) -> DataFrame:
     return banded.join(documents.select("doc_id", "source"), "doc_id").groupBy("source", "band").agg(F.count("*").alias("n_docs"), F.sum("words").alias("n_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_places, p3_found, p3_masked, p4_found, p4_texts, p5_found, p5_report, p6_found, p6_texts, p7_found, p7_containers, p8_found, p8_leaks, p9_found, p9_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_places, p3_found, p3_masked, p4_found, p4_texts, p5_found, p5_report, p5_links, p6_found, p6_texts, p7_found, p7_containers, p8_found, p8_leaks, p9_found, p9_profile)}
 
 _MARKED = "[\\x{300}-\\x{36f}\\x{a0}\\x{ad}\\x{1680}\\x{2000}-\\x{200f}\\x{202a}-\\x{202f}\\x{205f}-\\x{206f}\\x{3000}\\x{feff}\\x{ff01}-\\x{ff5e}\\x{fb00}-\\x{fb06}ɑıɡÐðƉɖ]"
 # A word that mixes Latin letters with those of an alphabet that has look-alikes of them, said without the operator's table.

@@ -1,4 +1,5 @@
 import random
+import time
 import unicodedata
 
 import numpy as np
@@ -122,19 +123,78 @@ def mutate(rng, s, n):
     return s
 
 
-def test_near_labels_against_brute_force(spark):
-    rng = random.Random(8)
+def near(train, held):
+    split = overlap._split
+    return {(t, h) for t in set(train) for h in set(held) if split(t)[1] == split(h)[1] and overlap.osa_distance(split(t)[0], split(h)[0], 4) <= 4}
+
+
+def some_labels(seed, n, digits):
+    rng = random.Random(seed)
     phrases = ["bandachuyenphieuxuat", "trongthoihanbangay", "taikhotrungchuyen", "quathudientunoibo", "khiphathiensailech", "choykienvedongia"]
     pick = lambda: "".join(rng.sample(phrases, 3)) + rng.choice("abcdefgh") * 2 + rng.choice("ijklmnop")
-    held = [pick() + (str(rng.randint(0, 30)) if rng.random() < 0.5 else "") for _ in range(150)]
-    train = [mutate(rng, h.rstrip("0123456789"), rng.randint(0, 4)) + h[len(h.rstrip("0123456789")) :] for h in held] + [pick() for _ in range(100)]
-    rows = [("held", h) for h in held] + [("train", t) for t in train] + [("train", None), ("held", ""), ("train", train[0])]
-    df = spark.createDataFrame(rows, "side string, label string")
-    split = overlap._split
-    want = {(t, h) for t in set(train) for h in set(held) if split(t)[1] == split(h)[1] and overlap.osa_distance(split(t)[0], split(h)[0], 4) <= 4}
-    for shard_rows in (10_000, 40):
-        got = {(r["train_label"], r["held_label"]) for r in overlap.same_labels(df, shard_rows).collect()}
-        assert got == want
+    held = [pick() + (str(rng.randint(0, digits)) if rng.random() < 0.5 else "") for _ in range(n)]
+    train = [mutate(rng, h.rstrip("0123456789"), rng.randint(0, 4)) + h[len(h.rstrip("0123456789")) :] for h in held] + [pick() for _ in range(2 * n // 3)]
+    return train, held
+
+
+@pytest.mark.parametrize(("digits", "shard_rows", "part", "hot"), [(30, 10_000, 1000, 1000), (30, 40, 20, 1000), (1, 60, 1000, 20)])
+def test_near_labels_against_brute_force(spark, monkeypatch, digits, shard_rows, part, hot):
+    monkeypatch.setattr(overlap, "HOT", hot)
+    train, held = some_labels(8, 150, digits)
+    rows = [("label", "held", h) for h in held] + [("label", "train", t) for t in train] + [("label", "train", None), ("path", "held", ""), ("label", "train", train[0])]
+    df = spark.createDataFrame(rows, "kind string, side string, text string")
+    got = {(r["train_text"], r["held_text"]) for r in overlap.same_texts(df, shard_rows, part).collect()}
+    assert got == near(train, held)
+
+
+def swapped(s, places):
+    for k in places:
+        s = s[:k] + s[k + 1] + s[k] + s[k + 2 :]
+    return s
+
+
+def test_swaps_and_many_labels_of_equal_digits():
+    rng = random.Random(3)
+    held = ["".join(rng.choice("abcdefghijklmnop") for _ in range(30)) + "2025" for _ in range(400)]
+    train = [swapped(h[:30], range(5, 29, 6)) + "2025" for h in held] + held[:20]
+    assert {x[:2] for x in overlap.match_labels(train, held)} == near(train, held) and len(near(train, held)) == 420
+    short = ["ab7", "abcd7", "abcdefg7", "x7"] * 1 + [f"{c}qqqqqqqqqq7" for c in "abcdefghijklmnopqrstuvwxyzabcdefghij"]
+    assert {x[:2] for x in overlap.match_labels(short, short)} == near(short, short)
+
+
+def test_time_of_equal_digits_grows_with_the_labels():
+    def took(n):
+        rng = random.Random(n)
+        held = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(34)) + "77" for _ in range(n)]
+        began = time.process_time()
+        assert len(overlap.match_labels([mutate(rng, h[:34], 2) + "77" for h in held], held)) == n
+        return time.process_time() - began
+
+    took(200)
+    assert took(4000) < 16 * took(1000)  # four times as many; all pairs would cost sixteen times
+
+
+def test_spans():
+    assert overlap.spans("abcdefgh", "abcXefgh", [(4, 4, 2)]) == (1, 4)
+    assert overlap.spans("abcdefgh", "abcXefgh", [(4, 4, 2), (6, 6, 2), (0, 0, 2)]) == (2, 7)
+
+
+def test_paths_by_their_ends():
+    paths = ["x/y/1", "data/a/x/y/1", "data/b/x/y/1", "y/1", "1", "x/yy/1", "z/1", "ü/y/1"]
+    got = {(a, b) for a, b, *_ in overlap.match_paths(paths, paths)}
+    want = {(a, b) for a in paths for b in paths if a == b or ("/" in a and "/" in b and (a.endswith("/" + b) or b.endswith("/" + a)))}
+    assert got == want and ("data/a/x/y/1", "data/b/x/y/1") not in got and ("x/y/1", "data/a/x/y/1") in got
+    assert overlap.match_paths([], paths) == [] and overlap.match_paths(["q/2"], paths) == []
+
+
+def test_links_count_without_pairs(spark):
+    long = "Giao 45 ram đầu nối ống cho đơn 10000003707"
+    rows = [(1, "train", "a/b/1.jpg", long), (2, "train", "a/b/1.png", long), (3, "val", "a/b/1.jpg", "x"), (4, "test", "c/d/2.jpg", long + "."), (5, "test", "c/d/2.jpg", long), (6, "val", "a/b/1.jpg", long), (7, "train", "e/f/3.jpg", None)]
+    df = spark.createDataFrame(rows, "sample_id bigint, split string, img_path string, label string")
+    found = [(r["train_id"], r["held_id"]) for r in overlap.overlaps(df).collect()]
+    got = {r["sample_id"]: (r["class_id"], r["n_links"]) for r in overlap.links(df).collect()}
+    assert got == {k: (c, sum(k in p for p in found)) for k, c in {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7}.items()}
+    assert overlap.links(df.limit(0)).count() == 0
 
 
 def test_overlaps(spark):
