@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 from ..functions.text import remove_accents
 from .textkit import osa_distance, strip_marks
 
-#: A word is part of place or street names if it makes up 1 in SHARE of the words in such a position.
-SHARE = 1000
+#: A word is part of place or street names if it stands in such a position so often, and in this part of all its places in addresses,
+LEAST_COUNT, LEAST_PART = 3, 0.1
+#: and no word an edit away is so many times more frequent there (it is a misspelling then, and is_place() knows it as one).
+MISSPELLED = 8
+#: Words that go to the tasks, at most: more are an error. They are words of a language, so their number doesn't follow the data.
+MAX_WORDS = 500_000
 
 _BREAK = re.compile(r"(?<=[^\W\d_])[-¬=‐]\n(?=[^\W\d_])")
 
@@ -39,7 +43,7 @@ def joined(text: str) -> tuple[str, list[int]]:
 
 
 # Forms of the parts of an address, on folded text. Every pattern keeps places in the text.
-_NUMBER = r"(?:(?:so nha|so|sn|lo|lot)\s+)?(?:[a-h]\s?-?\s?\d{1,4}|\d{1,4}(?:\s?/\s?\d{1,4})?(?:\s?[a-h](?![a-z.]))?)"
+_NUMBER = r"(?:(?:so nha|so|sn|lo|lot)\s+)?(?:[a-h]\s?-?\s?\d{1,5}(?![\d/])|[a-z]\d{1,5}(?=/\d)(?:/\d{1,5}){1,5}|\d{1,5}(?:\s?/\s?\d{1,5}){0,5}(?:\s?[a-h](?![a-z.]))?)"
 _STREET_WORD = r"(?:duong|pho|dg|d|p)\b\.?"
 _NAME = r"[a-z]+\s+(?:[a-z]\s?\.|[a-z]+)\s+[a-z]+"
 _ANCHOR, _ANCHOR_3 = (
@@ -53,7 +57,7 @@ _LEVELS = {
 _DELIMITER = r"\s*[,;]\s*|\s+-\s+|\s*–\s*"
 _DELIMITED = re.compile(_DELIMITER)
 _PART = re.compile(
-    rf"(?:(?P<province>{_LEVELS['province']})(?:\s*\.\s*|\s+)|(?P<district>{_LEVELS['district']})(?:\s*\.\s*|\s+)|(?P<ward>{_LEVELS['ward']})(?:\s*\.\s*|\s+|(?=\d)))?"
+    rf"(?:(?P<province>{_LEVELS['province']})(?:\s*\.\s*|\s+)|(?P<district>{_LEVELS['district']})(?:\s*\.\s*|\s+|(?<=q)(?=\d))|(?P<ward>{_LEVELS['ward']})(?:\s*\.\s*|\s+|(?=\d)))?"
     r"(?:(?P<digits>\d{1,2})(?![\d/])|(?P<name>[a-z]+\s+[a-z]+)(?![a-z]))"
 )
 # A part of one to four words, bounded by what follows.
@@ -88,26 +92,41 @@ class PlaceWords:
 
     def __init__(self, places: set[str], streets: set[str]) -> None:
         self.places, self.streets = places, streets
-        self.memo: dict[str, bool] = {}
+        self.near = [Deletions(w for w in ws if len(w) >= 3) for ws in (places, streets)]
 
     def is_place(self, word: str) -> bool:
         """Whether a folded word is part of place names, also with a letter or so wrong."""
-        if word in self.places:
-            return True
+        return word in self.places or (len(word) >= 3 and self.near[0].holds(word))
+
+    def is_street(self, word: str) -> bool:
+        return word in self.streets or (len(word) >= 3 and self.near[1].holds(word))
+
+
+class Deletions:
+    """Words by what is left of them without a letter: words within one edit of each other share one of these."""
+
+    def __init__(self, words) -> None:
+        self.of: dict[str, list[str]] = {}
+        for w in words:
+            for v in self._left(w):
+                self.of.setdefault(v, []).append(w)
+        self.memo: dict[str, bool] = {}
+
+    @staticmethod
+    def _left(word: str) -> set[str]:
+        return {word, *(word[:k] + word[k + 1 :] for k in range(len(word)))}
+
+    def near(self, word: str) -> set[str]:
+        return {w for v in self._left(word) for w in self.of.get(v, ()) if osa_distance(word, w, 1) <= 1}
+
+    def holds(self, word: str) -> bool:
+        """Whether a word within one edit is there."""
         if word not in self.memo:
             if len(self.memo) > 200_000:
                 self.memo.clear()
-            self.memo[word] = len(word) >= 3 and any(osa_distance(word, p, 1) <= 1 for p in self.places if len(p) >= 3)
+            self.memo[word] = any(osa_distance(word, w, 1) <= 1 for v in self._left(word) for w in self.of.get(v, ()))
         return self.memo[word]
 
-    def is_street(self, word: str) -> bool:
-        if word in self.streets:
-            return True
-        key = "\0" + word
-        if key not in self.memo:
-            self.memo[key] = len(word) >= 3 and any(osa_distance(word, p, 1) <= 1 for p in self.streets if len(p) >= 3)
-        return self.memo[key]
-
 
 def fold_places(text: str) -> str:
     """strip_marks that keeps the number of characters (the text must be in composed form)."""
@@ -122,6 +141,8 @@ def find_addresses(text: str, words: PlaceWords) -> list[Address]:
     at = 0
     while m := _ANCHOR.search(folded, at):
         at = m.start() + 1
+        if not (m["sw"] or m["num"][0] in "sl" or words.is_street(m["street"])):
+            continue
         # The last digits of a phone or identity number are a house number only if three words and a delimiter say so.
         group = bool(re.search(r"\d{3}[\s.)]*$", folded[max(0, m.start() - 8) : m.start()]))
         for n, street, r, first in _streets(text, folded, m, words):
@@ -220,9 +241,10 @@ def _number(text: str) -> str:
 def _take(a: Address, m: re.Match, words: PlaceWords) -> bool:
     level = next((k for k in ("province", "district", "ward") if m[k]), None)
     if m["digits"]:
-        if level not in (None, "ward") or (level is None):
+        if not _valid(m, words):
             return False
-        a.ward = a.ward or str(int(m["digits"]))
+        if getattr(a, level) is None:
+            setattr(a, level, str(int(m["digits"])))
         return True
     name = re.sub(r"\s+", " ", m["name"])
     if not _valid(m, words):
@@ -264,7 +286,7 @@ def _readings(s: str, at: int):
 
 def _valid(m: re.Match, words: PlaceWords) -> bool:
     if m["digits"]:
-        return bool(m["ward"])
+        return bool(m["ward"]) or m["district"] in ("quan", "q")
     name = m["name"].split()
     level = m["province"] or m["district"] or m["ward"]
     if len(name) == 1:
@@ -292,7 +314,7 @@ def _parts_before(s: str, at: int, a: Address, words: PlaceWords, text: str) ->
             for b in range(window, end):
                 if b and (s[b - 1].isalnum()):
                     continue
-                if any(x.isdigit() for x in s[b:end]) and not re.match(r"(?:phuong|p)\b|p\d", s[b:end]):
+                if any(x.isdigit() for x in s[b:end]) and not re.match(r"(?:phuong|p|quan|q)\b|[pq]\d", s[b:end]):
                     continue
                 m = _PART.fullmatch(s, b, end)
                 if not (m and _valid(m, words)):
@@ -325,21 +347,31 @@ def compose(text: str) -> str:
 def place_words(results: DataFrame, field_name: str = "dia_chi", column: str = "extracted_fields", reference: list[str] | None = None) -> PlaceWords:
     """Learn the words of place and street names from the values of an address field.
 
-    Words that follow a word for a level, or a house number, are counted over all rows; those that make up 1 in SHARE are
-    kept, so at most SHARE of each kind go to the driver. Names of a reference list are added.
+    Words that follow a word for a level, or a house number, are counted over all rows, beside all places where they stand; see
+    LEAST_COUNT, LEAST_PART and MISSPELLED. Names of a reference list are added.
     """
     value = F.lower(remove_accents(F.regexp_replace(F.col(column)[field_name], r"\s+", " ")))
-    values = results.select(value.alias("v")).where("v is not null")
-
-    def frequent(pattern: str, group: int) -> set[str]:
-        names = values.select(F.explode(F.regexp_extract_all("v", F.lit(pattern), F.lit(group))).alias("n"))
-        counted = names.select(F.explode(F.split(F.trim("n"), " ")).alias("w")).where("length(w) > 1").groupBy("w").count()
-        least = F.broadcast(counted.agg((F.sum("count") / SHARE).alias("least")))
-        return {r["w"] for r in counted.join(least, F.col("count") >= F.col("least")).select("w").collect()}
-
-    places = frequent(r"(?:^|[,;\-] ?)(?:tinh|tp|t|huyen|quan|h|q|phuong|p)(?: ?\. ?| )([a-z]+(?: [a-z]+){0,3})(?= ?(?:[,;\-(]|$))", 1)
-    streets = frequent(r"(?:so|sn|lo|^|[,;] ?) ?[a-h]?-?\d+(?:/\d+)? ?[a-h]?,? (?:(?:duong|pho|dg|d)\.? )?([a-z]+)(?: (?:[a-z]\.|[a-z]+)){0,4}(?= ?(?:[,;\-(]|$))", 1)
-    for name in reference or []:
-        places |= set(strip_marks(name).split())
+    places = r"(?:^|[,;\-] ?)(?:tinh|tp|t|huyen|quan|h|q|phuong|p)(?: ?\. ?| )([a-z]+(?: [a-z]+){0,3})(?= ?(?:[,;\-(]|$))"
+    streets = r"(?:so|sn|lo|^|[,;] ?) ?[a-h]?-?\d+(?:/\d+)? ?[a-h]?,? (?:(?:duong|pho|dg|d)\.? )?([a-z]+)(?: (?:[a-z]\.|[a-z]+)){0,4}(?= ?(?:[,;\-(]|$))"
+    found = lambda kind, pattern: F.transform(
+        F.split(F.array_join(F.regexp_extract_all("v", F.lit(pattern), F.lit(1)), " "), " "), lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("w"))
+    )
+    everywhere = F.transform(F.split("v", "[^a-z]+"), lambda w: F.struct(F.lit("all").alias("kind"), w.alias("w")))
+    rows = results.select(value.alias("v")).where("v is not null").select(F.explode(F.concat(found("place", places), found("street", streets), everywhere)).alias("x"))
+    n = lambda kind: F.count_if(F.col("x.kind") == kind)
+    counted = rows.where("length(x.w) > 1").groupBy("x.w").agg(n("place").alias("place"), n("street").alias("street"), n("all").alias("n"))
+    # Words for a level stand everywhere, and may be part of names too.
+    levels = ("tinh", "huyen", "quan", "phuong", "duong", "pho", "tp", "xa", "thi", "lo")
+    usual = lambda c: (F.col(c) >= LEAST_COUNT) & ((F.col(c) >= LEAST_PART * F.col("n")) | F.col("w").isin(*levels))
+    kept = counted.where(usual("place") | usual("street")).limit(MAX_WORDS + 1).collect()
+    if len(kept) > MAX_WORDS:
+        raise ValueError(f"more than {MAX_WORDS} words of places")
+
+    def sound(kind: str) -> set[str]:
+        counts = {r["w"]: r[kind] for r in kept if r[kind] >= LEAST_COUNT and (r[kind] >= LEAST_PART * r["n"] or r["w"] in levels)}
+        index = Deletions(counts)
+        return {w for w, c in counts.items() if not any(counts[o] >= MISSPELLED * c for o in index.near(w))}
+
+    names = sound("place") | {w for name in reference or [] for w in strip_marks(name).split()}
     level_words = {"tinh", "huyen", "quan", "phuong", "duong", "pho", "tp"}
-    return PlaceWords({w for w in places if w == "huyen" or w not in level_words}, {w for w in streets if w not in level_words - {"pho", "quan"}})
+    return PlaceWords({w for w in names if w == "huyen" or w not in level_words}, {w for w in sound("street") if w not in level_words - {"pho", "quan"}})

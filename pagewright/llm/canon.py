@@ -6,8 +6,11 @@ leaves a branch when no cell is within the limit. The limit depends on the lengt
 limit come out of search(); match() takes the nearest.
 
 A value is no misspelling of an entry if the words in which they differ are common words of their own: word counts
-over all values are made in Spark, and only words with a share of at least 1 in COMMON go to the tasks, which bounds
-them to COMMON words whatever the size of the data. The reference list is checked to be small.
+over all values are made in Spark. To the tasks go the words that the decision needs, those with a share of OWN_SHARE or more of
+their field, at most 1 / OWN_SHARE of them, and the words of the entries. The reference list is checked to be small.
+
+Alias paths: words that may decorate any value of a field are those that stand before or after a good part of its entries in
+the corpus (see learn_decorations()), beside some stated below; job titles are abbreviated by a rule, see abbreviations().
 """
 
 from __future__ import annotations
@@ -20,10 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import remove_accents
+from ..plans.persist import cut
 from .textkit import osa_distance, strip_marks
 
-COMMON = 20_000
 MAX_ENTRIES = 100_000
+#: What stands beside this part of a field's entries, and beside so many, is a decoration.
+DECORATED, LEAST_DECORATED = 0.25, 3
 #: A word of a value counts as a word of its own beside the entry's if it is at least so common against it, in the field.
 OWN_WORD = 0.05
 #: ... and makes up at least this share of the field's words.
@@ -35,12 +41,8 @@ DECORATIONS = {
     "hang_may": (("hieu", "hang", "may", "hangmay"), ("coltd", "corp", "co", "ltd", "inc")),
     "chuc_danh": (("chucvu", "chucdanh"), ()),
 }
-# Abbreviations of parts of job titles (folded).
-ABBREVIATIONS = (
-    ("nhan vien", "nv"), ("truong phong", "tr phong"), ("truong phong", "tp"), ("to truong", "tt"), ("van phong", "vp"),
-    ("tong giam doc", "tgd"), ("pho giam doc", "pgd"), ("pho giam doc", "pho gd"), ("tong giam doc", "tong gd"), ("giam doc", "gd"),
-    ("ke toan", "kt"), ("ky thuat", "kt"),
-)
+#: Fields whose values are abbreviated word by word.
+ABBREVIATED = ("chuc_danh",)
 
 
 def limit_for(length: int) -> int:
@@ -53,6 +55,29 @@ def compact(text: str) -> str:
     return "".join(c for c in strip_marks(text) if c.isalnum() or c in "@$|")
 
 
+def words_of_value(value: str) -> list[str]:
+    """The words of a value, without marks and punctuation."""
+    value = re.sub(r"[®™()\[\]{}\"'“”*]", " ", value).strip()
+    return [w for w in re.split(r"[\s,;:._/\-]+", value) if w]
+
+
+def abbreviations(name: str) -> set[str]:
+    """Forms of a folded name: runs of two words or more given by their initials, the first word by its first consonants."""
+    words = name.split()
+
+    def forms(k: int) -> list[list[str]]:
+        if k == len(words):
+            return [[]]
+        out = [[words[k], *rest] for rest in forms(k + 1)]
+        for e in range(k + 2, len(words) + 1):
+            out += [["".join(w[0] for w in words[k:e]), *rest] for rest in forms(e)]
+        return out
+
+    found = {" ".join(f) for f in forms(0)}
+    onset = re.match(r"[b-df-hj-np-tv-xz]{2,}", words[0]) if len(words) > 1 else None
+    return found | ({" ".join([onset[0], *f]) for f in forms(1)} if onset else set())
+
+
 class Trie:
     """Words with the entries they lead to: (entry, limit) at each end."""
 
@@ -110,23 +135,25 @@ class Trie:
 class Canon:
     """The entries of one field, ready to match."""
 
-    def __init__(self, field: str, entries: Iterable[tuple[int, str]], counts: dict[str, int]) -> None:
+    def __init__(self, field: str, entries: Iterable[tuple[int, str]], counts: WordCounts | None = None, decorations: tuple[Iterable[str], Iterable[str]] = ((), ())) -> None:
         self.names = {i: name for i, name in entries}
-        self.counts = counts
-        self.least = OWN_SHARE * sum(counts.values())
-        self.folded: dict[str, int] = {}
-        for w, c in counts.items():
-            f = strip_marks(w)
-            self.folded[f] = self.folded.get(f, 0) + c
-        self.plain = {i: strip_marks(n).split() for i, n in self.names.items()}
+        self.counts, self.folded, total = counts or ({}, {}, 0)
+        self.least = OWN_SHARE * total
         before, after = DECORATIONS.get(field, ((), ()))
-        self.before = sorted(before, key=len, reverse=True)
-        self.after = sorted(after, key=len, reverse=True)
+        self.before = sorted({*before, *decorations[0]}, key=len, reverse=True)
+        self.after = sorted({*after, *decorations[1]}, key=len, reverse=True)
         self.trie = Trie()
+        of: dict[str, set[int]] = {}
         for i, name in self.names.items():
-            for form in self._forms(strip_marks(name), field == "chuc_danh"):
-                word = compact(form)
-                limit = limit_for(len(word))
+            plain = " ".join(strip_marks(name).split())
+            for form in {plain, *(abbreviations(plain) if field in ABBREVIATED and plain else ())}:
+                of.setdefault(compact(form), set()).add(i)
+        whole = {compact(n): i for i, n in self.names.items()}
+        for word, ids in of.items():
+            if not word or (len(ids) > 1 and word not in whole):  # an abbreviation that several entries share says nothing
+                continue
+            limit = limit_for(len(word))
+            for i in ids:
                 self.trie.add(word, i, limit)
                 for d in self.before:
                     self.trie.add(d + word, i, limit)
@@ -134,18 +161,9 @@ class Canon:
                     self.trie.add(word + d, i, limit)
         self.match = lru_cache(200_000)(self._match)
 
-    @staticmethod
-    def _forms(name: str, abbreviate: bool) -> set[str]:
-        forms = {name}
-        if abbreviate:
-            for full, short in ABBREVIATIONS:
-                forms |= {re.sub(rf"\b{full}\b", short, f) for f in forms}
-        return forms
-
     def bare(self, value: str) -> str:
         """The value in lower case, without marks of decoration and without decorating words, however many."""
-        value = re.sub(r"[®™()\[\]{}\"'“”*]", " ", value).strip()
-        words = [w for w in re.split(r"[\s,;:._/\-]+", value) if w]
+        words = words_of_value(value)
         changed = True
         while changed and len(words) > 1:
             changed = False
@@ -164,7 +182,7 @@ class Canon:
         exact = self.trie.exact(word) or self.trie.exact(compact(value))
         if exact:
             return dict.fromkeys(exact, 0)
-        return self.trie.search(word, limit_for(max(len(word), 4) + 1))
+        return self.trie.search(word, limit_for(len(word) + 3))
 
     def _differs(self, bare: str, entry: int) -> bool:
         """Whether the words in which the value differs from the entry are common words of their own."""
@@ -195,17 +213,74 @@ class Canon:
         )
 
 
-def word_counts(values: DataFrame, field_col: str = "field_name", value_col: str = "value", common: int = COMMON) -> dict[str, dict[str, int]]:
-    """Field -> count of each lower-case word that makes up at least 1 in `common` of the field's words.
+#: Counts of words as written and of folded words, and the number of all words, of a field.
+WordCounts = tuple[dict[str, int], dict[str, int], int]
+Entry = tuple[int, str, str]
 
-    So there are at most `common` words a field.
+
+def entries(reference: DataFrame) -> list[Entry]:
+    """(ref_id, field_name, canonical) of the reference list, after a check of its size; rows with a null are left out."""
+    rows = reference.where("canonical is not null and field_name is not null and ref_id is not null").select("ref_id", "field_name", "canonical").distinct()
+    out = rows.limit(MAX_ENTRIES + 1).collect()
+    if len(out) > MAX_ENTRIES:
+        raise ValueError(f"more than {MAX_ENTRIES} reference entries")
+    return sorted(tuple(r) for r in out)
+
+
+def word_counts(values: DataFrame, listed: list[Entry]) -> dict[str, WordCounts]:
+    """Field -> counts of its words over all values (field_name, value), of those that a decision may need.
+
+    These are the words that make up OWN_SHARE of a field's words, at most 1 / OWN_SHARE of them, and those of the entries.
     """
-    words = values.select(F.col(field_col).alias("f"), F.explode(F.split(F.lower(F.col(value_col)), "[\\s,;:._/\\-()]+")).alias("w")).where("w <> ''")
-    counted = words.groupBy("f", "w").count()
-    least = F.broadcast(counted.groupBy("f").agg((F.sum("count") / common).alias("least")))
-    out: dict[str, dict[str, int]] = {}
-    for r in counted.join(least, "f").where("count >= least").select("f", "w", "count").collect():
-        out.setdefault(r["f"], {})[r["w"]] = r["count"]
+    words = values.select(F.col("field_name").alias("f"), F.explode(F.split(F.lower(F.col("value")), "[\\s,;:._/\\-()]+")).alias("w")).where("w <> ''")
+    counted = words.groupBy("f", "w").agg(F.count("*").alias("n"))
+    both = counted.select("f", F.explode(F.array(
+        F.struct(F.lit("as written").alias("form"), F.col("w").alias("w")), F.struct(F.lit("folded").alias("form"), F.lower(remove_accents("w")).alias("w")), F.struct(F.lit("all").alias("form"), F.lit("").alias("w")),
+    )).alias("x"), "n").groupBy("f", "x.form", "x.w").agg(F.sum("n").alias("n"))
+    both = cut(both)
+    total = F.broadcast(both.where("form = 'all'").select("f", F.col("n").alias("total")))
+    needed = {(f, form, w) for _, f, name in listed for form, text in (("as written", name.lower()), ("folded", strip_marks(name))) for w in text.split()}
+    listed_words = values.sparkSession.createDataFrame(sorted(needed), "f string, form string, w string").withColumn("listed", F.lit(True)) if needed else None
+    kept = both.join(total, "f")
+    if listed_words is not None:
+        kept = kept.join(F.broadcast(listed_words), ["f", "form", "w"], "left")
+    else:
+        kept = kept.withColumn("listed", F.lit(None).cast("boolean"))
+    out: dict[str, WordCounts] = {}
+    for r in kept.where((F.col("n") >= OWN_SHARE * F.col("total")) | F.col("listed")).collect():
+        written, folded, n = out.setdefault(r["f"], ({}, {}, r["total"]))
+        if r["form"] != "all":
+            (written if r["form"] == "as written" else folded)[r["w"]] = r["n"]
+    return out
+
+
+def learn_decorations(values: DataFrame, listed: list[Entry]) -> dict[str, tuple[set[str], set[str]]]:
+    """Field -> what may stand before and after its entries: what stands in the corpus beside DECORATED of them, and LEAST_DECORATED."""
+    forms: dict[str, dict[str, int]] = {}
+    for i, f, name in listed:
+        forms.setdefault(f, {})[compact(name)] = i
+    shared = values.sparkSession.sparkContext.broadcast(forms)
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = set()
+            for f, v in zip(b["field_name"], b["value"], strict=True):
+                words = [compact(w) for w in words_of_value(v)]
+                own, n = shared.value.get(f, {}), len(words)
+                run = next(((k, k + size) for size in range(n - 1, 0, -1) for k in range(n - size + 1) if "".join(words[k : k + size]) in own), None)
+                if run:
+                    entry = own["".join(words[run[0] : run[1]])]
+                    found |= {(f, side, part, entry) for side, part in (("before", "".join(words[: run[0]])), ("after", "".join(words[run[1] :]))) if part}
+            yield pd.DataFrame(list(found), columns=["field_name", "side", "part", "entry"])
+
+    beside = values.mapInPandas(find, "field_name string, side string, part string, entry int").groupBy("field_name", "side", "part").agg(F.countDistinct("entry").alias("n"))
+    n_entries = F.create_map(*[F.lit(x) for f, own in forms.items() for x in (f, len(own))]) if forms else F.create_map().cast("map<string,int>")
+    usual = beside.where((F.col("n") >= LEAST_DECORATED) & (F.col("n") >= DECORATED * n_entries[F.col("field_name")])).limit(MAX_ENTRIES + 1).collect()
+    if len(usual) > MAX_ENTRIES:
+        raise ValueError(f"more than {MAX_ENTRIES} decorations")
+    out: dict[str, tuple[set[str], set[str]]] = {f: (set(), set()) for f in forms}
+    for r in usual:
+        out[r["field_name"]][r["side"] == "after"].add(r["part"])
     return out
 
 
@@ -215,20 +290,19 @@ def field_values(results: DataFrame, fields: list[str] | None = None, key: str =
     return values.where(F.col("field_name").isin(*fields)) if fields else values
 
 
-def map_values(values: DataFrame, reference: DataFrame, counts: dict[str, dict[str, int]], keys: list[str]) -> DataFrame:
+def map_values(
+    values: DataFrame, listed: list[Entry], counts: dict[str, WordCounts], keys: list[str], decorations: dict[str, tuple[set[str], set[str]]] | None = None
+) -> DataFrame:
     """(keys..., field_name, ref_id): each value with its entry of the same field, -1 if it stands for none.
 
     Rows are matched where they lie, without a shuffle; equal values of a task are matched once. Values of a field
-    without entries get -1; blank and null values are left out; entries with a null name are ignored.
+    without entries get -1; blank and null values are left out. listed is that of entries().
     """
-    entries = reference.where("canonical is not null").select("ref_id", "field_name", "canonical").limit(MAX_ENTRIES + 1).collect()
-    if len(entries) > MAX_ENTRIES:
-        raise ValueError(f"more than {MAX_ENTRIES} reference entries")
-    shared = values.sparkSession.sparkContext.broadcast(([tuple(e) for e in entries], counts))
+    shared = values.sparkSession.sparkContext.broadcast((listed, counts, decorations or {}))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, words = shared.value
-        canons = {f: Canon(f, [(i, n) for i, g, n in rows if g == f], words.get(f, {})) for f in {g for _, g, _ in rows}}
+        rows, words, beside = shared.value
+        canons = {f: Canon(f, [(i, n) for i, g, n in rows if g == f], words.get(f), beside.get(f, ((), ()))) for f in {g for _, g, _ in rows}}
         for batch in batches:
             out = batch[[*keys, "field_name"]].copy()
             out["ref_id"] = [

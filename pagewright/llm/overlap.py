@@ -409,9 +409,8 @@ def same_texts(texts: DataFrame, shard_rows: int = SHARD_ROWS, part: int = PART)
     def run(texts: pd.DataFrame) -> pd.DataFrame:
         kind = texts["kind"].iloc[0]
         train, held = (texts.loc[texts["side"] == side, "text"].tolist() for side in ("train", "held"))
-        out = pd.DataFrame((match_paths if kind == "path" else match_labels)(train, held), columns=["train_text", "held_text", "distance", "spans", "chars"])
-        out.insert(0, "kind", kind)
-        return out
+        found = (match_paths if kind == "path" else match_labels)(train, held)
+        return pd.DataFrame([(kind, *x) for x in found], columns=["kind", "train_text", "held_text", "distance", "spans", "chars"], dtype=object)
 
     met = grid.groupBy("kind", "shard", "i", "j")
     columns = "kind string, train_text string, held_text string, distance int, spans int, chars int"

@@ -1,14 +1,19 @@
 """Personal information in free text (problem 3).
 
-Method: information-theoretic sanitisation. How strongly a word reveals a protected entity is estimated from the
-corpus: for each word, the pointwise mutual information of standing at a place of a person's name (first, middle, last
-word, taken from the values of the field that holds persons) against standing anywhere in the texts. A run of two to
-four words whose disclosure exceeds a threshold is a person; a label or honorific before it lowers the threshold. Addresses are found by the words of place and street names
-learned from the address field; phones, e-mail addresses and identity numbers by their written forms and the labels
-before them. Found items are generalised to typed placeholders; the rest of the text stays.
-
-The learned tables hold words that make up a share of at least 1 in SHARE of a position, so their size is bounded. Any other
-word gets a smoothed value: names hold it as often as 1 in RARE, so it speaks against a name if texts hold it more often.
+Method: information-theoretic sanitisation. How strongly a term reveals a protected entity is estimated from the corpus:
+
+* Words of names: the pointwise mutual information of standing at a place of a person's name (first, middle, last word, taken
+  from the values of the field that holds persons) against standing anywhere in the texts. A run of two to four words whose
+  disclosure exceeds a threshold is a person; a label or honorific before it lowers the threshold.
+* Numbers: phones and identity numbers have written forms, which make candidates only. How often a candidate behind the same words
+  is the phone or identity number that the record holds as a protected value tells how much these words disclose; slip,
+  account and waybill numbers co-occur with none. Labels known beforehand are a prior that counts outweigh.
+* Addresses: places and streets by words learned from the address field. E-mail addresses disclose themselves by their form.
+
+Terms above the thresholds are generalised to typed placeholders; the rest of the text stays.
+
+All counts are made in Spark over all rows and all fields. What goes to the tasks are words of names, and contexts of numbers in
+which the decision differs from that of the shorter context; sizes are checked.
 """
 
 from __future__ import annotations
@@ -23,9 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import remove_accents
+from ..plans.persist import cut
 from .addressing import PlaceWords, compose, find_addresses, fold_places, joined
 
-SHARE = 1000
+#: A word is learned at a place of names where it stands so often.
+LEAST_COUNT = 2
+#: Words of names, and contexts of numbers, that go to the tasks, at most: more are an error.
+MAX_TERMS = 1_000_000
 #: Bits that the words of a name must disclose together, and behind a label or honorific.
 DISCLOSURE = 6.0
 LABELLED = 0.0
@@ -33,8 +42,11 @@ LABELLED = 0.0
 RARE = 50_000
 #: Fields whose values hold one item as a whole.
 WHOLE = {"ho_ten": "person", "sdt": "phone", "fax": "phone", "cccd": "id_number", "email": "email"}
-#: Fields that hold no personal items: codes, and what other problems deal with.
-OTHER = ("so_phieu", "mst", "tinh_thanh", "hang_may", "chuc_danh")
+#: Fields whose plain numbers are taken for codes before anything is counted.
+CODES = ("so_phieu", "mst")
+#: A number is an item if at least this part of those in its context is one (two bits); what is thought of a context before counting, for a
+#: form that speaks for an item, one that doesn't, and behind labels; and the observations that this is worth.
+TERM_SHARE, LIKELY, UNLIKELY, PRIOR = 0.25, 0.9, 0.05, 20.0
 PLACEHOLDER = {"person": "[PERSON]", "phone": "[PHONE]", "email": "[EMAIL]", "id_number": "[ID]", "address": "[ADDRESS]"}
 
 _EMAIL = re.compile(r"(?<![\w.+])[a-z0-9][a-z0-9._+\-]*\s?(?:@|\[at\]|\(at\))\s?[a-z0-9\-]+(?:\.[a-z]{2,}(?![^\W\d_]))+", re.I)
@@ -57,6 +69,8 @@ _PERSON_LABEL = re.compile(
     r"(?<![a-z])(?:(?:ong|ba|anh|chi|mr|ms|mrs|miss)(?:\s?/\s?(?:ong|ba|anh|chi|mr|ms|mrs|miss))?\.?\s?:?|"
     r"(?:ho (?:va )?ten|ho ten|nguoi (?:nhan|gui|giao|lap|mua|ban|ky|lien he|dai dien)|full name|name|receiver|recipient|sender|contact|attn)\s?:)\s*$"
 )
+# Words for the level of a place, before its name (folded).
+_PLACE_LABEL = re.compile(r"(?<![a-z])(?:tinh|thanh pho|tp|huyen|quan|phuong|thi xa|thi tran|xa)\.?\s*$")
 _TITLE = re.compile(r"^(?:ong|ba|anh|chi|co|chu|bac|mr|ms|mrs|miss)\.?\s+", re.I)
 
 
@@ -77,22 +91,35 @@ class Names:
     def __init__(self, bits: list[dict[str, float]], least: float = DISCLOSURE) -> None:
         self.bits, self.least = bits[:3], least
         self.common = bits[3] if len(bits) > 3 else {}
+        self.words = set().union(*self.bits)
 
     def disclosed(self, words: list[str]) -> tuple[float, int]:
         """Bits that the words disclose as a name, and how many of them are learned at their place."""
         total, learned = 0.0, 0
+        last = len(words) - 1
         for k, w in enumerate(words):
-            table = self.bits[0 if k == 0 else 2 if k == len(words) - 1 else 1]
-            learned += w in table
-            total += table[w] if w in table else self.common.get(w, 0.0)
+            bits = self.bits[0 if k == 0 else 2 if k == last else 1].get(w)
+            if bits is None:
+                total += self.common.get(w, 0.0)
+            else:
+                learned += 1
+                total += bits
         return total, learned
 
     def is_name(self, words: list[str], labelled: bool = False) -> bool:
         """Whether two to four words are a name; without a label, at most one of them may be unknown, and two must be known."""
-        if not 2 <= len(words) <= 4:
-            return False
-        total, learned = self.disclosed(words)
-        return total >= LABELLED if labelled else total >= self.least and learned >= max(2, len(words) - 1)
+        return 2 <= len(words) <= 4 and self._enough(*self.disclosed(words), len(words), labelled)
+
+    def _enough(self, total: float, learned: int, n: int, labelled: bool) -> bool:
+        return total >= LABELLED if labelled else total >= self.least and learned >= max(2, n - 1)
+
+
+_CAPITAL = re.compile(r"[^\W\d_]+")
+_UPPER = "".join(c for c in map(chr, (*range(0x41, 0x250), *range(0x370, 0x590), *range(0x1E00, 0x1F00))) if c.isupper())
+#: Words written with capitals, parted by white space.
+_RUN = re.compile(rf"(?<![^\W\d_])[{_UPPER}][^\W\d_]*(?:\s+[{_UPPER}][^\W\d_]*)+")
+#: How what stands before a person may end.
+_BEFORE = (":", ".", "ong", "ba", "anh", "chi", "mr", "ms", "mrs", "miss")
 
 
 def find_names(line: str, folded: str, taken: bytearray, names: Names, person: bool = False) -> list[tuple[int, int]]:
@@ -101,21 +128,29 @@ def find_names(line: str, folded: str, taken: bytearray, names: Names, person: b
     Words of a name are parted by white space; a word that isn't learned belongs to it only over a single space, as the
     next column or line of a page is no part of it. The start of a line that is to hold a person counts as labelled.
     """
-    tokens = [t for t in _CAPITAL.finditer(line) if t[0][0].isupper() and not any(taken[t.start() : t.end()])]
     options = []
-    for k, first in enumerate(tokens):
-        words = [folded[first.start() : first.end()]]
-        labelled = bool(_PERSON_LABEL.search(folded[max(0, first.start() - 32) : first.start()])) or (person and not line[: first.start()].strip())
-        near = True
-        for last, t in zip(tokens[k:], tokens[k + 1 : k + 4], strict=False):
-            gap = line[last.end() : t.start()]
-            if not gap.isspace():
-                break
-            near = near and gap == " "
-            words.append(folded[t.start() : t.end()])
-            total, learned = names.disclosed(words)
-            if (near or learned == len(words)) and names.is_name(words, labelled):
-                options.append((-total, not labelled, -first.start(), -t.end()))
+    for run in _RUN.finditer(line):
+        tokens = [t.span() for t in _CAPITAL.finditer(line, run.start(), run.end())]
+        if any(taken[run.start() : run.end()]):
+            tokens = [(x, y) for x, y in tokens if not any(taken[x:y])]
+        every = [folded[x:y] for x, y in tokens]
+        known = [w in names.words for w in every]
+        for k, (start, end) in enumerate(tokens[:-1]):
+            before = folded[max(0, start - 32) : start].rstrip()
+            labelled = (before.endswith(_BEFORE) and bool(_PERSON_LABEL.search(folded[max(0, start - 32) : start]))) or (person and not before and not line[:start].strip())
+            if not labelled and (sum(known[k : k + 4]) < 2 or _PLACE_LABEL.search(before)):
+                continue
+            words, near = [every[k]], True
+            for w, (x, y) in zip(every[k + 1 : k + 4], tokens[k + 1 : k + 4], strict=True):
+                gap = line[end:x]
+                if not gap.isspace():
+                    break
+                near = near and gap == " "
+                words.append(w)
+                end = y
+                total, learned = names.disclosed(words)
+                if (near or learned == len(words)) and names._enough(total, learned, len(words), labelled):
+                    options.append((-total, not labelled, -start, -end))
     found: list[tuple[int, int]] = []
     for _, _, start, end in sorted(options):
         if all(-end <= x or -start >= y for x, y in found):
@@ -123,16 +158,67 @@ def find_names(line: str, folded: str, taken: bytearray, names: Names, person: b
     return found
 
 
-_CAPITAL = re.compile(r"[^\W\d_]+")
+@dataclass(frozen=True)
+class Number:
+    """A candidate: what it would be, where it stands, how it is written, what is thought of it beforehand, and the words before it."""
+
+    kind: str
+    start: int
+    end: int
+    shape: str
+    prior: str
+    word: str
+    words: str
+
+
+_LETTERS = re.compile(r"[a-z]+")
+
+
+def find_numbers(line: str, folded: str, field: str) -> list[Number]:
+    """Candidates for identity numbers and phones, the longer forms first."""
+    found: list[Number] = []
+
+    def put(kind: str, start: int, end: int, shape: str, likely: bool) -> None:
+        before = folded[max(0, start - 40) : start]
+        words = _LETTERS.findall(before)[-2:] or [f"@{field}"]
+        if kind == "id_number" and _ID_LABEL.search(before):
+            prior = "label"
+        elif _CODE_LABEL.search(before) or (field in CODES and shape == "plain"):
+            prior = "code"
+        else:
+            prior = "label" if likely else "none"
+        found.append(Number(kind, start, end, shape, prior, words[-1], " ".join(words)))
+
+    if not any(c.isdigit() for c in line):
+        return found
+    for m in _ID12.finditer(line):
+        if sum(c.isdigit() for c in m[0]) == 12:
+            put("id_number", m.start(), m.end(), "plain" if m[0].isdigit() else "grouped", True)
+    for m in _ID_SHORT.finditer(line):
+        put("id_number", m.start(), m.end(), "plain" if m[0].isalnum() else "grouped", field == "cccd")
+    for m in _PHONE.finditer(line):
+        places = [m.start() + k for k, c in enumerate(m[0]) if c.isalnum()]
+        # What follows on the next line may look like more digits: a number has 10 (11 on a land line), or 9 after +84.
+        country = "+84" in m[0]
+        full = 11 if country else 11 if re.match(r"\(?[0oO]2", m[0]) else 10
+        if full - 1 <= len(places) <= full + 1:
+            put("phone", m.start(), places[min(full, len(places)) - 1] + 1, "plain" if m[0].isalnum() else "grouped", True)
+    return found
 
 
-def find_items(text: str, names: Names, words: PlaceWords, field: str = "full_text") -> list[Item]:
+def is_item(n: Number, contexts: dict[tuple[str, ...], bool]) -> bool:
+    """Whether a candidate discloses a person, by the longest context that says other than the shorter one."""
+    key = (n.kind, n.shape, n.prior)
+    return contexts.get((*key, n.words), contexts.get((*key, n.word), n.prior == "label"))
+
+
+def find_items(text: str, names: Names, words: PlaceWords, field: str = "full_text", contexts: dict[tuple[str, ...], bool] | None = None) -> list[Item]:
     """The personal items of a text; places are those of the text in composed form, from 0.
 
     Null and blank texts have none. A field that holds one item as a whole has it even where its form is unknown, as
-    long as it holds a letter or digit of the right kind.
+    long as it holds a letter or digit of the right kind. contexts are those of learn_contexts().
     """
-    if not text or not text.strip() or field in OTHER:
+    if not text or not text.strip():
         return []
     line, at = joined(text)
     folded = fold_places(line)
@@ -144,24 +230,15 @@ def find_items(text: str, names: Names, words: PlaceWords, field: str = "full_te
             taken[start:end] = b"\1" * (end - start)
             found.append(Item(at[start], at[end - 1] + 1, kind))
 
-    for m in _EMAIL.finditer(line):
-        take(m.start(), m.end(), "email")
+    if "@" in line or "at" in folded:
+        for m in _EMAIL.finditer(line):
+            take(m.start(), m.end(), "email")
     for a in find_addresses(line, words):
         if not any(taken[a.start : a.end]):
             take(a.start, a.end, "address")
-    for m in _ID12.finditer(line):
-        if sum(c.isdigit() for c in m[0]) == 12 and not _CODE_LABEL.search(folded[max(0, m.start() - 24) : m.start()]):
-            take(m.start(), m.end(), "id_number")
-    for m in _ID_SHORT.finditer(line):
-        if field == "cccd" or _ID_LABEL.search(folded[max(0, m.start() - 40) : m.start()]):
-            take(m.start(), m.end(), "id_number")
-    for m in _PHONE.finditer(line):
-        places = [m.start() + k for k, c in enumerate(m[0]) if c.isalnum()]
-        # What follows on the next line may look like more digits: a number has 10 (11 on a land line), or 9 after +84.
-        country = "+84" in m[0]
-        full = 11 if country else 11 if re.match(r"\(?[0oO]2", m[0]) else 10
-        if full - 1 <= len(places) <= full + 1 and not _CODE_LABEL.search(folded[max(0, m.start() - 24) : m.start()]):
-            take(m.start(), places[min(full, len(places)) - 1] + 1, "phone")
+    for n in find_numbers(line, folded, field):
+        if is_item(n, contexts or {}):
+            take(n.start, n.end, n.kind)
     people = find_names(line, folded, taken, names, WHOLE.get(field) == "person")
     for x, y in people:  # a part of a value that may be a name as a whole must be known for certain
         if WHOLE.get(field) != "person" or names.disclosed(w := folded[x:y].split())[1] == len(w) >= 3:
@@ -196,40 +273,106 @@ def masked(text: str, items: list[Item]) -> str:
 def learn_names(results: DataFrame, field: str = "ho_ten", column: str = "extracted_fields", text: str = "full_text") -> list[dict[str, float]]:
     """For the first, a middle and the last place of a name of two to four words: folded word -> bits it discloses there.
 
-    bits = log2(share of the word at that place of names / share of the word in all texts), over all rows. Words
-    that make up less than 1 in SHARE of a place are left out, so at most SHARE words of a place are collected. The last
-    table has the bits of words for places where they are left out, log2(1 / RARE / share of the word in all texts), where
-    these are below 0, so of at most RARE words.
+    bits = log2(share of the word at that place of names / share of the word in all texts), over all rows, for words that stand
+    there LEAST_COUNT times. The last table has the bits of words for places where they aren't learned, log2(1 / RARE / share of
+    the word in all texts), where these are below 0, so of at most RARE words.
     """
     fold = lambda c: F.lower(remove_accents(c))
-    names = results.select(F.split(F.trim(fold(F.regexp_replace(F.col(column)[field], r"\s+", " "))), " ").alias("n")).where("size(n) between 2 and 4")
-    place = F.when(F.col("at") == 0, 0).when(F.col("at") == F.col("words") - 1, 2).otherwise(1)
-    places = names.select(F.size("n").alias("words"), F.posexplode("n").alias("at", "w")).select(place.alias("place"), "w").where("w rlike '^[a-z]+$'").groupBy("place", "w").count()
-    total = F.broadcast(places.groupBy("place").agg(F.sum("count").alias("names")))
-    frequent = places.join(total, "place").where(F.col("count") * SHARE >= F.col("names"))
-    background = (
-        results.select(F.explode(F.split(fold(F.col(text)), "[^a-z]+")).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("everywhere"))
-    )
-    corpus = F.broadcast(background.agg(F.sum("everywhere").alias("corpus")))
-    rows = (
-        frequent.join(background, "w", "left").crossJoin(corpus)
-        .select("place", "w", F.log2((F.col("count") / F.col("names")) / ((F.coalesce("everywhere", F.lit(0)) + 1) / (F.col("corpus") + 1))).alias("bits"))
-    )
-    common = background.crossJoin(corpus).where(F.col("everywhere") * RARE > F.col("corpus"))
-    rows = rows.union(common.select(F.lit(3).alias("place"), "w", F.log2(F.col("corpus") / RARE / F.col("everywhere")).alias("bits")))
+    name = F.split(F.trim(fold(F.regexp_replace(F.col(column)[field], r"\s+", " "))), " ")
+    put = lambda place, w: F.struct(place.alias("place"), w.alias("w"))
+    last = F.size("n") - 1
+    at_places = F.when(F.size("n").between(2, 4), F.transform("n", lambda w, i: put(F.when(i == 0, 0).when(i == last, 2).otherwise(1), w)))
+    anywhere = F.transform(F.split(fold(F.col(text)), "[^a-z]+"), lambda w: put(F.lit(3), w))
+    none = F.array().cast("array<struct<place:int,w:string>>")
+    rows = results.select(name.alias("n"), text).select(F.explode(F.concat(F.coalesce(at_places, none), F.coalesce(anywhere, none))).alias("x"))
+    counted = cut(rows.where("x.w rlike '^[a-z]+$'").groupBy("x.place", "x.w").count())
+    totals = {r["place"]: r["n"] for r in counted.groupBy("place").agg(F.sum("count").alias("n")).collect()}
+    corpus = totals.get(3, 0)
+    everywhere = counted.where("place = 3").select("w", F.col("count").alias("everywhere"))
+    share = F.lit(0.0)
+    for place in range(3):
+        share = F.when(F.col("place") == place, F.col("count") / F.lit(float(totals.get(place, 1)))).otherwise(share)
+    learned = counted.where((F.col("place") < 3) & (F.col("count") >= LEAST_COUNT)).join(everywhere, "w", "left")
+    rows = learned.select("place", "w", F.log2(share / ((F.coalesce("everywhere", F.lit(0)) + 1) / F.lit(corpus + 1.0))).alias("bits"))
+    common = everywhere.where(F.col("everywhere") * F.lit(RARE) > F.lit(corpus)).select(F.lit(3).alias("place"), "w", F.log2(F.lit(corpus / RARE) / F.col("everywhere")).alias("bits"))
     out: list[dict[str, float]] = [{}, {}, {}, {}]
-    for r in rows.collect():
+    for r in _bounded(rows.union(common)):
         out[r["place"]][r["w"]] = r["bits"]
     return out
 
 
-def scan(results: DataFrame, bits: list[dict[str, float]], words: PlaceWords) -> DataFrame:
+def _bounded(rows: DataFrame) -> list:
+    out = rows.limit(MAX_TERMS + 1).collect()
+    if len(out) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} learned terms")
+    return out
+
+
+#: Fields that hold protected numbers, by kind.
+_PROTECTED = {"sdt": "phone", "fax": "phone", "cccd": "id_number"}
+
+
+def _digits(text: str) -> str:
+    return "".join(c for c in text.translate(_LIKE_DIGITS) if c.isdigit())[-9:]
+
+
+_LIKE_DIGITS = str.maketrans("oOlI", "0011")
+
+
+def learn_contexts(results: DataFrame, column: str = "extracted_fields", text: str = "full_text") -> dict[tuple[str, ...], bool]:
+    """(kind, shape, prior, words before) -> whether numbers there are items, for contexts that say other than the shorter one.
+
+    Over all texts and values: of the candidates in a context, those that are the protected value of their record (hits) are counted. As
+    not every record holds what its text mentions, hits are set against the share of hits in contexts that have any.
+    """
+    rows = results.select(text, F.coalesce(F.map_entries(column), F.array().cast("array<struct<key:string,value:string>>")).alias("e"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: dict[tuple[str, ...], list[int]] = {}
+        for b in batches:
+            for t, entries in zip(b[text], b["e"], strict=True):
+                values = {e["key"]: e["value"] for e in entries if e["value"]}
+                own: dict[str, set[str]] = {"phone": set(), "id_number": set()}
+                for k, kind in _PROTECTED.items():
+                    if k in values:
+                        own[kind].add(_digits(values[k]))
+                for field, v in (("full_text", t), *values.items()):
+                    if not v or field in WHOLE:
+                        continue
+                    line = joined(compose(v))[0]
+                    for n in find_numbers(line, fold_places(line), field):
+                        c = counts.setdefault((n.kind, n.shape, n.prior, n.word, n.words), [0, 0])
+                        c[0] += 1
+                        c[1] += _digits(line[n.start : n.end]) in own[n.kind]
+            if len(counts) > 100_000:
+                yield _frame(counts)
+                counts = {}
+        yield _frame(counts)
+
+    partial = rows.mapInPandas(count, "kind string, shape string, prior string, word string, words string, n bigint, hits bigint")
+    key = ["kind", "shape", "prior"]
+    whole = cut(partial.groupBy(*key, "word", "words").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")))
+    short = whole.groupBy(*key, "word").agg(F.sum("n").alias("n1"), F.sum("hits").alias("h1"))
+    held = F.broadcast(short.where("h1 > 0").groupBy("kind").agg((F.sum("h1") / F.sum("n1")).alias("held")))
+    before = F.when(F.col("prior") == "label", LIKELY).otherwise(UNLIKELY)
+    share = lambda hits, n, prior: (F.col(hits) / F.coalesce("held", F.lit(1.0)) + PRIOR * prior) / (F.col(n) + PRIOR)
+    short = short.join(held, "kind", "left").withColumn("q0", before).withColumn("q1", share("h1", "n1", F.col("q0")))
+    long = whole.where("words <> word").join(short, [*key, "word"]).withColumn("q2", share("hits", "n", F.col("q1")))
+    flips = lambda t, now, was, c: t.where((F.col(now) >= TERM_SHARE) != (F.col(was) >= TERM_SHARE)).select(*key, F.col(c).alias("context"), (F.col(now) >= TERM_SHARE).alias("item"))
+    return {(r["kind"], r["shape"], r["prior"], r["context"]): r["item"] for r in _bounded(flips(short, "q1", "q0", "word").union(flips(long, "q2", "q1", "words")))}
+
+
+def _frame(counts: dict[tuple[str, ...], list[int]]) -> pd.DataFrame:
+    return pd.DataFrame([(*k, *v) for k, v in counts.items()], columns=["kind", "shape", "prior", "word", "words", "n", "hits"])
+
+
+def scan(results: DataFrame, bits: list[dict[str, float]], words: PlaceWords, contexts: dict[tuple[str, ...], bool] | None = None) -> DataFrame:
     """(result_id, field_name, masked, items<kind, start_pos, end_pos>) of every text and map value that holds text.
 
     start_pos counts characters from 1, end_pos is the last character. Null and blank values give no rows; a result without
     a map has its full_text only.
     """
-    shared = results.sparkSession.sparkContext.broadcast((bits, words.places, words.streets))
+    shared = results.sparkSession.sparkContext.broadcast((bits, words.places, words.streets, contexts or {}))
     values = results.where("result_id is not null").select(
         "result_id",
         F.explode(
@@ -242,13 +385,13 @@ def scan(results: DataFrame, bits: list[dict[str, float]], words: PlaceWords) ->
     values = values.select("result_id", F.col("e.key").alias("field_name"), F.col("e.value").alias("value")).where("value rlike '\\\\S'")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        b, places, streets = shared.value
+        b, places, streets, learned = shared.value
         names, known = Names(b), PlaceWords(places, streets)
         for batch in batches:
             texts, items = [], []
             for f, v in zip(batch["field_name"].tolist(), batch["value"].tolist(), strict=True):
                 c = compose(v)
-                found = find_items(c, names, known, f)
+                found = find_items(c, names, known, f, learned)
                 texts.append(masked(c, found))
                 items.append([{"kind": i.kind, "start_pos": i.start + 1, "end_pos": i.end} for i in found])
             yield pd.DataFrame({"result_id": batch["result_id"], "field_name": batch["field_name"], "masked": texts, "items": items})

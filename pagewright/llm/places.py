@@ -6,7 +6,11 @@ among the children of what was linked above. A missing level inherits the candid
 candidate is taken, several stay open. Numbers are compared exactly. What is open after that is settled by the other
 addresses of the same street and number if they agree, and stays explicit (a null level) if they don't.
 
-Results with equal links form a place (a class with an id); pairs come from the classes, salted.
+Names are counted and freed of misspellings in Spark: siblings below one parent in groups, streets of all districts by what is
+left of them without two letters, which names two edits apart share. What goes to the tasks are the sound names of a country, which
+don't grow with the data; their number is checked. Names are looked up word by word in tries.
+
+Results with equal links form a place (a class with an id and a size); pairs come from the classes, large ones salted.
 """
 
 from __future__ import annotations
@@ -16,19 +20,23 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.persist import cut
 from .addressing import PlaceWords, compose, find_addresses, joined
+from .canon import Trie
 from .textkit import osa_distance
 
-#: A name of the gazetteer makes up at least 1 in so many addresses, which bounds its size.
-GAZETTEER = 50_000
+#: Names of the gazetteer, at most: more are an error.
+MAX_NAMES = 2_000_000
 #: A name next to one that is so many times more frequent is a misspelling of it.
 RATIO = 4
 #: A district stands below a province at least so often against the province it stands below most.
 STRAY = 0.1
-SALTS = 16
+#: Results of a place from which its pairs are salted, and the salts.
+HOT, SALTS = 500, 16
 
 SCHEMA = "result_id bigint, file_path string, page_index int, number string, street string, ward string, district string, province string, bare array<string>"
 
@@ -69,7 +77,7 @@ def read_addresses(results: DataFrame, words: PlaceWords, column: str = "extract
 
 
 def alike(a: str, b: str) -> int:
-    """Edits between two names word by word; an initial stands for any word it begins. 9 if too many."""
+    """Edits between two names word by word; an initial stands for any word it begins. 9 if too many, or if numbers differ."""
     x, y = a.split(), b.split()
     if len(x) != len(y):
         return 9
@@ -77,6 +85,8 @@ def alike(a: str, b: str) -> int:
     for p, q in zip(x, y, strict=True):
         if p == q:
             continue
+        if p.isdigit() or q.isdigit():
+            return 9
         if p.endswith(".") or q.endswith("."):
             if p[0] != q[0]:
                 return 9
@@ -88,6 +98,64 @@ def alike(a: str, b: str) -> int:
     return total
 
 
+class Names:
+    """Names by their words, to look up those near a name: the words in tries by place, the names by their words."""
+
+    def __init__(self, names) -> None:
+        self.words: dict[tuple[int, int], dict[str, set[str]]] = defaultdict(lambda: defaultdict(set))
+        for n in names:
+            words = n.split()
+            for k, w in enumerate(words):
+                self.words[len(words), k][w].add(n)
+        self.tries: dict[tuple[int, int], tuple[Trie, list[str]]] = {}
+        self.memo: dict[tuple[int, int, str], dict[str, int]] = {}
+
+    def _near_words(self, size: int, k: int, word: str) -> dict[str, int]:
+        """Words at a place of names of that size that the word may stand for, and the edits."""
+        key = size, k, word
+        if key not in self.memo:
+            if len(self.memo) > 300_000:
+                self.memo.clear()
+            own = self.words.get((size, k), {})
+            if word.endswith("."):
+                self.memo[key] = {w: 0 for w in own if w[0] == word[0]}
+            elif word.isdigit():
+                self.memo[key] = {word: 0} if word in own else {}
+            else:
+                if (size, k) not in self.tries:
+                    trie, listed = Trie(), sorted(w for w in own if not w.endswith("."))
+                    for i, w in enumerate(listed):
+                        trie.add(w, i, 2)
+                    self.tries[size, k] = trie, listed
+                trie, listed = self.tries[size, k]
+                found = {listed[i]: d for i, d in trie.search(word, 2).items()}
+                found = {w: d for w, d in found.items() if w == word or (d < max(len(w), len(word)) and not w.isdigit())}
+                self.memo[key] = found | {w: 0 for w in own if w.endswith(".") and w[0] == word[0]}
+        return self.memo[key]
+
+    def near(self, name: str, most: int) -> dict[str, int]:
+        """Names within `most` edits, as alike() counts them, and the edits."""
+        words = name.split()
+        n = len(words)
+        options = [self._near_words(n, k, w) for k, w in enumerate(words)]
+        if not words or not all(options):
+            return {}
+        own = [self.words[n, k] for k in range(n)]
+        k = min(range(n), key=lambda k: sum(len(own[k][w]) for w in options[k]))
+        out: dict[str, int] = {}
+        for w in options[k]:
+            for other in own[k][w]:
+                d = 0
+                for option, x in zip(options, other.split(), strict=True):
+                    if x not in option:
+                        break
+                    d += option[x]
+                else:
+                    if d <= most:
+                        out[other] = d
+        return out
+
+
 @dataclass
 class Gazetteer:
     """Counts of provinces, of districts by province, and of wards and streets by district."""
@@ -97,16 +165,6 @@ class Gazetteer:
     wards: dict[tuple[str, str], Counter] = field(default_factory=lambda: defaultdict(Counter))
     streets: dict[tuple[str, str], Counter] = field(default_factory=lambda: defaultdict(Counter))
 
-    def prepared(self) -> Gazetteer:
-        """Without misspellings: names next to a much more frequent sibling."""
-        out = Gazetteer(_clean(self.provinces))
-        for p in out.provinces:
-            out.districts[p] = _clean(self.districts[p])
-            for d in out.districts[p]:
-                out.wards[p, d], out.streets[p, d] = _clean(self.wards[p, d]), _clean(self.streets[p, d])
-        out.index()
-        return out
-
     def index(self) -> None:
         self.of_street: dict[str, list[tuple[str, str]]] = defaultdict(list)
         self.of_district: dict[str, list[str]] = defaultdict(list)
@@ -118,10 +176,12 @@ class Gazetteer:
                 self.of_district[d].append(p)
 
 
-def _clean(names: Counter) -> Counter:
+def sound(names: Counter) -> Counter:
+    """Without misspellings: names next to a much more frequent one."""
+    index = Names(names)
     kept: Counter = Counter()
     for name, n in names.most_common():
-        if not any(m >= RATIO * n and alike(name, other) <= 2 for other, m in kept.items()):
+        if not any(kept.get(other, 0) >= RATIO * n for other in index.near(name, 2)):
             kept[name] = n
     return kept
 
@@ -132,20 +192,18 @@ class Linker:
     def __init__(self, g: Gazetteer) -> None:
         self.g = g
         self.universe = {
-            "province": sorted(g.provinces),
-            "district": sorted({d for ds in g.districts.values() for d in ds}),
-            "ward": sorted({w for ws in g.wards.values() for w in ws}),
-            "street": sorted(g.of_street),
-        }
+            "province": Names(g.provinces), "district": Names({d for ds in g.districts.values() for d in ds}),
+            "ward": Names({w for ws in g.wards.values() for w in ws}), "street": Names(g.of_street),
+        }
         self.memo: dict[tuple[str, str], dict[str, int]] = {}
 
     def near(self, level: str, name: str, most: int = 2) -> dict[str, int]:
-        """Names of a level within `most` edits of a name, and the edits."""
+        """Names of a level within `most` edits of a name, and the edits, in the order of names."""
         key = level, name
         if key not in self.memo:
             if len(self.memo) > 300_000:
                 self.memo.clear()
-            self.memo[key] = {x: d for x in self.universe[level] if (d := alike(name, x)) <= most}
+            self.memo[key] = dict(sorted(self.universe[level].near(name, most).items()))
         return self.memo[key]
 
     def link(self, street: str, ward: str | None, district: str | None, province: str | None, bare: list[str]) -> tuple[str, str | None, str | None, str | None]:
@@ -211,36 +269,80 @@ class Linker:
         return names[0] if len(names) == 1 else None
 
 
-def gazetteer(addresses: DataFrame, words: PlaceWords, share: int = GAZETTEER) -> Gazetteer:
+def _left(name: str) -> set[str]:
+    """What is left of a name without up to two letters: names within two edits share one of these."""
+    one = {name[:k] + name[k + 1 :] for k in range(len(name))}
+    return {name} | one | {x[:k] + x[k + 1 :] for x in one for k in range(len(x))}
+
+
+def misspelled(names: DataFrame) -> DataFrame:
+    """(name) of the names (name, n) that stand next to one RATIO times more frequent."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(xxhash.xxh64_intdigest(v) - (1 << 63), name, n) for name, n in zip(b["name"], b["n"], strict=True) for v in _left(name)]
+            yield pd.DataFrame(rows, columns=["v", "name", "n"])
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = set()
+            for names in b["names"]:
+                listed = sorted(((x["n"], x["name"]) for x in names), reverse=True)
+                for n, name in listed:
+                    for m, other in listed:
+                        if m < RATIO * n:
+                            break
+                        if alike(name, other) <= 2:
+                            found.add(name)
+                            break
+            yield pd.DataFrame({"name": sorted(found)})
+
+    # Names that share what is left are few, however many names there are.
+    groups = names.mapInPandas(spread, "v bigint, name string, n bigint").groupBy("v").agg(F.collect_list(F.struct("name", "n")).alias("names"), F.max("n").alias("most"), F.min("n").alias("least"))
+    return groups.where(F.col("most") >= RATIO * F.col("least")).select("names").mapInPandas(judge, "name string").distinct()
+
+
+def gazetteer(addresses: DataFrame, words: PlaceWords) -> Gazetteer:
     """Count the hierarchy over all addresses.
 
     A province counts where it has its word; districts, wards and streets count below the province written with its word
-    or as the last (widest) bare name. Only names of known words count, and those that make up at least 1 in `share` of the
-    addresses, so at most `share` names of a level are collected.
+    or as the last (widest) bare name. Only names of known words count.
     """
     wide = F.coalesce("province", F.try_element_at("bare", F.lit(-1)))
     level = lambda kind, p, d, name: F.struct(F.lit(kind).alias("kind"), p.alias("p"), d.alias("d"), name.alias("name"))
-    none = F.lit(None).cast("string")
+    none = F.lit("")
     district = F.col("district")
     names = addresses.select(F.explode(F.array(
         level("province", none, none, F.col("province")), level("district", wide, none, district),
         level("ward", wide, district, F.col("ward")), level("street", wide, district, F.col("street")),
-    )).alias("x")).select("x.*").where("name is not null and (kind = 'province' or p is not null) and (kind in ('province', 'district') or d is not null)")
-    total = F.broadcast(addresses.agg((F.count("*") / share).alias("least")))
-    rows = names.groupBy("kind", "p", "d", "name").agg(F.count("*").alias("n")).join(total, F.col("n") >= F.col("least")).collect()
-    known = words.places
-    fit = lambda name: all(w in known for w in name.split())
-    g = Gazetteer(_clean(Counter({r["name"]: r["n"] for r in rows if r["kind"] == "province" and fit(r["name"])})))
-    for r in rows:
-        if r["p"] not in g.provinces:
-            continue
-        if r["kind"] == "district" and fit(r["name"]):
-            g.districts[r["p"]][r["name"]] += r["n"]
-        elif r["kind"] == "ward" and (r["name"].isdigit() or fit(r["name"])):
-            g.wards[r["p"], r["d"]][r["name"]] += r["n"]
-        elif r["kind"] == "street":
-            if r["name"].split()[0] in words.streets and "." not in r["name"]:
-                g.streets[r["p"], r["d"]][r["name"]] += r["n"]
+    )).alias("x")).select("x.*").where("name is not null and p is not null and d is not null")
+    counted = cut(names.groupBy("kind", "p", "d", "name").agg(F.count("*").alias("n")))
+    shared = addresses.sparkSession.sparkContext.broadcast((words.places, words.streets))
+
+    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places, streets = shared.value
+
+        def fit(kind: str, name: str) -> bool:
+            if kind == "street":
+                return name.split()[0] in streets and "." not in name
+            return (kind in ("ward", "district") and name.isdigit()) or all(w in places for w in name.split())
+
+        for b in batches:
+            out = []
+            for kind, p, d, names in zip(b["kind"], b["p"], b["d"], b["names"], strict=True):
+                out += [(kind, p, d, name, n) for name, n in sound(Counter({x["name"]: x["n"] for x in names if fit(kind, x["name"])})).items()]
+            yield pd.DataFrame(out, columns=["kind", "p", "d", "name", "n"], dtype=object)
+
+    def siblings(rows: DataFrame) -> DataFrame:
+        """The sound names of one kind below one parent; names below one parent are few, however many addresses have them."""
+        groups = rows.groupBy("kind", "p", "d").agg(F.collect_list(F.struct("name", "n")).alias("names"))
+        return groups.mapInPandas(clean, "kind string, p string, d string, name string, n bigint")
+
+    spark = addresses.sparkSession
+    g = Gazetteer(Counter({r["name"]: r["n"] for r in _bounded(siblings(counted.where("kind = 'province'")))}))
+    provinces = F.broadcast(spark.createDataFrame([(p,) for p in g.provinces], "p string"))
+    for r in _bounded(siblings(counted.where("kind = 'district'").join(provinces, "p"))):
+        g.districts[r["p"]][r["name"]] = r["n"]
     # A bare ward taken for a province puts a district below it now and then, far less often than below its own.
     most = Counter()
     for ds in g.districts.values():
@@ -249,14 +351,21 @@ def gazetteer(addresses: DataFrame, words: PlaceWords, share: int = GAZETTEER) -
     for ds in g.districts.values():
         for d in [d for d, n in ds.items() if n < STRAY * most[d]]:
             del ds[d]
+    districts = F.broadcast(spark.createDataFrame([(p, d) for p, ds in g.districts.items() for d in ds], "p string, d string"))
+    below = cut(siblings(counted.where("kind in ('ward', 'street')").join(districts, ["p", "d"])))
     # A misspelled street may be alone in its district; against all districts it shows.
-    everywhere: Counter = Counter()
-    for streets in g.streets.values():
-        everywhere.update(streets)
-    sound = _clean(everywhere)
-    for key, streets in g.streets.items():
-        g.streets[key] = Counter({s: n for s, n in streets.items() if s in sound})
-    return g.prepared()
+    wrong = misspelled(below.where("kind = 'street'").groupBy("name").agg(F.sum("n").alias("n"))).select(F.lit("street").alias("kind"), "name")
+    for r in _bounded(below.join(wrong, ["kind", "name"], "left_anti")):
+        (g.wards if r["kind"] == "ward" else g.streets)[r["p"], r["d"]][r["name"]] = r["n"]
+    g.index()
+    return g
+
+
+def _bounded(rows: DataFrame) -> list:
+    out = rows.limit(MAX_NAMES + 1).collect()
+    if len(out) > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} names of places")
+    return out
 
 
 def linked(addresses: DataFrame, g: Gazetteer) -> DataFrame:
@@ -314,17 +423,22 @@ def places(links: DataFrame) -> DataFrame:
     )
 
 
-def pairs(placed: DataFrame, salts: int = SALTS) -> DataFrame:
-    """(result_a, result_b) of one place, or of one page that carries an address both times; the smaller id first."""
-    placed = placed.select("result_id", "file_path", "page_index", "place").distinct()
+def classes(placed: DataFrame) -> DataFrame:
+    """placed with n_links, the other results of the same place."""
+    sizes = placed.groupBy("place").agg((F.countDistinct("result_id") - 1).alias("n_links"))
+    return placed.join(sizes, "place").select("result_id", "file_path", "page_index", "place", "n_links")
+
 
-    def within(key: list[str], rows: DataFrame) -> DataFrame:
-        k = F.xxhash64(*key)
-        left = rows.select(F.col("result_id").alias("result_a"), *[F.col(c).alias(f"a_{c}") for c in key], F.pmod(F.xxhash64("result_id"), F.lit(salts)).alias("salt"), k.alias("k"))
-        right = rows.select(F.col("result_id").alias("result_b"), *[F.col(c).alias(f"b_{c}") for c in key], F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"), k.alias("k"))
-        same = F.col("result_a") < F.col("result_b")
-        for c in key:
-            same = same & (F.col(f"a_{c}") == F.col(f"b_{c}"))
-        return left.join(right, ["k", "salt"]).where(same).select("result_a", "result_b")
+def pairs(placed: DataFrame, salts: int = SALTS, hot: int = HOT) -> DataFrame:
+    """(result_a, result_b) of one place, or of one page that carries an address both times; the smaller id first.
 
-    return within(["place"], placed).union(within(["file_path", "page_index"], placed.where("file_path is not null and page_index is not null"))).distinct()
+    Places and pages of more than `hot` results are split: each result meets the others in as many tasks as there are salts.
+    """
+    by = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    page = F.when(F.col("file_path").isNotNull() & F.col("page_index").isNotNull(), F.concat_ws("\1", "page_index", "file_path"))
+    keys = placed.select("result_id", F.explode(F.array(by("place", F.col("place")), by("page", page))).alias("k")).select("result_id", "k.kind", "k.key").where("key is not null").distinct()
+    sizes = keys.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("m", F.when(F.col("n") > hot, salts).otherwise(1))
+    rows = cut(keys.join(sizes, ["kind", "key"]).select("result_id", "kind", "key", "m"))
+    left = rows.select(F.col("result_id").alias("result_a"), "kind", "key", F.pmod(F.xxhash64("result_id"), F.col("m")).alias("salt"))
+    right = rows.select(F.col("result_id").alias("result_b"), "kind", "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m").cast("bigint") - 1)).alias("salt"))
+    return left.join(right, ["kind", "key", "salt"]).where("result_a < result_b").select("result_a", "result_b").distinct()

@@ -14,10 +14,9 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def _p1_values(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    reference = _read(spark, folder, "ref_value")
-    fields = [r[0] for r in reference.select("field_name").where("field_name is not null").distinct().limit(1000).collect()]
-    values = canon.field_values(_read(spark, folder, "ocr_result"), fields)
-    return values, canon.map_values(values, reference, canon.word_counts(values), ["result_id"])
+    entries = canon.entries(_read(spark, folder, "ref_value"))
+    values = canon.field_values(_read(spark, folder, "ocr_result"), sorted({f for _, f, _ in entries}))
+    return values, canon.map_values(values, entries, canon.word_counts(values, entries), ["result_id"], canon.learn_decorations(values, entries))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,26 +30,29 @@ def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _place_words(spark: SparkSession, folder: str) -> addressing.PlaceWords:
-    provinces = _read(spark, folder, "ref_value").where("field_name = 'tinh_thanh'").select("canonical").limit(1000)
-    return addressing.place_words(_read(spark, folder, "ocr_result"), reference=[r[0] for r in provinces.collect() if r[0]])
+    provinces = [name for _, field, name in canon.entries(_read(spark, folder, "ref_value")) if field == "tinh_thanh"]
+    return addressing.place_words(_read(spark, folder, "ocr_result"), reference=provinces)
 
 
-def p2_places(spark: SparkSession, folder: str) -> DataFrame:
-    """Every result with an address and the place it denotes."""
+def _placed(spark: SparkSession, folder: str) -> DataFrame:
     words = _place_words(spark, folder)
     addresses = cut(places.read_addresses(_read(spark, folder, "ocr_result"), words))
-    links = cut(places.linked(addresses, places.gazetteer(addresses, words)))
-    return cut(places.places(links))
+    return cut(places.places(cut(places.linked(addresses, places.gazetteer(addresses, words)))))
+
+
+def p2_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Every result with an address, the place it denotes, and the number of other results there."""
+    return places.classes(_placed(spark, folder))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return places.pairs(p2_places(spark, folder))
+    return places.pairs(_placed(spark, folder))
 
 
 def p3_masked(spark: SparkSession, folder: str) -> DataFrame:
     """Every text and map value with placeholders for its personal items, and the items."""
     results = _read(spark, folder, "ocr_result")
-    return personal.scan(results, personal.learn_names(results), _place_words(spark, folder))
+    return personal.scan(results, personal.learn_names(results), _place_words(spark, folder), personal.learn_contexts(results))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

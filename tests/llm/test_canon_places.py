@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagewright.llm import addressing, canon, places
@@ -40,25 +41,52 @@ def test_mapping(spark):
         (10, "chuc_danh", "Chức vụ: NV kho.", 7), (11, "other", "x", -1), (12, "tinh_thanh", "   ", None), (13, "tinh_thanh", None, None), (14, "tinh_thanh", "x" * 5000, -1), (1, "tinh_thanh", "rung seu", 1),
     ]
     values = spark.createDataFrame([c[:3] + ("extra",) for c in cases], "result_id bigint, field_name string, value string, ref_id string")
-    ref = spark.createDataFrame(REF, "ref_id int, field_name string, canonical string")
-    got = sorted((r["result_id"], r["ref_id"]) for r in canon.map_values(values, ref, {}, ["result_id"]).collect())
-    assert got == sorted((c[0], c[3]) for c in cases if c[3] is not None)
-    assert canon.map_values(values.limit(0), ref, {}, ["result_id"]).count() == 0
-    mapped = canon.map_values(values, ref, {}, ["result_id"])
+    ref = canon.entries(spark.createDataFrame(REF, "ref_id int, field_name string, canonical string"))
+    mapped = canon.map_values(values, ref, canon.word_counts(values.limit(0), ref), ["result_id"])
+    assert sorted((r["result_id"], r["ref_id"]) for r in mapped.collect()) == sorted((c[0], c[3]) for c in cases if c[3] is not None)
+    assert canon.map_values(values.limit(0), ref, {}, ["result_id"]).count() == 0 and canon.map_values(values, [], {}, ["result_id"]).where("ref_id <> -1").count() == 0
     assert canon.unmatched(values, mapped, ["result_id"]).where("value = 'Zzz'").first()["n"] == 1
 
 
+def test_size_of_the_reference_list_is_checked(spark, monkeypatch):
+    monkeypatch.setattr(canon, "MAX_ENTRIES", 3)
+    with pytest.raises(ValueError, match="more than 3"):
+        canon.entries(spark.createDataFrame(REF, "ref_id int, field_name string, canonical string"))
+
+
+def test_abbreviations():
+    assert {"pgd", "pho gd", "p giam doc"} & canon.abbreviations("pho giam doc") == {"pgd", "pho gd"}
+    assert "tp kt" in canon.abbreviations("truong phong ky thuat") and "tr phong ky thuat" in canon.abbreviations("truong phong ky thuat")
+    c = canon.Canon("chuc_danh", [(1, "Kế toán"), (2, "Kỹ thuật"), (3, "Nhân viên kỹ thuật")])
+    assert c.match("KT") == -1 and c.match("NV KT") == 3 and c.match("nhân viên KT") == 3
+
+
+def test_decorations_and_counts_come_from_the_values(spark):
+    names = ["Rừng Sếu", "Cầm Quế", "Kha Chàm", "Vãng Mộc"]
+    listed = [(k, "tinh_thanh", n) for k, n in enumerate(names)]
+    rows = [(1, "tinh_thanh", f"xứ {n} ta") for n in names[:3]] + [(2, "tinh_thanh", "đâu Cầm Quế"), (3, "tinh_thanh", "Rừng Sếu"), (4, "other", "xứ x"), (5, "tinh_thanh", "")]
+    values = spark.createDataFrame(rows, "result_id bigint, field_name string, value string")
+    one = values.withColumn("value", F.regexp_replace("value", " ta$", ""))
+    assert canon.learn_decorations(one, listed) == {"tinh_thanh": ({"xu"}, set())}
+    written, folded, total = canon.word_counts(values, listed)["tinh_thanh"]
+    assert written["quế"] == 2 and folded["que"] == 2 and total == 17 and written["xứ"] == 3
+    assert canon.word_counts(values, [])["tinh_thanh"][2] == 17 and canon.learn_decorations(values.limit(0), listed) == {"tinh_thanh": (set(), set())}
+    c = canon.Canon("tinh_thanh", [(k, n) for k, _, n in listed], None, ({"xu"}, {"ta"}))
+    assert c.match("xứ Vãng Mộcc") == 3 and c.match("Vãng Mộc ta") == 3
+
+
 def test_all_entries_in_reach():
-    c = canon.Canon("f", [(1, "abcdefg"), (2, "abcdefh"), (3, "zzzzzzz")], {})
+    c = canon.Canon("f", [(1, "abcdefg"), (2, "abcdefh"), (3, "zzzzzzz")])
     assert c.search("abcdefg") == {1: 0}
     assert c.search("abcdefx") == {1: 1, 2: 1}
+    assert canon.Canon("f", [(1, "abcdef")]).search("abcd") == {1: 2}
 
 
 def test_own_words_are_no_misspelling():
-    counts = {"gấm": 500, "cầm": 500, "quế": 500}
+    counts = ({"gấm": 500, "cầm": 500, "quế": 500}, {"gam": 500, "cam": 500, "que": 500}, 1500)
     c = canon.Canon("tinh_thanh", [(2, "Cầm Quế")], counts)
     assert c.match("Gấm Quế") == -1 and c.match("Cầmm Quế") == 2
-    assert canon.Canon("tinh_thanh", [(2, "Cầm Quế")], {}).match("Gấm Quế") == 2
+    assert canon.Canon("tinh_thanh", [(2, "Cầm Quế")]).match("Gấm Quế") == 2
 
 
 def test_field_values(spark):
@@ -96,6 +124,15 @@ def test_streets_and_places_of_other_lengths():
     assert parts("Quản Linh Kha Mộc, số 12 Bạch Thế Quỳ, P.8") == [("12", "bach the quy", "8", None, None, ["kha moc"])]
 
 
+def test_numbered_districts_and_long_numbers():
+    known = addressing.PlaceWords({"ben", "nghe", "ho", "chi", "minh"}, {"le", "nguyen", "cach"})
+    read = lambda t: [(a.number, a.street, a.ward, a.district, a.province) for a in addressing.find_addresses(t, known)]
+    assert read("12 Lê Lợi, Phường Bến Nghé, Quận 1, TP Hồ Chí Minh") == [("12", "le loi", "ben nghe", "1", "ho chi minh")]
+    assert read("145 Cách Mạng Tháng Tám, P.5, Q3") == [("145", "cach mang thang tam", "5", "3", None)]
+    assert read("K12/34/5 Nguyễn Văn Linh, P. Bến Nghé") == [("k12/34/5", "nguyen van linh", "ben nghe", None, None)]
+    assert read("12345/6/7A đường Lê Lợi, Q.10") == [("12345/6/7a", "le loi", None, "10", None)]
+
+
 def test_same_place_of_other_lengths(spark):
     rows = [(i, f"f{i}", 0, "Số 12, đường Bạch Quỳ, P.8, H. Phiêu Lũng Vĩnh, tỉnh Sếu", None) for i in (1, 2)]
     rows += [(3, "f3", 0, None, {"dia_chi": "12 Bach Quy, phuong 8, huyen Phieu Lung Vinh, tinh Seu"}), (4, "f4", 0, "Số 12 đường Bạch, P.8, H. Phiêu Lũng Vĩnh, tỉnh Sếu", None)]
@@ -103,7 +140,7 @@ def test_same_place_of_other_lengths(spark):
 
 
 def test_words_of_other_lengths_are_learned(spark):
-    rows = [({"dia_chi": "12 đường Bạch Quỳ, P. Sếu, H. Phiêu Lũng Vĩnh, tỉnh Kha"},), ({"dia_chi": "số 3 Giả Thế Văn Nam, P.8"},)]
+    rows = [({"dia_chi": "12 đường Bạch Quỳ, P. Sếu, H. Phiêu Lũng Vĩnh, tỉnh Kha"},), ({"dia_chi": "số 3 Giả Thế Văn Nam, P.8"},)] * 3 + [({"dia_chi": "P. Seeu, số 4 Giảa Văn Nam"},), ({"dia_chi": None},), (None,)]
     words = addressing.place_words(spark.createDataFrame(rows, "extracted_fields map<string,string>"))
     assert words.places == {"seu", "phieu", "lung", "vinh", "kha"} and words.streets == {"bach", "gia"}
 
@@ -138,6 +175,21 @@ def test_same_place(spark):
     assert linked_pairs(spark, rows[:0]) == set()
 
 
+def test_near_names_against_brute_force():
+    rng = random.Random(2)
+    names = {" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 3))) for _ in range(150)} | {"a. bc", "12 ab", "13 ab"}
+    index = places.Names(names)
+    for n in [*sorted(names), "b. ca", "a b. c", "14 ab"]:
+        for most in (2, 3):
+            assert index.near(n, most) == {x: d for x in names if (d := places.alike(n, x)) <= most}, n
+
+
+def test_misspelled_names(spark):
+    rows = [("bach the quy", 9), ("bach the qyu", 2), ("baach the quuy", 1), ("bach the kim", 3), ("gia nam", 2), ("gia nan", 1)]
+    got = {r["name"] for r in places.misspelled(spark.createDataFrame(rows, "name string, n bigint")).collect()}
+    assert got == {a for a, n in rows if any(m >= places.RATIO * n and places.alike(a, b) <= 2 for b, m in rows)} == {"bach the qyu", "baach the quuy"}
+
+
 def test_same_page_counts(spark):
     rows = [(1, "f", 3, "Số 5 đường Cù Văn Nam, P.8, tỉnh Vãng Quế", None), (2, "f", 3, "Số 5 đường Cù Văn Nam, P.8", None), (3, "f", 3, None, None)]
     assert linked_pairs(spark, rows) == {(1, 2)}
@@ -145,5 +197,7 @@ def test_same_page_counts(spark):
 
 def test_hot_place_is_salted_and_whole(spark):
     rows = [(i, f"f{i}", 0, "Số 5 đường Cù Văn Nam, P.8, H. Kha Mộc, tỉnh Vãng Quế", None) for i in range(60)]
-    assert len(linked_pairs(spark, rows)) == 60 * 59 // 2
-    assert spark.range(1).select(F.lit(1)).count() == 1
+    addresses = places.read_addresses(results(spark, [r + ("clash", "clash") for r in rows]), WORDS)
+    placed = places.places(places.linked(addresses, places.gazetteer(addresses, WORDS)))
+    assert places.pairs(placed, hot=10).count() == places.pairs(placed).count() == 60 * 59 // 2
+    assert {r["n_links"] for r in places.classes(placed).collect()} == {59}

@@ -43,12 +43,27 @@ def test_names_of_two_to_four_words_and_unknown_words():
 
 
 def test_names_of_all_lengths_are_learned(spark):
-    rows = [("cầm tay", {"ho_ten": n}) for n in ("Sầm Lâm", "Cù Văn Bằng", "Cù Xuân Văn Bằng")] + [("thùng thùng thùng thùng", None)]
+    rows = [("cầm tay", {"ho_ten": n}) for n in ("Sầm Lâm", "Cù Văn Bằng", "Cù Xuân Văn Bằng")] * 2 + [("thùng " * 40, None)]
     bits = personal.learn_names(spark.createDataFrame(rows, "full_text string, extracted_fields map<string,string>"))
     assert [set(b) for b in bits[:3]] == [{"sam", "cu"}, {"van", "xuan"}, {"lam", "bang"}]
     assert bits[3]["thung"] < bits[3]["cam"] < 0
 
 
+def test_fields_of_codes_are_read_too():
+    assert found("gọi (+84) 951-586-545", "so_phieu") == [("phone", "(+84) 951-586-545")] and found("thư a@b.test", "mst") == [("email", "a@b.test")]
+    assert found("0813867485", "so_phieu") == [] and found("TP. Sầm Xuân Lâm", "tinh_thanh") == [] and found("Sầm Xuân Lâm", "chuc_danh") == [("person", "Sầm Xuân Lâm")]
+
+
+def test_contexts_are_learned_by_what_stands_beside_protected_numbers(spark):
+    rows = [(k, f"xin goi 09510000{k:02d}, kho 09520000{k:02d}, ma 3954103{k:02d} va the 1954103{k:02d}", {"sdt": f"09510000{k:02d}", "cccd": f"1954103{k:02d}"}) for k in range(90)]
+    df = spark.createDataFrame([*rows, (900, None, None), (901, "", {}), (902, "x", {"sdt": None})], "result_id bigint, full_text string, extracted_fields map<string,string>")
+    contexts = personal.learn_contexts(df)
+    text = "xin gọi 0951999999, kho 0952888888, mã 395410399 và thẻ 195410399"
+    got = [(i.kind, text[i.start : i.end]) for i in personal.find_items(text, NAMES, WORDS, "full_text", contexts)]
+    assert got == [("phone", "0951999999"), ("id_number", "195410399")]
+    assert personal.learn_contexts(df.limit(0)) == {}
+
+
 def test_mask():
     text = "Ông/Bà: Sầm Xuân Lâm, 0217.3070.062."
     items = personal.find_items(text, NAMES, WORDS)
@@ -315,7 +330,34 @@ def test_leaks(spark):
 
 def test_standing_instruction_is_no_part():
     items = [(k, f"Đọc đoạn sau. câu {k} " + " ".join(f"t{k}_{j}" for j in range(20))) for k in range(4)]
-    assert "doc" not in {w.decode() for w in leak.Passages(items).vocabulary}
+    assert "doc" not in set(leak.Passages(items).vocabulary)
+
+
+def test_leaks_in_other_scripts_and_against_brute_force(spark):
+    cyrillic = [" ".join(f"сло{chr(1072 + (k * 7 + j) % 30)}{chr(1072 + (j * j) % 30)}во" for j in range(60)) for k in range(2)]
+    han = "".join(chr(0x4E00 + (k * 37) % 500) for k in range(80))
+    items = [(1, cyrillic[0]), (2, cyrillic[1]), (3, han), (4, "Straße ærlig ø " * 20)]
+    docs = [(1, cyrillic[0].upper()), (2, "x " + han[10:70] + " y"), (3, "strasse aerlig o " * 9), (4, "просто текст " * 30)]
+    got = leak.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(1, 1), (2, 3), (3, 4)]
+
+
+def test_seeds_shared_by_many_passages_still_count():
+    common = [" ".join(f"c{j}" for j in range(k, k + 40)) for k in (0, 50, 100)]
+    items = [(k, f"a{k} b{k} " + " ".join(common) + f" d{k} e{k}") for k in range(6)]
+    found = {(i, c >= 0.4 * n) for _, i, c, n in leak.Passages(items).leaks([common[0] + " x y z " + common[2]], 0.4)}
+    assert found == {(k, True) for k in range(6)}
+
+
+def test_reach_is_a_bound():
+    rng = random.Random(9)
+    flat = "abcdefghij"
+    parts = [" ".join(rng.choice(flat) for _ in range(60)) for _ in range(3)]
+    p = leak.Passages(list(enumerate(parts)), seed=3)
+    texts = [" ".join([rng.choice(flat) for _ in range(30)] + rng.choice(parts).split()[a : a + rng.randint(5, 40)] + [rng.choice(flat)] * 9) for a in range(20)]
+    want = list(p.leaks(texts, 0.3))
+    p._reach = lambda key, pos, first: np.full(len(first), 1e9)
+    assert want == list(p.leaks(texts, 0.3)) and want
 
 
 # --- reading bands
@@ -339,11 +381,18 @@ def test_ranker(spark):
     truth = {k: b for k, b, _ in docs if k >= 120}
     assert sum(got[k] == b for k, b in truth.items()) / len(truth) > 0.95 and not {900, 901, 902} & set(got)
     mixed = graded(rng, "advanced", 60) + " " + graded(rng, "basic", 150)
-    assert ranker.band(mixed) == "basic" and ranker.band("") is None
+    assert ranker.band(mixed) == "basic" and ranker.band("") in reading.BANDS
     assert len(reading.rated_sample(df, labels, sample=7)[0]) <= 7
     assert reading.bands(df.limit(0), ranker).count() == 0
 
 
+def test_every_document_of_enough_words_has_a_band(spark):
+    ranker = reading.fit(["a b c d e."] * 3 + ["f g h i j, k l m n."] * 3, [0.0] * 3 + [2.0] * 3)
+    docs = [(1, "это простой текст " * 20), (2, "ก ข ค " * 20), (3, "。 ! ? " * 20), (4, "1 2 3 " * 20), (5, "one two " * 19)]
+    got = {r["doc_id"]: r["band"] for r in reading.bands(spark.createDataFrame(docs, "doc_id bigint, text string"), ranker).collect()}
+    assert set(got) == {1, 2, 3, 4} and set(got.values()) <= set(reading.BANDS)
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(1)
     s, y = rng.normal(size=200), rng.integers(0, 3, 200).astype(float)
