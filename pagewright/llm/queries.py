@@ -63,14 +63,14 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p4_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Every page's text, from its lines and from its boxes, in paragraphs, with the noisy spots."""
     results, boxes = _read(spark, folder, "ocr_result"), _read(spark, folder, "ocr_box")
-    texts = scannoise.text_pages(results)
-    pages = texts.unionByName(scannoise.box_pages(boxes, results))
-    heads, openers = scannoise.running_heads(texts)
-    return scannoise.repair(pages, heads, scannoise.vocabulary(results), openers)
+    pages = cut(scannoise.text_pages(results).unionByName(scannoise.box_pages(boxes, results)))
+    running, openers, page_words = scannoise.running_lines(pages)
+    return scannoise.repair(pages, running, scannoise.vocabulary(results), openers, page_words)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p4_texts(spark, folder).select("result_id", "unit", F.explode("spots").alias("s")).select("result_id", "unit", "s.pos", "s.kind")
+    """The noisy spots but feet, which have no kind of their own there."""
+    return p4_texts(spark, folder).select("result_id", "unit", F.explode("spots").alias("s")).select("result_id", "unit", "s.pos", "s.kind").where("kind <> 'footer'")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

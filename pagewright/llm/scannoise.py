@@ -1,41 +1,45 @@
 """Noise in text from scanned pages (problem 4).
 
-Method: the lines at the top of a file's pages are folded and counted; those that come back on several pages of the
-file, exactly or nearly, and not throughout the corpus (as form titles do) are running heads. Page numbers are edge
-lines that count along with the page. A word broken across lines, or holding a wrong character, is repaired if that
+Method: the lines at the edges of a file's pages, as text and as boxes, are folded and clustered: characters that recognisers
+confuse count as one, and lines that share a third of their letters join the most frequent one if they are near it. A cluster that
+stands on most pages of a stretch is a running head or foot, unless the same line stands on single pages elsewhere, as form titles
+do. Page numbers are edge lines that count along with the page, at the offset most pages of the file agree on; the words before them are
+those that stand before such numbers in the corpus. A word broken across lines, or holding a wrong character, is repaired if that
 gives a word of the corpus vocabulary; what was found is reported and the lines are joined into paragraphs.
 
-Counts are made in Spark over all pages. To the tasks go the vocabulary, of at most VOCABULARY words by its share, and
-with each page the running heads of its file, at most EDGE / HEAD_SHARE.
+Counts are made in Spark over all pages. To the tasks go the vocabulary, of at most VOCABULARY words by its share, the openers of
+heads and the words of page numbers (their number is checked), and with each page the running lines of its file.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import product
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_key, remove_accents
+from ..plans.persist import cut
 from .plainform import code_point_map, vietnamese_letters
 from .textkit import osa_distance, strip_marks
 
-VOCABULARY = 200_000
+VOCABULARY = 1_000_000
 LEAST_COUNT = 3
-#: A running head stands on at least this part of a file's pages, and on two.
-HEAD_SHARE = 0.05
-#: An edge line that stands in more than this part of all files, and in more than FEW_FILES, is a form's title.
-TITLE_SHARE = 0.01
-FEW_FILES = 2
-LEAST_HEAD = 16
-#: Files in which a pair of first words must open a running head to mark one.
+#: A running line stands on two pages or more, on this part of the pages of its stretch, and of those of all its files; on less than that
+#: part of its file, or if it is short, only if it stands on three.
+HEAD_SHARE = 0.6
+LEAST_HEAD = 8
+#: Edits between lines of a cluster, and between a line and a running one: 1 in so many letters.
+LETTERS_AN_EDIT = 8
+#: Files in which a pair of first words must open a running head to mark one, and in which a word must stand before page numbers.
 OPENER_FILES = 3
-MOST_OPENERS = 1000
-#: Lines from the top of a page that may be running heads, and from top and bottom that may be page numbers.
+MAX_OPENERS = 100_000
+#: Lines from the edge of a page that may be running lines or page numbers.
 EDGE = 2
 #: A file with 1 in HOT of all pages is joined by broadcast.
 HOT = 200
@@ -53,7 +57,7 @@ _TOKEN = re.compile(rf"[^\W_{_SIGNS}]*(?:[{_SIGNS}]|[^\W_])+", re.U)
 _CODE = re.compile(r"\S*@\S*\.\S*|\S*\[at\]\S*|https?:\S+|www\.\S+", re.I)
 _HYPHEN = re.compile(r"([^\W\d_]|[|+€$@0-9])[-¬=‐­]\s*$")
 _NUMBER = re.compile(r"^[\W_]*(?:([^\W\d_][\w+|€$]{0,6})[\s.:]+)?(\d+)(?:\s*(?:/|of|0f)\s*(\d+))?[\W_]*$", re.I)
-# Words before a page number (folded).
+# Words before a page number (folded), beside those of the corpus.
 _PAGE_WORDS = ("trang", "page", "tr", "to", "p", "pg")
 
 
@@ -62,6 +66,7 @@ class Vocabulary:
 
     def __init__(self, counts: dict[str, int]) -> None:
         self.counts = counts
+        self.sorted: list[str] | None = None
         self.memo: dict[str, str | None] = {}
 
     def repaired(self, word: str) -> str | None:
@@ -75,29 +80,38 @@ class Vocabulary:
     def _repaired(self, word: str) -> str | None:
         spots = list(_SPOT.finditer(word))
         letters = sum(c.isalpha() for c in word)
-        if not spots or not letters or len(spots) > 4:
+        if not spots or not letters:
             return None
         foreign = any(not m[0].isalpha() for m in spots)
         seen = self.counts.get(word, 0)
         best, found = 0, None
-        for choice in product(*[(m[0], *CONFUSIONS[m[0]]) for m in spots]):
-            out, at = [], 0
-            for m, c in zip(spots, choice, strict=True):
-                out += [word[at : m.start()], c]
-                at = m.end()
-            fixed = "".join(out) + word[at:]
+        for fixed in self._readings(word, spots):
             if fixed != word and (n := self.counts.get(fixed, 0)) > best and fixed.isalpha():
                 best, found = n, fixed
         if found and best >= max(LEAST_COUNT, RATIO * seen) and (len(found) > 1 or not foreign):
             # a number or code with one letter is no word
             digits = sum(c.isdigit() for c in word)
-            if len(found) > 2 or digits == 0 or letters > digits:
+            if digits == 0 or letters > digits or (len(found) > 2 and letters == digits):
                 return found
         if foreign and len(word) >= 4 and re.fullmatch(r"[^\W\d_]+(?:\|n|[0159€+$|])[^\W\d_]+", word):
             m = next(m for m in spots if not m[0].isalpha())
             return word[: m.start()] + CONFUSIONS[m[0]][0] + word[m.end() :]
         return None
 
+    def _readings(self, word: str, spots: list[re.Match]) -> Iterator[str]:
+        """What the word may have been, spot by spot; with many spots, only beginnings of words of the vocabulary go on."""
+        many = len(spots) > 4
+        if many and self.sorted is None:
+            self.sorted = sorted(self.counts)
+        heads, at = [""], 0
+        for m in spots:
+            heads = [h + word[at : m.start()] + c for h in heads for c in (m[0], *CONFUSIONS[m[0]])]
+            at = m.end()
+            if many:
+                heads = [h for h in heads if (k := bisect_left(self.sorted, h)) < len(self.sorted) and self.sorted[k].startswith(h)]
+        for h in heads:
+            yield h + word[at:]
+
     def known(self, word: str) -> bool:
         return word in self.counts
 
@@ -124,10 +138,26 @@ def opener(line: str) -> str:
     return " ".join(strip_marks(line).split()[:2])
 
 
+@dataclass(frozen=True)
+class Running:
+    """Running lines of a file (folded) at the top and the bottom, and how far its page numbers are ahead of the page index."""
+
+    heads: tuple[str, ...] = ()
+    feet: tuple[str, ...] = ()
+    offset: int = 1
+
+
+def _is_near(key: str, lines: tuple[str, ...]) -> bool:
+    return any(osa_distance(key, h, max(1, len(h) // LETTERS_AN_EDIT)) <= len(h) // LETTERS_AN_EDIT for h in lines)
+
+
 def repair_page(
-    units: list[str | None], heads: list[str], page_index: int | None, vocabulary: Vocabulary, openers: frozenset[str] = frozenset()
+    units: list[str | None], running: Running, page_index: int | None, vocabulary: Vocabulary, openers: frozenset[str] = frozenset(), page_words: frozenset[str] = frozenset()
 ) -> tuple[str, list[tuple[int, str]]]:
-    """The repaired text of a page and its noisy spots (number of the unit from 0, kind)."""
+    """The repaired text of a page and its noisy spots (number of the unit from 0, kind).
+
+    Kinds are header, footer, page_number, hyphen and misread.
+    """
     lines = [plain_line(u) for u in units]
     n = len(lines)
     spots: list[tuple[int, str]] = []
@@ -138,16 +168,18 @@ def repair_page(
         m = _NUMBER.match(lines[k]) if near else None
         if m:
             word = strip_marks(m[1] or "").translate(str.maketrans("019|+€", "olglte")).rstrip(".:")
-            if (not word or any(osa_distance(word, w, 1) <= (len(w) > 3) for w in _PAGE_WORDS)) and (
-                int(m[2]) == page_index + 1 if page_index is not None else bool(word or m[3])
+            if (not word or any(osa_distance(word, w, 1) <= (len(w) > 3) for w in (*_PAGE_WORDS, *page_words))) and (
+                int(m[2]) == page_index + running.offset if page_index is not None else bool(word or m[3])
             ):
                 kind[k] = "page_number"
                 continue
         key = re.sub("[^a-z0-9]+", "", strip_marks(lines[k]))
-        if k not in top[:EDGE] or len(key) < LEAST_HEAD:
+        if len(key) < LEAST_HEAD:
             continue
-        if any(osa_distance(key, h, max(1, len(h) // 8)) <= len(h) // 8 for h in heads) or opener(lines[k]) in openers:
+        if k in top[:EDGE] and (_is_near(key, running.heads) or (len(key) >= 2 * LEAST_HEAD and opener(lines[k]) in openers)):
             kind[k] = "header"
+        elif k in top[-EDGE:] and _is_near(key, running.feet):
+            kind[k] = "footer"
     spots += [(k, v) for k, v in enumerate(kind) if v]
     broken = [False] * n
     after = [next((j for j in range(k + 1, n) if lines[j].strip()), None) for k in range(n)]
@@ -223,64 +255,115 @@ def vocabulary(texts: DataFrame, text_col: str = "full_text", most: int = VOCABU
     return {r["w"]: r["count"] for r in counted.where(F.col("count") >= least).join(floor, F.col("count") >= F.col("floor")).collect()}
 
 
-def running_heads(pages: DataFrame) -> tuple[DataFrame, frozenset[str]]:
-    """(file_path, heads, hot): folded top lines that are running heads of the file; and the openers of heads.
+def _edges(pages: DataFrame) -> DataFrame:
+    """(side, file_path, page_index, line): the first and last lines of each page that aren't blank, once each."""
+    lines = F.filter("units", lambda u: F.trim(u) != "")
+    at = lambda side, some: F.transform(some, lambda u: F.struct(F.lit(side).alias("side"), u.alias("line")))
+    parted = pages.where("file_path is not null and page_index is not null").select("file_path", "page_index", lines.alias("l")).where("size(l) > 0")
+    both = F.concat(at("top", F.slice("l", 1, EDGE)), at("bottom", F.slice("l", -F.least(F.size("l"), F.lit(EDGE)), F.lit(EDGE))))
+    return parted.select("file_path", "page_index", F.explode(F.array_distinct(both)).alias("e")).select("e.side", "file_path", "page_index", "e.line")
 
-    pages has (file_path, page_index, units). A top line is a head if it stands on two pages of the file and on
-    HEAD_SHARE of them, and isn't spread over the corpus like a form's title. The first two words of heads of at least
-    OPENER_FILES files, if lines that begin so are heads for the most part, mark a head where only one page of a
-    file is at hand; at most MOST_OPENERS of them are kept, the most frequent ones.
+
+def _confused(key: Column) -> Column:
+    """A folded line with what recognisers confuse made one."""
+    for wrong, right in (("rn", "m"), ("cl", "d"), ("vv", "w"), ("ii", "u")):
+        key = F.replace(key, F.lit(wrong), F.lit(right))
+    return F.translate(key, "01589i634", "olsbglbea")
+
+
+def running_lines(pages: DataFrame) -> tuple[DataFrame, frozenset[str], frozenset[str]]:
+    """(file_path, heads, feet, offset, hot), the openers of heads, and the words before page numbers.
+
+    pages has (file_path, page_index, units). heads and feet are folded lines; see HEAD_SHARE. The first two words of heads of at
+    least OPENER_FILES files, if lines that begin so are heads for the most part, mark a head where only one page of a
+    file is at hand.
     """
-    pages = pages.where("file_path is not null and size(units) > 0")
-    tops = pages.select("file_path", "page_index", F.explode(F.slice("units", 1, EDGE)).alias("line")).withColumn("key", fold_key("line"))
+    edges = cut(_edges(pages).withColumn("key", fold_key("line")))
+    own = edges.groupBy("file_path", "page_index").agg(F.lit(1).alias("one"))
+    files = own.groupBy("file_path").agg(F.count("*").alias("file_pages"))
+    shape = _confused(F.col("key"))
     lines = (
-        tops.where(F.length("key") >= LEAST_HEAD)
-        .groupBy("file_path", "key", "page_index").agg(F.min("line").alias("line"), F.count("*").alias("n"))
-        .groupBy("file_path", "key").agg(F.count("*").alias("n_pages"), F.min("line").alias("line"), F.sum("n").alias("n"))
+        edges.where(F.length("key") >= LEAST_HEAD).groupBy("side", "file_path", shape.alias("shape"), "page_index").agg(F.min("key").alias("key"), F.min("line").alias("line"))
+        .groupBy("side", "file_path", "shape")
+        .agg(F.count("*").alias("n_pages"), F.min("page_index").alias("first"), F.max("page_index").alias("last"), F.min("key").alias("key"), F.min("line").alias("line"))
     )
-    files = pages.groupBy("file_path", "page_index").agg(F.lit(1).alias("x")).groupBy("file_path").agg(F.count("*").alias("file_pages"))
-    total = F.broadcast(files.agg(F.count("*").alias("n_files"), F.sum("file_pages").alias("all_pages")))
-    spread = lines.groupBy("key").agg(F.count("*").alias("key_files"))
-    judged = (
-        lines.join(files, "file_path").join(spread, "key").crossJoin(total)
-        .withColumn("head", (F.col("n_pages") >= 2) & (F.col("n_pages") >= HEAD_SHARE * F.col("file_pages"))
-                    & ((F.col("key_files") <= FEW_FILES) | (F.col("key_files") <= TITLE_SHARE * F.col("n_files"))))
-        .withColumn("opener", F.regexp_replace(F.lower(remove_accents(F.regexp_extract("line", r"^\s*(\S+\s+\S+)", 1))), r"\s+", " "))
+    lines = cut(lines)
+    # The most frequent of the lines that share a third of their letters draws in those near it.
+    third = F.ceil(F.length("shape") / F.lit(3)).cast("int")
+    pieces = lines.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.substr("shape", third * k + 1, third).alias("piece")) for k in range(3)])).alias("x")).select("*", "x.k", "x.piece")
+    leaders = pieces.groupBy("side", "file_path", "k", "piece").agg(F.max(F.struct("n_pages", "shape")).alias("leader"), F.count("*").alias("n")).where("n > 1")
+    near = F.levenshtein(F.col("shape"), F.col("leader.shape")) <= F.floor(F.length("leader.shape") / LETTERS_AN_EDIT)
+    drawn = pieces.join(leaders.select("side", "file_path", "k", "piece", "leader"), ["side", "file_path", "k", "piece"]).where(near & (F.col("shape") != F.col("leader.shape")))
+    drawn = drawn.groupBy("side", "file_path", "shape").agg(F.max("leader").alias("leader")).select("side", "file_path", "shape", F.col("leader.shape").alias("cluster"))
+    clusters = (
+        lines.join(drawn, ["side", "file_path", "shape"], "left").withColumn("cluster", F.coalesce("cluster", "shape"))
+        .groupBy("side", "file_path", "cluster")
+        .agg(F.sum("n_pages").alias("n_pages"), F.min("first").alias("first"), F.max("last").alias("last"), F.max_by("key", "n_pages").alias("key"), F.max_by("line", "n_pages").alias("line"))
+        .join(files, "file_path")
     )
-    openers = (
-        judged.where("opener <> ''").groupBy("opener")
-        .agg(F.countDistinct(F.when(F.col("head"), F.col("file_path"))).alias("head_files"),
-             F.sum(F.when(F.col("head"), F.col("n")).otherwise(0)).alias("as_head"), F.sum("n").alias("in_all"))
-        .where((F.col("head_files") >= OPENER_FILES) & (F.col("as_head") >= 0.6 * F.col("in_all")))
-        .orderBy(F.desc("head_files"), "opener").limit(MOST_OPENERS)
+    stretch = F.col("last") - F.col("first") + 1
+    # Files of several pages tell a running line from a title: it stands on most pages of each of its files.
+    several = clusters.where("file_pages >= 2").groupBy("side", "cluster").agg((F.sum("n_pages") / F.sum(F.when(F.col("n_pages") >= 3, stretch).otherwise(F.col("file_pages")))).alias("share"))
+    running = (
+        clusters.where((F.col("n_pages") >= F.when(F.length("cluster") < 2 * LEAST_HEAD, 3).otherwise(2)) & (F.col("n_pages") >= HEAD_SHARE * stretch) & ((F.col("n_pages") >= 3) | (F.col("n_pages") >= HEAD_SHARE * F.col("file_pages"))))
+        .join(several.where(F.col("share") >= HEAD_SHARE), ["side", "cluster"]).where("side = 'top' or n_pages >= 3")
     )
-    share = F.max(F.col("file_pages") / F.col("all_pages"))
-    heads = judged.where("head").groupBy("file_path").agg(F.collect_set("key").alias("heads"), (share >= 1 / HOT).alias("hot"))
-    return heads, frozenset(r["opener"] for r in openers.collect())
+    running = cut(running.select("side", "file_path", "key", "line", "n_pages"))
+    first_words = F.regexp_replace(F.lower(remove_accents(F.regexp_extract("line", r"^\s*(\S+\s+\S+)", 1))), r"\s+", " ")
+    as_head = running.where("side = 'top'").groupBy(first_words.alias("opener")).agg(F.countDistinct("file_path").alias("head_files"), F.sum("n_pages").alias("as_head"))
+    in_all = lines.where(F.col("side") == "top").groupBy(first_words.alias("opener")).agg(F.sum("n_pages").alias("in_all"))
+    openers = as_head.join(in_all, "opener").where((F.col("opener") != "") & (F.col("head_files") >= OPENER_FILES) & (F.col("as_head") >= 0.6 * F.col("in_all")))
+    number = r"^[^\p{L}\p{N}]*(?:(\p{L}[^\s.:]{0,6})[\s.:]+)?(\d{1,6})(?:\s*(?:/|of|0f)\s*\d+)?[^\p{L}\p{N}]*$"
+    numbers = edges.where(F.col("line").rlike(number)).select(
+        "file_path", "page_index", F.lower(remove_accents(F.regexp_extract("line", number, 1))).alias("word"), (F.regexp_extract("line", number, 2).cast("int") - F.col("page_index")).alias("offset")
+    )
+    counts = numbers.groupBy("file_path", "offset", "page_index").agg(F.lit(1).alias("one")).groupBy("file_path", "offset").agg(F.count("*").alias("n"))
+    best = counts.groupBy("file_path").agg(F.max(F.struct("n", (F.col("offset") == 1).alias("usual"), "offset")).alias("b"))
+    offsets = best.where("b.n >= 2 and b.offset <> 1").select("file_path", F.col("b.offset").alias("offset"))
+    ahead = offsets.select("file_path", F.col("offset").alias("ahead"))
+    along = numbers.where("word <> ''").join(ahead, "file_path", "left").withColumn("along", F.col("offset") == F.coalesce("ahead", F.lit(1)))
+    words = along.groupBy("word").agg(F.countDistinct(F.when(F.col("along"), F.col("file_path"))).alias("files"), F.avg(F.col("along").cast("int")).alias("share")).where((F.col("files") >= OPENER_FILES) & (F.col("share") >= 0.5))
+    total = F.broadcast(files.agg(F.sum("file_pages").alias("all_pages")))
+    of_file = running.groupBy("file_path").agg(F.collect_set(F.when(F.col("side") == "top", F.col("key"))).alias("heads"), F.collect_set(F.when(F.col("side") == "bottom", F.col("key"))).alias("feet"))
+    out = of_file.join(offsets, "file_path", "full").join(files, "file_path").join(total).select(
+        "file_path", F.coalesce("heads", F.array().cast("array<string>")).alias("heads"), F.coalesce("feet", F.array().cast("array<string>")).alias("feet"),
+        F.coalesce("offset", F.lit(1)).alias("offset"), (F.col("file_pages") * HOT >= F.col("all_pages")).alias("hot"),
+    )
+    return out, _few(openers.select("opener")), _few(words.select("word"))
+
+
+def _few(rows: DataFrame) -> frozenset[str]:
+    out = rows.limit(MAX_OPENERS + 1).collect()
+    if len(out) > MAX_OPENERS:
+        raise ValueError(f"more than {MAX_OPENERS} {rows.columns[0]}s")
+    return frozenset(r[0] for r in out)
 
 
-def repair(pages: DataFrame, heads: DataFrame, words: dict[str, int], openers: frozenset[str] = frozenset()) -> DataFrame:
+def repair(pages: DataFrame, running: DataFrame, words: dict[str, int], openers: frozenset[str] = frozenset(), page_words: frozenset[str] = frozenset()) -> DataFrame:
     """pages (result_id, unit, file_path, page_index, units, positions) -> (result_id, unit, repaired, spots<pos, kind>).
 
     A page whose units are all null or empty gives an empty text without spots; a null unit counts as empty; a page
-    without a file path has no running heads; without a page index, only written-out page numbers count.
+    without a file path has no running lines; without a page index, only written-out page numbers count.
     """
-    shared = pages.sparkSession.sparkContext.broadcast((words, openers))
-    # Files that hold a good part of all pages are at most HOT: their heads are broadcast, so that no file is one join key
+    shared = pages.sparkSession.sparkContext.broadcast((words, openers, page_words))
+    # Files that hold a good part of all pages are at most HOT: their lines are broadcast, so that no file is one join key
     # for many pages; the others meet by file.
-    hot = F.broadcast(heads.where("hot").select("file_path", F.col("heads").alias("hot_heads")))
-    cold = heads.where("not hot").select(F.col("file_path").alias("k"), "heads")
+    one = F.struct("heads", "feet", "offset").alias("running")
+    hot = F.broadcast(running.where("hot").select("file_path", one).withColumnRenamed("running", "hot_running"))
+    cold = running.where("not hot").select(F.col("file_path").alias("k"), one)
     own = F.concat(F.lit("\0"), F.col("result_id").cast("string"))
-    keyed = pages.join(hot, "file_path", "left").withColumn("k", F.when(F.col("hot_heads").isNull() & F.col("file_path").isNotNull(), F.col("file_path")).otherwise(own))
-    joined = keyed.join(cold, "k", "left").select("result_id", "unit", "page_index", "units", "positions", F.coalesce("hot_heads", "heads").alias("heads"))
+    keyed = pages.join(hot, "file_path", "left").withColumn("k", F.when(F.col("hot_running").isNull() & F.col("file_path").isNotNull(), F.col("file_path")).otherwise(own))
+    joined = keyed.join(cold, "k", "left").withColumn("r", F.coalesce("hot_running", "running")).select("result_id", "unit", "page_index", "units", "positions", "r.heads", "r.feet", "r.offset")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, first = Vocabulary(shared.value[0]), shared.value[1]
+        counts, first, before = shared.value
+        vocabulary = Vocabulary(counts)
         for batch in batches:
             texts, found = [], []
-            for index, units, positions, own in zip(batch["page_index"], batch["units"], batch["positions"], batch["heads"], strict=True):
+            for index, units, positions, heads, feet, offset in zip(*(batch[c] for c in ("page_index", "units", "positions", "heads", "feet", "offset")), strict=True):
                 units = [] if units is None else list(units)
-                text, spots = repair_page(units, [] if own is None else list(own), None if pd.isna(index) else int(index), vocabulary, first)
+                own = Running() if heads is None else Running(tuple(heads), tuple(feet), int(offset))
+                text, spots = repair_page(units, own, None if pd.isna(index) else int(index), vocabulary, first, before)
                 texts.append(text)
                 found.append([{"pos": int(positions[k]), "kind": kind} for k, kind in spots])
             yield pd.DataFrame({"result_id": batch["result_id"], "unit": batch["unit"], "repaired": texts, "spots": found})

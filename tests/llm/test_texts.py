@@ -87,28 +87,70 @@ def test_scan_defined_for_nulls(spark):
 def test_repair_page():
     v = scannoise.Vocabulary(dict.fromkeys("hàng trong kho giao nhận kiểm tra phiếu người mới".split(), 50) | {"kiểrn": 1})
     units = ["BÁO CÁO KHO LŨNG 28 - CÔNG TY GIẤY", "PHIẾU GIAO", "n9ười nh-", "ận kiểrn tra |nàng", None, "8 giờ -", "17 giờ", "Trang 2/6"]
-    text, spots = scannoise.repair_page(units, ["baocaokholung28congtygiay"], 1, v)
+    text, spots = scannoise.repair_page(units, scannoise.Running(("baocaokholung28congtygiay",)), 1, v)
     assert spots == [(0, "header"), (2, "hyphen"), (2, "misread"), (3, "misread"), (7, "page_number")]
     assert "người nhận kiểm tra hàng" in text and "Trang" not in text and "BÁO CÁO" not in text
-    assert scannoise.repair_page([], [], None, v) == ("", []) and scannoise.repair_page([None, ""], [], 0, v) == ("", [])
-    assert scannoise.repair_page(["3"], [], 0, v)[1] == [] and scannoise.repair_page(["3"], [], 2, v)[1] == [(0, "page_number")]
-    assert scannoise.repair_page(["KH92-6099 a@b.test 12.000"], [], 0, v)[1] == []
+    assert scannoise.repair_page([], scannoise.Running(), None, v) == ("", []) and scannoise.repair_page([None, ""], scannoise.Running(), 0, v) == ("", [])
+    assert scannoise.repair_page(["3"], scannoise.Running(), 0, v)[1] == [] and scannoise.repair_page(["3"], scannoise.Running(), 2, v)[1] == [(0, "page_number")]
+    assert scannoise.repair_page(["KH92-6099 a@b.test 12.000"], scannoise.Running(), 0, v)[1] == []
+
+
+def test_words_with_many_suspect_characters():
+    v = scannoise.Vocabulary({"hhhhhhanh": 40, "ple": 9})
+    assert v.repaired("|n|n|n|n|n|nanh") == "hhhhhhanh" and v.repaired("p13") is None and v.repaired("|n|n|n|n|n|nang") is None
+
+
+def pages_of(spark, rows):
+    return spark.createDataFrame(rows, "result_id bigint, file_path string, page_index int, full_text string")
+
+
+def lines_of(running):
+    return {r["file_path"]: (r["heads"], r["feet"], r["offset"]) for r in running.collect()}
 
 
 def test_heads_and_pages(spark):
     head = "SỔ GIAO NHẬN TỔNG HỢP - CÔNG TY"
-    rows = [(k, "f", k, f"{head}\nPHIẾU BẢO HÀNH CHUNG\nx{k}") for k in range(3)] + [(10 + k, f"g{k}", 0, f"PHIẾU BẢO HÀNH CHUNG\ny{k}") for k in range(9)] + [(30, None, None, "z"), (31, "f", 3, None)]
-    df = spark.createDataFrame(rows, "result_id bigint, file_path string, page_index int, full_text string")
+    rows = [(k, "f", k, f"{head}\nPHIẾU BẢO HÀNH CHUNG\nx{k}") for k in range(3)] + [(10 + k, f"g{k}", j, f"PHIẾU BẢO HÀNH CHUNG\ny{k}" if j == 0 else "z") for k in range(9) for j in (0, 1)] + [(30, None, None, "z"), (31, "f", 3, None)]
+    df = pages_of(spark, rows)
     pages = scannoise.text_pages(df)
-    heads, openers = scannoise.running_heads(pages)
-    assert {r["file_path"]: r["heads"] for r in heads.collect()} == {"f": ["sogiaonhantonghopcongty"]}
-    out = scannoise.repair(pages, heads, scannoise.vocabulary(df), openers)
+    running, openers, words = scannoise.running_lines(pages)
+    assert lines_of(running)["f"] == (["sogiaonhantonghopcongty"], [], 1)
+    out = scannoise.repair(pages, running, scannoise.vocabulary(df), openers, words)
     spots = {(r["result_id"], s["pos"], s["kind"]) for r in out.collect() for s in r["spots"]}
-    assert spots == {(k, 1, "header") for k in range(3)} and out.count() == 13
+    assert spots == {(k, 1, "header") for k in range(3)} and out.count() == 22
     boxes = spark.createDataFrame([(0, "f", k, t) for k, t in enumerate([head, None, "tro-", "ng kho"])] + [(99, "q", 5, "x")], "page_id bigint, file_path string, box_id int, text string")
-    got = scannoise.repair(scannoise.box_pages(boxes, df), heads, {"trong": 9})
+    got = scannoise.repair(scannoise.box_pages(boxes, df), running, {"trong": 9})
     assert {(r["result_id"], s["pos"], s["kind"]) for r in got.collect() for s in r["spots"]} == {(0, 0, "header"), (0, 2, "hyphen")}
-    assert scannoise.repair(pages.limit(0), heads, {}).count() == 0
+    assert scannoise.repair(pages.limit(0), running, {}).count() == 0 and scannoise.running_lines(pages.limit(0))[0].count() == 0
+
+
+def test_feet_misread_heads_and_numbers_that_begin_elsewhere(spark):
+    rng = random.Random(5)
+    body = lambda: "".join(" ".join("".join(rng.choice("bcdghklmnt") + rng.choice("aeou") for _ in range(2)) for _ in range(5)) + "\n" for _ in range(3))
+    heads = ["SỔ GIAO NHẬN HÀNG NĂM", "S0 GIAO NHẬN HÀNG NĂM", "SỔ GlAO NHẬN HÀNG NĂM", "SỔ GIAO NHẬNN HÀNG NĂM"]
+    rows = [(k, "f", k, f"{heads[k]}\n{body()}Lưu hành nội bộ trong công ty\nTrang {k + 12}") for k in range(4)]
+    rows += [(10 + k, f"g{k}", 0, f"{body()}Tờ 1") for k in range(4)]
+    df = pages_of(spark, rows)
+    for pages in (scannoise.text_pages(df), scannoise.text_pages(df).withColumn("unit", F.lit("box"))):  # boxes are a source as good
+        running, openers, words = scannoise.running_lines(pages)
+        heads_, feet, offset = lines_of(running)["f"]
+        assert len(heads_) == 1 and feet == ["luuhanhnoibotrongcongty"] and offset == 12 and words == {"to"}
+        out = scannoise.repair(pages, running, scannoise.vocabulary(df), openers, words).collect()
+        spots = {(r["result_id"], s["pos"], s["kind"]) for r in out for s in r["spots"] if s["kind"] != "misread"}
+        assert spots == {(k, p, kind) for k in range(4) for p, kind in ((1, "header"), (5, "footer"), (6, "page_number"))} | {(10 + k, 4, "page_number") for k in range(4)}
+        assert not any("Lưu hành" in r["repaired"] or "Trang" in r["repaired"] for r in out)
+
+
+def test_plan_for_hot_files_gives_the_same(spark, monkeypatch):
+    rows = [(k, f"f{k % 3}", k // 3, f"SỔ GIAO NHẬN TỔNG HỢP {k % 3}\nx{k}\ny") for k in range(12)]
+    pages = scannoise.text_pages(pages_of(spark, rows))
+    results = []
+    for hot in (0, 1000):
+        monkeypatch.setattr(scannoise, "HOT", hot)
+        running, openers, words = scannoise.running_lines(pages)
+        assert running.where("hot").count() == (3 if hot else 0)
+        results.append(sorted(map(str, scannoise.repair(pages, running, {}, openers, words).collect())))
+    assert results[0] == results[1] and "header" in results[0][0]
 
 
 # --- overlap across splits
