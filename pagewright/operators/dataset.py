@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import nfc
+from ..plans.persist import cut
+from .decode import phrase_rules
+from .pages import numbered
+
 # Fixed values of the gates.
 LEAST_CROP, LEAST_SAMPLE, MOST_LABEL = (10, 12), (8, 8), 120
 
@@ -20,8 +25,8 @@ def crop_gate(h: Column, w: Column) -> Column:
 
 
 def text_gate(text: Column) -> Column:
-    """At least two characters after trimming, one of them a letter or digit; false for null."""
-    t = F.trim(text)
+    """At least two characters in composed form after trimming, one of them a letter or digit; false for null."""
+    t = F.trim(nfc(text))
     return F.coalesce((F.length(t) >= 2) & t.rlike(r"[\p{L}\p{N}]"), F.lit(False))
 
 
@@ -54,12 +59,23 @@ def split(df: DataFrame, key: str, seed: int = 42, val_share: float = 0.15) -> D
 def split_exact(df: DataFrame, key: str, seed: int = 42, val_share: float = 0.15, least: int = 10) -> DataFrame:
     """(key, split): exactly max(least, share of all) keys, at most all, in val: the first in hash order.
 
-    The border is found by a top-k, which no task holds more than; use split() where a share is enough.
+    The border is found by counts of hash prefixes (at most 65,536); only the keys that share its prefix are sorted.
     """
-    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
-    n = keys.count()
-    val = keys.orderBy(hash_order(F.col(key), seed), key).limit(min(n, max(least, int(n * val_share)))).withColumn("split", F.lit("val"))
-    return keys.join(val, key, "left").select(key, F.coalesce("split", F.lit("train")).alias("split"))
+    keys = cut(df.select(key).where(F.col(key).isNotNull()).distinct().withColumn("__h", hash_order(F.col(key), seed)))
+    prefix = F.substring("__h", 1, 4)
+    counts = sorted((r["p"], r["count"]) for r in keys.groupBy(prefix.alias("p")).count().collect())
+    n = sum(c for _, c in counts)
+    wanted = min(n, max(least, int(n * val_share)))
+    seen = 0
+    for p, c in counts:
+        if seen + c >= wanted:
+            break
+        seen += c
+    if not wanted:
+        return keys.select(key, F.lit("train").alias("split"))
+    last = keys.where(prefix == p).orderBy("__h", key).limit(wanted - seen).orderBy(F.desc("__h"), F.desc(key)).first()
+    first = (F.col("__h") < last["__h"]) | ((F.col("__h") == last["__h"]) & (F.col(key) <= F.lit(last[key])))
+    return keys.select(key, F.when(first, "val").otherwise("train").alias("split"))
 
 
 def first_documents(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -76,31 +92,33 @@ def char_dictionary(df: DataFrame, text: str, base: str = "") -> DataFrame:
     return own.union(rest).groupBy("ch").agg(F.sum("n").alias("n"))
 
 
-def crop_names(df: DataFrame, order: list[str], group: str) -> DataFrame:
-    """df with crop_name: crop_ and a running number of six digits within the group, in the given order."""
-    w = Window.partitionBy(group).orderBy(*order)
-    return df.withColumn("crop_name", F.concat(F.lit("crop_"), F.lpad(F.row_number().over(w).cast("string"), 6, "0"), F.lit(".jpg")))
+def crop_names(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with crop_name: crop_ and a running number of six digits or more through all rows, in the given order, which must tell rows apart."""
+    return numbered(df, order, "__number").withColumn("crop_name", F.format_string("crop_%06d.jpg", "__number")).drop("__number")
 
 
-# Ordered rules for labels: pattern, replacement.
-LABEL_RULES = (
-    (r"\bm[aã]\s+h[aà]ng\b", "Mã hàng"), (r"\bt[eê]n\s+h[aà]ng\b", "Tên hàng"), (r"\b[đd][oơ]n\s*gi[aá]\b", "Đơn giá"),
-    (r"\bth[aà]nh\s*ti[eề]n\b", "Thành tiền"), (r"\bs[oố]\s+l[uư][oợ]ng\b", "Số lượng"), (r"\bghi\s+ch[uú]\b", "Ghi chú"),
-    (r"\bt[oổ]ng\s+c[oộ]ng\b", "Tổng cộng"), (r"\b[đd][oơ]n\s+v[iị]\s+t[ií]nh\b", "Đơn vị tính"), (r"\bk[yý]\s+t[eê]n\b", "Ký tên"),
-    (r"\bs[oố]\s+(\d+)", "Số $1"), (r"\bph[oò]ng\s+k[eế]\s+to[aá]n\b", "Phòng kế toán"), (r"\b[ĐD][Vv][Tt]\b", "ĐVT"),
+#: Phrases that labels are snapped to.
+LABEL_PHRASES = (
+    "Mã hàng", "Tên hàng", "Đơn giá", "Thành tiền", "Số lượng", "Ghi chú", "Tổng cộng", "Tổng tiền thanh toán", "Cộng tiền hàng", "Đơn vị tính", "Diễn giải",
+    "Phiếu giao hàng", "Phiếu xuất kho", "Thủ kho", "Phòng kế toán", "Người nhận", "Người gửi", "Người lập phiếu", "Địa điểm giao hàng", "Số tiền viết bằng chữ",
+    "Mã số thuế", "Số tài khoản", "Ngân hàng", "Khách hàng ký nhận",
 )
 
 
-def clean_label(text: Column, rules: tuple[tuple[str, str], ...] = LABEL_RULES) -> Column:
-    """The label after ordered rules, all in the JVM; a rule whose replacement is in capitals heeds case. At most 30 rules
-    fit one expression; null stays null."""
-    out = F.trim(text)
-    for pattern, replacement in rules:
-        heeds = replacement == replacement.upper() and replacement != replacement.lower()
-        out = F.regexp_replace(out, ("(?U)" if heeds else "(?iU)") + pattern, replacement)
+def clean_label(text: Column, phrases: tuple[str, ...] = LABEL_PHRASES) -> Column:
+    """The label in composed form, trimmed, with each phrase as it should be, whatever accents, case or blanks it had; in order.
+
+    A phrase counts only as whole words. Null stays null.
+    """
+    out = F.trim(nfc(text))
+    for pattern, phrase in phrase_rules(phrases):
+        out = F.regexp_replace(out, f"(?iU)(?<![\\p{{L}}\\p{{M}}\\p{{N}}_]){pattern.removeprefix(BOUND).removesuffix(BOUND)}(?![\\p{{L}}\\p{{M}}\\p{{N}}_])", phrase)
     return F.trim(out)
 
 
+BOUND = r"\b"
+
+
 def changed_labels(df: DataFrame, text: str) -> DataFrame:
     """(n_rows, n_changed) of cleaning a label column; a change is null-safe."""
     return df.agg(F.count("*").alias("n_rows"), F.count_if(~clean_label(F.col(text)).eqNullSafe(F.col(text))).alias("n_changed"))

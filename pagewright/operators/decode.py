@@ -25,14 +25,15 @@ SURE, MARGIN = 50.0, 35.0
 # Words without accents that are words as they are.
 PLAIN_WORDS = frozenset({"va", "la", "co", "ra", "cho", "di"})
 _BYPASS = re.compile(r"[@/:#$%]")
-# Phrases of forms and slips that a text is snapped to, whatever accents it lost.
+# Phrases of forms and papers that a text is snapped to, whatever accents it lost.
 PHRASES = (
-    "Cộng tiền hàng", "Mã hàng", "Tên hàng", "Đơn giá", "Thành tiền", "Số lượng", "Ghi chú", "Phiếu giao hàng", "Phiếu xuất kho",
-    "Tiền thuế GTGT", "Tổng tiền thanh toán", "Số tiền viết bằng chữ", "Địa điểm giao hàng", "Diễn giải", "Tên người liên hệ",
-    "Nhân viên kỹ thuật", "Thủ kho", "Khách hàng ký nhận", "Đầu dò nhiệt", "Trục rulô", "Phòng kế toán", "Đơn vị tính",
-    "Ủy ban nhân dân", "Hội đồng nhân dân", "Cộng hòa xã hội chủ nghĩa Việt Nam", "Độc lập - Tự do - Hạnh phúc", "Căn cước công dân",
-    "Chứng minh nhân dân", "Họ và tên", "Ngày sinh", "Quê quán", "Nơi thường trú", "Hồ Chí Minh", "Mã số thuế", "Số tài khoản", "Ngân hàng",
-    "Người nhận", "Người gửi", "Mã vận đơn", "Trọng lượng", "Kế toán trưởng", "Thủ quỹ", "Giám đốc", "Kiêm phiếu xuất kho",
+    "Cộng hòa xã hội chủ nghĩa Việt Nam", "Độc lập - Tự do - Hạnh phúc", "Ủy ban nhân dân", "Hội đồng nhân dân", "Căn cước công dân", "Chứng minh nhân dân",
+    "Họ và tên", "Ngày sinh", "Quê quán", "Quốc tịch", "Giới tính", "Dân tộc", "Tôn giáo", "Nơi thường trú", "Nơi tạm trú", "Nơi cấp", "Ngày cấp",
+    "Mã số thuế", "Số tài khoản", "Ngân hàng", "Số điện thoại", "Địa chỉ", "Hóa đơn", "Hợp đồng", "Báo giá", "Biên bản", "Giấy biên nhận",
+    "Phiếu giao hàng", "Phiếu xuất kho", "Phiếu nhập kho", "Kiêm phiếu xuất kho", "Mã hàng", "Tên hàng", "Số lượng", "Đơn vị tính", "Đơn giá", "Thành tiền",
+    "Cộng tiền hàng", "Tiền thuế GTGT", "Tổng cộng", "Tổng tiền thanh toán", "Số tiền viết bằng chữ", "Chiết khấu", "Ghi chú", "Diễn giải", "Địa điểm giao hàng",
+    "Người nhận", "Người gửi", "Người mua", "Người bán", "Người lập phiếu", "Tên người liên hệ", "Mã vận đơn", "Trọng lượng", "Khối lượng",
+    "Khách hàng ký nhận", "Nhân viên kỹ thuật", "Phòng kế toán", "Kế toán trưởng", "Thủ kho", "Thủ quỹ", "Giám đốc", "Hồ Chí Minh",
 )
 
 
@@ -44,10 +45,13 @@ def fold(text: str) -> str:
 def phrase_rules(phrases: tuple[str, ...] = PHRASES) -> list[tuple[str, str]]:
     """(pattern, replacement) for each phrase: its letters with any or no accent, its blanks of any width."""
     rules = []
+    of: dict[str, set[str]] = {}
+    for x in (*range(0xC0, 0x1B5), *range(0x1EA0, 0x1EFA)):
+        of.setdefault(fold(chr(x)).lower(), set()).add(chr(x))
     for phrase in phrases:
         parts = []
         for c in fold(phrase).lower():
-            variants = {c} | {chr(x) for x in (*range(0xC0, 0x1B5), *range(0x1EA0, 0x1EFA)) if fold(chr(x)).lower() == c}
+            variants = {c} | of.get(c, set())
             parts.append(r"\s+" if c == " " else f"[{''.join(sorted(variants))}]" if c.isalpha() else re.escape(c))
         rules.append((r"\b" + "".join(parts) + r"\b", phrase))
     return rules
@@ -180,11 +184,11 @@ def load_model(lex: DataFrame, bigrams: DataFrame, trigrams: DataFrame, most: in
 
 def _boosts(text: str) -> dict[str, float]:
     low = text.lower()
-    scores = {d: w * sum(" ".join(k.split()) in low for k in keys.split(",")) for d, (w, keys) in domains.DOMAINS.items()}
+    scores = {d: w * sum(k in low for k in keys) for d, (w, keys) in domains.DOMAINS.items()}
     out: dict[str, float] = {}
     for d, words in domains.DOMAIN_WORDS.items():
         if scores[d] > 0:
-            for w in words.split():
+            for w in words:
                 out[w] = max(out.get(w, 1.0), 1 + min(scores[d] * domains.BOOST_STEP, domains.BOOST_MOST))
     return out
 
@@ -238,6 +242,14 @@ def nearest_place(value: str, places: list[str], least: float = 0.8) -> str | No
     return found
 
 
+def place_names(names: DataFrame, most: int = 100_000) -> list[str]:
+    """The names of a list of places in its order, after a check of its size; nulls are left out."""
+    rows = names.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} place names")
+    return [r[0] for r in rows if r[0] is not None]
+
+
 def snap_places(df: DataFrame, col: str, places: list[str], least: float = 0.8) -> DataFrame:
     """(value, place): each distinct value with its nearest place name, or null; equal names are found in the JVM first."""
     values = df.select(F.trim(col).alias("value")).where("value <> ''").distinct()

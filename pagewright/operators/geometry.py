@@ -109,9 +109,9 @@ def four_of_five(points: Column) -> Column:
     return F.when(F.size(points) == 5, let(points, lambda ps: let(turned(ps), corners)))
 
 
-def crop_padding(h: Column, w: Column, padding: Column | None = None, adaptive: bool = True) -> Column:
-    """(pad_y, pad_x) of a crop: as given, or by its size and at least 4, or 3."""
-    y, x = (F.greatest(F.lit(4), F.floor(h * 0.16)), F.greatest(F.lit(4), F.floor(w * 0.08))) if adaptive else (F.lit(3), F.lit(3))
+def crop_padding(h: Column, padding: Column | None = None, adaptive: bool = True) -> Column:
+    """(pad_y, pad_x) of a crop: as given, or by its height (marks stand above and below, less beside) and at least 4, or 3."""
+    y, x = (F.greatest(F.lit(4), F.floor(h * 0.16)), F.greatest(F.lit(4), F.floor(h * 0.08))) if adaptive else (F.lit(3), F.lit(3))
     given = F.lit(None).cast("bigint") if padding is None else padding.cast("bigint")
     return F.struct(F.coalesce(given, y.cast("bigint")).alias("pad_y"), F.coalesce(given, x.cast("bigint")).alias("pad_x"))
 
@@ -122,6 +122,11 @@ def detection_scale(width: Column, height: Column) -> Column:
     return F.when((low < 1400) & (low > 0), F.least(F.lit(2.0), 1600.0 / low)).otherwise(1.0)
 
 
+def unscaled(points: Column, scale: Column) -> Column:
+    """Points found in an enlarged page, in the page's own pixels."""
+    return F.transform(points, lambda p: F.struct((p["x"] / scale).alias("x"), (p["y"] / scale).alias("y")))
+
+
 def enough_polygon(points: Column, w: Column, h: Column) -> Column:
     """Whether a detected polygon is worth a crop: four points, five pixels either way."""
     return (F.size(points) == 4) & (w >= 5) & (h >= 5)

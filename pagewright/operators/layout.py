@@ -1,7 +1,7 @@
 """Columns, lines and reading order of the text boxes of a page.
 
 The column search is a histogram, a gap search and a top 1, all in the JVM: a page's boxes are gathered once into an
-array (a page holds few) and the rest are expressions on it, so there is one shuffle, by page.
+array (a page holds few) and the rest are expressions on it, so finding columns takes one shuffle, by page.
 """
 
 from __future__ import annotations
@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .geometry import let
+
 # Fixed values of the layout rules.
 BINS, FIRST_BIN, END_BIN, GUTTER_BINS = 100, 15, 85, 3
 LEAST_DENSITY, DENSITY_SHARE = 0.5, 0.08
@@ -33,47 +35,80 @@ def extent(boxes: DataFrame, page: str = "page_id") -> DataFrame:
     )
 
 
+def _gathered(boxes: DataFrame, page: str) -> DataFrame:
+    """(page, b, e): the boxes of each page as an array of structs, and what they span. A page's boxes are few."""
+    all_boxes = boxes.groupBy(page).agg(F.collect_list(F.struct(*[c for c in boxes.columns if c != page])).alias("b"))
+    values = lambda f: F.transform("b", f)
+    e = F.struct(
+        F.size("b").alias("n"), F.array_max(values(lambda x: x["img_w"])).alias("img_w"), F.greatest(F.lit(0.0), F.array_min(values(lambda x: x["x"]))).alias("left"),
+        F.least(F.array_max(values(lambda x: x["img_w"])).cast("double"), F.array_max(values(lambda x: x["x"] + x["w"]))).alias("right"),
+    )
+    return all_boxes.withColumn("e", e)
+
+
+def _density(b: Column, e: Column) -> Column:
+    """How many boxes stand over each of 100 bins of the page's extent; null for pages of less than four boxes or without an extent."""
+    step = (e["right"] - e["left"]) / BINS
+    spans = F.transform(b, lambda x: F.struct(
+        F.greatest(F.lit(0), ((x["x"] - e["left"]) / step).cast("int")).alias("a"), F.least(F.lit(BINS - 1), ((x["x"] + x["w"] - e["left"]) / step).cast("int")).alias("z")
+    ))
+    counted = let(spans, lambda s: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda k: F.size(F.filter(s, lambda x: (x["a"] <= k) & (k <= x["z"])))))
+    return F.when((e["n"] >= 4) & (e["right"] > e["left"]), counted)
+
+
 def projection(boxes: DataFrame, page: str = "page_id") -> DataFrame:
     """(page, bin, density): how many boxes stand over each of 100 bins of the page's extent; bins without are left out."""
-    e = extent(boxes, page)
-    step = (F.col("right") - F.col("left")) / BINS
-    spans = boxes.join(e, page).where((F.col("n") >= 4) & (F.col("right") > F.col("left"))).select(
-        page,
-        F.greatest(F.lit(0), ((F.col("x") - F.col("left")) / step).cast("int")).alias("a"),
-        F.least(F.lit(BINS - 1), ((F.col("x") + F.col("w") - F.col("left")) / step).cast("int")).alias("b"),
-    )
-    return spans.where("a <= b").select(page, F.explode(F.sequence("a", "b")).alias("bin")).groupBy(page, "bin").agg(F.count("*").alias("density"))
+    bins = _gathered(boxes, page).select(page, F.posexplode(_density(F.col("b"), F.col("e"))).alias("bin", "density"))
+    return bins.where("density > 0").select(page, "bin", F.col("density").cast("bigint").alias("density"))
+
+
+def _widest_gap(density: Column, e: Column) -> Column:
+    """(start_bin, end_bin, gutter_x) of the widest empty strip, the first of equal ones; null where there is none."""
+    mean = F.aggregate(density, F.lit(0.0), lambda a, d: a + d) / BINS
+    fits = (e["img_w"] >= 100) & (e["right"] - e["left"] >= 0.4 * e["img_w"])
+
+    def gap(most: Column) -> Column:
+        # A strip grows bin by bin; the widest so far is kept.
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("best"), F.lit(0).alias("width"))
+
+        def grow(a: Column, k: Column) -> Column:
+            empty = F.get(density, k) <= most
+            at, n = F.when(a["n"] > 0, a["at"]).otherwise(k), F.when(empty, a["n"] + 1).otherwise(0)
+            wider = empty & (a["n"] + 1 > a["width"])
+            return F.struct(at.alias("at"), n.alias("n"), F.when(wider, at).otherwise(a["best"]).alias("best"), F.when(wider, a["n"] + 1).otherwise(a["width"]).alias("width"))
+
+        return F.aggregate(F.sequence(F.lit(FIRST_BIN), F.lit(END_BIN - 1)), start, grow)
+
+    def placed(g: Column) -> Column:
+        center = e["left"] + (2 * g["best"] + g["width"]) / 2.0 * (e["right"] - e["left"]) / BINS
+        return F.when(g["width"] >= GUTTER_BINS, F.struct(g["best"].alias("start_bin"), (g["best"] + g["width"]).alias("end_bin"), center.alias("gutter_x")))
+
+    return F.when(density.isNotNull() & fits, let(F.greatest(F.lit(LEAST_DENSITY), DENSITY_SHARE * mean), lambda most: let(gap(most), placed)))
 
 
 def gutters(boxes: DataFrame, page: str = "page_id") -> DataFrame:
     """(page, start_bin, end_bin, gutter_x): the widest empty strip of each page that has one; the first of equal ones."""
-    e = extent(boxes, page).where((F.col("n") >= 4) & (F.col("img_w") >= 100) & (F.col("right") - F.col("left") >= 0.4 * F.col("img_w")))
-    dense = projection(boxes, page)
-    mean = dense.groupBy(page).agg((F.sum("density") / BINS).alias("mean"))
-    bins = e.join(mean, page).select(page, "left", "right", F.greatest(F.lit(LEAST_DENSITY), DENSITY_SHARE * F.col("mean")).alias("most"), F.explode(F.sequence(F.lit(FIRST_BIN), F.lit(END_BIN - 1))).alias("bin"))
-    empty = bins.join(dense, [page, "bin"], "left").where(F.coalesce("density", F.lit(0)) <= F.col("most"))
-    w = Window.partitionBy(page).orderBy("bin")
-    islands = empty.withColumn("island", F.col("bin") - F.row_number().over(w)).groupBy(page, "island").agg(
-        F.min("bin").alias("start_bin"), (F.max("bin") + 1).alias("end_bin"), F.min("left").alias("left"), F.min("right").alias("right")
-    )
-    wide = islands.where(F.col("end_bin") - F.col("start_bin") >= GUTTER_BINS)
-    best = wide.groupBy(page).agg(
-        F.min_by(F.struct("start_bin", "end_bin", "left", "right"), F.struct(F.col("start_bin") - F.col("end_bin"), F.col("start_bin"))).alias("g")
-    )
-    center = F.col("g.left") + (F.col("g.start_bin") + F.col("g.end_bin")) / 2.0 * (F.col("g.right") - F.col("g.left")) / BINS
-    return best.select(page, "g.start_bin", "g.end_bin", center.alias("gutter_x"))
+    found = _with_gutters(boxes, page).select(page, F.explode(F.filter(F.array("g"), lambda g: g.isNotNull())).alias("g"))
+    return found.select(page, "g.start_bin", "g.end_bin", "g.gutter_x")
+
+
+def _with_gutters(boxes: DataFrame, page: str) -> DataFrame:
+    dense = _gathered(boxes, page).withColumn("d", _density(F.col("b"), F.col("e")))
+    return dense.withColumn("g", _widest_gap(F.col("d"), F.col("e")))
 
 
 def columns(boxes: DataFrame, page: str = "page_id", box: str = "box_id") -> DataFrame:
     """boxes with col_id: 0, or 1 right of a gutter that leaves two boxes and 50 pixels of height on either side."""
-    split = boxes.join(gutters(boxes, page).select(page, "gutter_x"), page, "left")
-    side = F.when(F.col("x") + F.col("w") / 2.0 < F.col("gutter_x"), 0).otherwise(1)
-    sides = split.where("gutter_x is not null").groupBy(page, side.alias("side")).agg(
-        F.count("*").alias("n"), (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("span")
-    )
-    two = sides.groupBy(page).agg(F.count_if((F.col("n") >= 2) & (F.col("span") >= 50)).alias("good")).where("good = 2").select(page, F.lit(True).alias("two"))
-    out = split.join(two, page, "left")
-    return out.select(*[boxes[c] for c in boxes.columns], F.when(F.col("two"), side).otherwise(0).alias("col_id"))
+    pages = _with_gutters(boxes, page)
+    side = lambda x: F.when(x["x"] + x["w"] / 2.0 < F.col("g.gutter_x"), 0).otherwise(1)
+
+    def enough(k: int) -> Column:
+        return let(F.filter("b", lambda x: side(x) == k), lambda own: (F.size(own) >= 2) & (
+            F.array_max(F.transform(own, lambda x: x["y"] + x["h"])) - F.array_min(F.transform(own, lambda x: x["y"])) >= 50))
+
+    two = F.coalesce(F.col("g").isNotNull() & enough(0) & enough(1), F.lit(False))
+    rows = pages.select(page, "g", two.alias("two"), F.explode("b").alias("x"))
+    return rows.select(*[F.col(page) if c == page else F.col(f"x.{c}").alias(c) for c in boxes.columns], F.when(F.col("two"), side(F.col("x"))).otherwise(0).alias("col_id"))
 
 
 def group_lines(rows: list[tuple[float, float, float, float, int]]) -> list[list[int]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import remove_accents
+from ..functions.text import nfc, remove_accents
 
 # What recognisers confuse; each pair is applied on its own.
 HOMOGLYPHS = (("cl", "d"), ("rn", "m"), ("vv", "w"), ("ri", "n"), ("0", "o"), ("1", "l"), ("1", "i"), ("1", "t"), ("5", "s"), ("8", "b"))
@@ -25,8 +25,8 @@ def lexicon(df: DataFrame, text: str = "text", least: int = 1) -> DataFrame:
 
 
 def lexicon_from_lines(lines: DataFrame, col: str = "value") -> DataFrame:
-    """(word): trimmed, lower-case, distinct, without blanks, of a file with one word a line."""
-    word = F.lower(F.trim(col))
+    """(word): composed, trimmed, lower-case, distinct, without blanks, of a file with one word a line."""
+    word = F.lower(F.trim(nfc(col)))
     return lines.select(word.alias("word")).where("word <> ''").distinct()
 
 
@@ -59,6 +59,11 @@ def candidate_stems(token: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.array(*forms), lambda x: x.isNotNull())))
 
 
+def bypass(token: Column) -> Column:
+    """Whether a token is left as it is: under two characters, a placeholder, a number, or part of an address, date or amount."""
+    return (F.length(token) < 2) | token.startswith("__SHIELD_ENT_") | token.rlike(r"^\d+$") | token.rlike("[@/:#$%]")
+
+
 def candidates(words: DataFrame, lex: DataFrame) -> DataFrame:
     """(token, candidate): the words of the lexicon that distinct tokens may stand for, by their stems with and without accents."""
     stems = words.select("token", F.explode(candidate_stems(F.col("token"))).alias("stem"))

@@ -9,15 +9,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import word_count
+from ..plans.persist import cut
 from .arbitrate import arbitrate
-from .geometry import crop_padding
-from .raster import crop as cut_crop
+from .layout import bounding_box, page_text
+from .lexicon import confidence as words_known
+from .raster import crop_polygon
 
 #: What a caller brings: a loader, called once a worker, that gives the function itself.
 Detector = Callable[[np.ndarray], list[list[tuple[float, float]]]]
 Recognizer = Callable[[np.ndarray], tuple[str, float]]
 MODES = ("dual", "vietocr", "paddleocr")
-MAX_ROWS = 64
 
 
 def _image(w, h, c, d) -> np.ndarray:
@@ -44,17 +46,17 @@ def detect(images: DataFrame, key: str, load: Callable[[], Detector]) -> DataFra
 
 
 def crops(images: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
-    """(key, box_id, width, height, channels, data): the padded crop of each box (x, y, w, h) of at least five pixels."""
-    pad = crop_padding(F.col("h"), F.col("w"))
-    joined = boxes.where("w >= 5 and h >= 5").select(key, "box_id", "x", "y", "w", "h", pad.alias("pad")).join(images.select(key, "width", "height", "channels", "data"), key)
+    """(key, box_id, width, height, channels, data): the padded, upright crop of each polygon of four corners and five pixels or more."""
+    joined = boxes.where("size(polygon) = 4").select(key, "box_id", "polygon").join(images.select(key, "width", "height", "channels", "data"), key)
     kind = images.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for r in b.to_dict("records"):
-                c = cut_crop(_image(r["width"], r["height"], r["channels"], r["data"]), r["x"], r["y"], r["w"], r["h"], int(r["pad"]["pad_x"]), int(r["pad"]["pad_y"]))
-                rows.append((r[key], r["box_id"], c.shape[1], c.shape[0], 1 if c.ndim == 2 else c.shape[2], np.ascontiguousarray(c).tobytes()))
+            for k, i, polygon, w, h, c, d in zip(*(b[x] for x in (key, "box_id", "polygon", "width", "height", "channels", "data")), strict=True):
+                cut_out = crop_polygon(_image(w, h, c, d), np.array([(p["x"], p["y"]) for p in polygon]))
+                if cut_out is not None:
+                    rows.append((k, i, cut_out.shape[1], cut_out.shape[0], 1 if cut_out.ndim == 2 else cut_out.shape[2], np.ascontiguousarray(cut_out).tobytes()))
             yield pd.DataFrame(rows, columns=[key, "box_id", "width", "height", "channels", "data"])
 
     return joined.mapInPandas(run, f"{key} {kind}, box_id int, width int, height int, channels int, data binary")
@@ -90,6 +92,37 @@ def read_crops(images: DataFrame, keys: list[str], viet: Callable[[], Recognizer
     return both.select(*keys, arbitrate(F.col("p_text"), F.col("p_conf"), F.col("v_text"), F.col("v_conf")).alias("a")).select(*keys, "a.*")
 
 
+def read_pages(
+    images: DataFrame, key: str, detector: Callable[[], Detector], viet: Callable[[], Recognizer] | None, paddle: Callable[[], Recognizer] | None, mode: str = "dual",
+    correct: Callable[[DataFrame], DataFrame] | None = None, lexicon: DataFrame | None = None,
+) -> DataFrame:
+    """(key, full_text, n_boxes, char_count, word_count, confidence, error) of each image: detect, crop, read, correct, order, join.
+
+    correct takes and gives (key, box_id, text). Boxes that read blank are left out. With a lexicon, confidence is the least of what the
+    recognisers say on average and what the share of known words says. Images without text have an empty one; those that fail, an error.
+    """
+    found = cut(detect(images.where("data is not null"), key, detector))
+    boxes = found.where("polygon is not null").select(key, "box_id", "polygon")
+    read = cut(read_crops(crops(images, boxes, key), [key, "box_id"], viet, paddle, mode))
+    if correct is not None:
+        read = correct(read.select(key, "box_id", "text")).join(read.select(key, "box_id", "conf"), [key, "box_id"])
+    size = images.select(key, F.col("width").alias("img_w"))
+    placed = boxes.join(read.where("trim(text) <> ''"), [key, "box_id"]).join(size, key).select(key, "box_id", "text", "conf", "img_w", bounding_box(F.col("polygon")).alias("r")).select(key, "box_id", "text", "conf", "img_w", "r.*")
+    texts = page_text(placed, key, "box_id").select(key, F.col("text").alias("full_text"))
+    totals = placed.groupBy(key).agg(F.count("*").alias("n_boxes"), F.avg("conf").alias("c"))
+    errors = found.where("error is not null").groupBy(key).agg(F.min("error").alias("e"))
+    out = images.select(key, F.col("data").isNull().alias("gone")).join(texts, key, "left").join(totals, key, "left").join(errors, key, "left")
+    text = F.coalesce("full_text", F.lit(""))
+    rows = out.select(
+        key, text.alias("full_text"), F.coalesce("n_boxes", F.lit(0)).alias("n_boxes"), F.length(text).alias("char_count"), word_count(text).alias("word_count"),
+        F.coalesce("c", F.lit(0.0)).alias("confidence"), F.when(F.col("gone"), "no image").otherwise(F.col("e")).alias("error"),
+    )
+    if lexicon is None:
+        return rows
+    known = words_known(rows, [key], lexicon, "full_text").select(key, F.col("confidence").alias("k"))
+    return rows.join(known, key).withColumn("confidence", F.least("confidence", "k")).drop("k")
+
+
 def compare(base: DataFrame, tuned: DataFrame, corrected: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., base_text, tuned_text, corrected_text, tuned_changed, corrected_changed) of three tables (keys..., text)."""
     named = [t.select(*keys, F.col("text").alias(f"{n}_text")) for t, n in ((base, "base"), (tuned, "tuned"), (corrected, "corrected"))]

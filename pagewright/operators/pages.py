@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import natural_key, stem_of_file
+from ..plans.persist import cut
+
+
+def numbered(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
+    """df with a running number from 1 in the given order, without one task that sees all rows.
+
+    Rows are parted by ranges of the order and written; a row's number is its place in its part after the rows of the parts before. The
+    order must tell rows apart; nulls come first.
+    """
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = cut(parts.withColumn("__part", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = sorted((r["__part"], r["count"]) for r in kept.groupBy("__part").count().collect())
+    before, total = {}, 0
+    for part, n in counts:
+        before[part] = total
+        total += n
+    ahead = F.create_map(*[F.lit(x) for item in before.items() for x in item])[F.col("__part")] if before else F.lit(0)
+    return kept.withColumn(name, (ahead + F.col("__place") + 1).cast("bigint")).drop("__part", "__place")
 
 
 def ordinals(files: DataFrame, path: str = "path") -> DataFrame:
-    """files with folder, name and ordinal: by folder, then by name as people sort."""
+    """files with folder, name and ordinal: by folder, then by name as people sort. Paths must be distinct; a large folder is no single task."""
     parted = files.withColumn("folder", F.regexp_extract(path, r"^(.*)[/\\][^/\\]*$", 1)).withColumn("name", F.regexp_extract(path, r"[^/\\]*$", 0))
-    w = Window.partitionBy("folder").orderBy(natural_key("name"), "name")
-    return parted.withColumn("ordinal", F.row_number().over(w))
+    keyed = numbered(parted.withColumn("__natural", natural_key("name")), ["folder", "__natural", "name"], "__number").drop("__natural")
+    first = keyed.groupBy("folder").agg(F.min("__number").alias("__first"))
+    return keyed.join(first, "folder").withColumn("ordinal", (F.col("__number") - F.col("__first") + 1).cast("int")).drop("__number", "__first")
 
 
 def page_labels(pages: DataFrame, path: str = "file_path", index: str = "page_index") -> DataFrame:
@@ -28,9 +47,10 @@ def page_labels(pages: DataFrame, path: str = "file_path", index: str = "page_in
 
 
 def latest(results: DataFrame, keys: list[str], request: str) -> DataFrame:
-    """The row with the highest request of each key (of equal ones any); an aggregate, so a hot key is reduced map-side."""
+    """The row with the highest request of each key, of equal ones always the same; an aggregate, so a hot key is reduced map-side."""
     rest = [c for c in results.columns if c not in keys]
-    return results.groupBy(*keys).agg(F.max_by(F.struct(*rest), request).alias("r")).select(*keys, "r.*")
+    row = F.struct(*rest)
+    return results.groupBy(*keys).agg(F.max_by(row, F.struct(F.col(request), F.to_json(row))).alias("r")).select(*keys, "r.*")
 
 
 def rotated(rotation: Column, by: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Lines needed, spread kept around the quartiles, angle under which a page is straight.
-LEAST_LINES, SPREAD, DEADBAND = 6, 1.5, 0.55
+LEAST_LINES, LEAST_STRIPS, SPREAD, DEADBAND = 6, 4, 1.5, 0.55
 
 
 def folded_angle(angle):
@@ -26,6 +26,12 @@ def weighted_median_angle(lines: DataFrame, key: str, angle: str, weight: str) -
     return median.select(key, F.round(F.when(F.abs("m") < DEADBAND, 0.0).otherwise(F.col("m")), 6).alias("skew"))
 
 
+def median_angle(strips: DataFrame, key: str, angle: str, least: int = LEAST_STRIPS) -> DataFrame:
+    """(key, skew): plain median of the angles, 0 below the deadband; keys with `least` strips or more."""
+    median = strips.where(F.col(angle).isNotNull()).groupBy(key).agg(F.percentile(angle, 0.5).alias("m"), F.count("*").alias("n")).where(F.col("n") >= least)
+    return median.select(key, F.round(F.when(F.abs("m") < DEADBAND, 0.0).otherwise(F.col("m")), 6).alias("skew"))
+
+
 def best_so_far(metrics: DataFrame, run: str, step: str, accuracy: str, loss: str) -> DataFrame:
     """metrics with best_accuracy and least_loss up to each step, and is_best where a step equals or betters the one or lowers the other."""
     before = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)

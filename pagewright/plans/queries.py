@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +11,10 @@ from ..operators import arbitrate as A
 from ..operators import dataset as D
 from ..operators import decode, domains, entities, layout, lexicon, models, pages, raster, stats
 from ..operators import geometry as G
+from ..sources import files as R
+from ..sources import sinks as W
 from ..streaming import results as S
+from .persist import shared_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -155,7 +156,7 @@ def domain_top1(spark, folder):
     return domains.top_domain(read(spark, folder, "ocr_result"), ["result_id"], "full_text")
 
 
-_WORDS = ", ".join(f"('{w}', '{d}')" for d, ws in domains.DOMAIN_WORDS.items() for w in ws.split())
+_WORDS = ", ".join(f"('{w}', '{d}')" for d, ws in domains.DOMAIN_WORDS.items() for w in ws)
 
 
 @query(
@@ -272,7 +273,7 @@ def text_correct(spark, folder):
 
 @query()
 def province_snap(spark, folder):
-    names = [r[0] for r in read(spark, folder, "ref_value").where("field_name = 'tinh_thanh'").orderBy("ref_id").select("canonical").limit(10_000).collect()]
+    names = decode.place_names(read(spark, folder, "ref_value").where("field_name = 'tinh_thanh'").orderBy("ref_id").select("canonical"))
     values = read(spark, folder, "ocr_result").select(F.col("extracted_fields")["tinh_thanh"].alias("v"))
     return decode.snap_places(values, "v", names)
 
@@ -367,7 +368,7 @@ def polygon_bounds(spark, folder):
 
 
 @query(
-    """SELECT box_key, CAST(greatest(4, floor(h * 0.16)) AS BIGINT) AS pad_y, CAST(greatest(4, floor(w * 0.08)) AS BIGINT) AS pad_x,
+    """SELECT box_key, CAST(greatest(4, floor(h * 0.16)) AS BIGINT) AS pad_y, CAST(greatest(4, floor(h * 0.08)) AS BIGINT) AS pad_x,
         CASE WHEN least(img_w, img_h) < 1400 THEN round(least(2.0, 1600.0::DOUBLE / least(img_w, img_h)), 6) ELSE 1.0 END::DOUBLE AS scale,
         coalesce(len(polygon) = 4 AND w >= 5 AND h >= 5, false) AS usable
     FROM ocr_box"""
@@ -375,7 +376,7 @@ def polygon_bounds(spark, folder):
 def crop_padding(spark, folder):
     b = read(spark, folder, "ocr_box")
     return b.select(
-        "box_key", G.crop_padding(F.col("h"), F.col("w")).alias("p"), F.round(G.detection_scale(F.col("img_w"), F.col("img_h")), 6).alias("scale"),
+        "box_key", G.crop_padding(F.col("h")).alias("p"), F.round(G.detection_scale(F.col("img_w"), F.col("img_h")), 6).alias("scale"),
         F.coalesce(G.enough_polygon(F.col("polygon"), F.col("w"), F.col("h")), F.lit(False)).alias("usable"),
     ).select("box_key", "p.*", "scale", "usable")
 
@@ -424,13 +425,38 @@ def line_intersection(spark, folder):
     return li.select("l_orderkey", "l_linenumber", G.intersection(m, n).alias("i")).select("l_orderkey", "l_linenumber", F.round("i.x", 4).alias("ix"), F.round("i.y", 4).alias("iy"))
 
 
-@query()
+_CORNER = """(list_transform(range(1, 5), lambda i: {{'k': {0}, 'i': i, 'x': polygon[i].x, 'y': polygon[i].y}}))"""
+_BEST = lambda key: f"list_sort({_CORNER.format(key)})[1]"
+_DIST = "sqrt(power({0}.x - {1}.x, 2) + power({0}.y - {1}.y, 2))"
+_ANGLE = "degrees(atan2({1}.y - {0}.y, {1}.x - {0}.x))"
+_TURN = lambda a, b: f"least(abs({a} - {b}) % 180.0, 180.0 - abs({a} - {b}) % 180.0)"
+_SHOELACE = lambda p: "abs(" + " + ".join(f"({p[k]}.x * {p[(k + 1) % 4]}.y - {p[(k + 1) % 4]}.x * {p[k]}.y)" for k in range(4)) + ") / 2"
+_Q = ("tl", "tr", "br", "bl")
+
+
+@query(
+    f"""WITH c AS (SELECT box_key, img_w, img_h, {_SHOELACE([f"polygon[{k}]" for k in range(1, 5)])} AS a0,
+        {_BEST("polygon[i].x + polygon[i].y")} AS tl, {_BEST("polygon[i].y - polygon[i].x")} AS tr, {_BEST("-(polygon[i].x + polygon[i].y)")} AS br, {_BEST("polygon[i].x - polygon[i].y")} AS bl
+        FROM ocr_box WHERE len(polygon) = 4),
+    o AS (SELECT *, {_SHOELACE(_Q)} AS area4, {" AND ".join(f"{_DIST.format(_Q[a], _Q[b])} >= 15" for a in range(4) for b in range(a + 1, 4))} AND {_SHOELACE(_Q)} >= 100 AS ordered,
+        ({_DIST.format("tl", "tr")} + {_DIST.format("bl", "br")}) / 2 AS across, ({_DIST.format("tl", "bl")} + {_DIST.format("tr", "br")}) / 2 AS down FROM c)
+    SELECT box_key, round(a0, 3) AS area, ordered, ordered AND down > 0 AND across >= 0.35 * img_w AND down >= 0.35 * img_h AND across / nullif(down, 0) BETWEEN 0.35 AND 2.8
+        AND {_TURN(_ANGLE.format("tl", "tr"), _ANGLE.format("bl", "br"))} <= 14 AND {_TURN(_ANGLE.format("tl", "bl"), _ANGLE.format("tr", "br"))} <= 14 AND area4 >= 0.2 * img_w * img_h AS document FROM o"""
+)
 def quad_valid(spark, folder):
     """Corners of the boxes' polygons in order, whether they can be a document, and their area."""
     b = read(spark, folder, "ocr_box").where("size(polygon) = 4").select("box_key", "img_w", "img_h", G.order_points(F.col("polygon")).alias("q"), F.round(G.area(F.col("polygon")), 3).alias("area"))
     return b.select("box_key", "area", F.col("q").isNotNull().alias("ordered"), F.coalesce(G.is_document(F.col("q"), F.col("img_w"), F.col("img_h")), F.lit(False)).alias("document"))
 
 
+@query(
+    """SELECT k AS event_type, round(CASE WHEN abs(m) < 0.55 THEN 0.0 ELSE m END, 6) AS skew
+    FROM (SELECT event_type AS k, quantile_cont((value - 50) / 5, 0.5) AS m FROM events WHERE value IS NOT NULL GROUP BY event_type HAVING count(*) >= 4)"""
+)
+def skew_median(spark, folder):
+    return stats.median_angle(read(spark, folder, "events").select("event_type", ((F.col("value") - 50) / 5).alias("a")), "event_type", "a")
+
+
 @query(
     """WITH r AS (SELECT event_type AS k, (value - 50) / 5 AS a, 1 + event_id % 7 AS w FROM events WHERE value IS NOT NULL),
     q AS (SELECT k, quantile_cont(a, 0.25) AS q1, quantile_cont(a, 0.75) AS q3 FROM r GROUP BY k HAVING count(*) >= 6),
@@ -518,14 +544,15 @@ def oversample(spark, folder):
 
 
 @query(
-    r"""SELECT source, count(*) AS n, count(*) FILTER (WHERE length(trim(label)) >= 2 AND regexp_matches(trim(label), '[\p{L}\p{N}]')) AS good_text,
-        count(*) FILTER (WHERE contains(lower(regexp_extract(img_path, '[^/\\]*$')), ' - copy')) AS copies, count(*) FILTER (WHERE length(label) <= 120) AS short_enough FROM train_annotation GROUP BY source"""
+    r"""SELECT source, count(*) AS n, count(*) FILTER (WHERE length(trim(nfc_normalize(label))) >= 2 AND regexp_matches(trim(nfc_normalize(label)), '[\p{L}\p{N}]')) AS good_text,
+        count(*) FILTER (WHERE contains(lower(regexp_extract(img_path, '[^/\\]*$')), ' - copy')) AS copies,
+        count(*) FILTER (WHERE 3 + sample_id % 14 >= 8 AND 4 + sample_id % 11 >= 8 AND length(label) <= 120) AS usable FROM train_annotation GROUP BY source"""
 )
 def quality_gate(spark, folder):
     t = read(spark, folder, "train_annotation")
     return t.groupBy("source").agg(
         F.count("*").alias("n"), F.count_if(D.text_gate(F.col("label"))).alias("good_text"), F.count_if(D.is_copy(F.col("img_path"))).alias("copies"),
-        F.count_if(D.sample_gate(F.lit(32), F.lit(32), F.col("label"))).alias("short_enough"),
+        F.count_if(D.sample_gate(3 + F.col("sample_id") % 14, 4 + F.col("sample_id") % 11, F.col("label"))).alias("usable"),
     )
 
 
@@ -540,18 +567,34 @@ def char_dictionary(spark, folder):
 
 
 @query(
-    """SELECT box_key, 'crop_' || lpad(CAST(row_number() OVER (PARTITION BY page_id ORDER BY y, x, box_key) AS VARCHAR), 6, '0') || '.jpg' AS crop_name FROM ocr_box"""
+    """SELECT box_key, 'crop_' || CASE WHEN n > 999999 THEN CAST(n AS VARCHAR) ELSE lpad(CAST(n AS VARCHAR), 6, '0') END || '.jpg' AS crop_name
+    FROM (SELECT box_key, row_number() OVER (ORDER BY file_path NULLS FIRST, page_id NULLS FIRST, y NULLS FIRST, x NULLS FIRST, box_key) AS n FROM ocr_box)"""
 )
 def crop_names(spark, folder):
-    return D.crop_names(read(spark, folder, "ocr_box"), ["y", "x", "box_key"], "page_id").select("box_key", "crop_name")
+    boxes = read(spark, folder, "ocr_box").select("box_key", "file_path", "page_id", "y", "x")
+    return D.crop_names(boxes, ["file_path", "page_id", "y", "x", "box_key"]).select("box_key", "crop_name")
 
 
-@query()
+def _phrase_sql(text: str, phrases: tuple[str, ...], fold_case: bool = True) -> str:
+    """The phrases put in by RE2, which knows no lookaround: what stands around a phrase is kept, and a second pass finds neighbours."""
+    out = f"trim(nfc_normalize({text}))"
+    word = "[^\\p{L}\\p{M}\\p{N}_]"
+    for pattern, phrase in decode.phrase_rules(phrases):
+        body = pattern.removeprefix(D.BOUND).removesuffix(D.BOUND)
+        for _ in range(2):
+            out = f"regexp_replace({out}, '(?i)(^|{word}){body}($|{word})', '\\1{phrase}\\2', 'g')"
+    return f"trim({out})"
+
+
+_CLEAN = _phrase_sql("label", D.LABEL_PHRASES)
+
+
+@query(f"SELECT sample_id, {_CLEAN} AS label FROM train_annotation")
 def label_clean(spark, folder):
     return read(spark, folder, "train_annotation").select("sample_id", D.clean_label(F.col("label")).alias("label"))
 
 
-@query()
+@query(f"SELECT count(*) AS n_rows, count(*) FILTER (WHERE {_CLEAN} IS DISTINCT FROM label) AS n_changed FROM train_annotation")
 def label_clean_count(spark, folder):
     return D.changed_labels(read(spark, folder, "train_annotation"), "label")
 
@@ -600,15 +643,362 @@ def raster_enhance(spark, folder):
     return _hexed(raster.apply(_images(spark, folder), ["vec_id"], lambda x: raster.enhance(x, raster.PRESETS["crisp_bw"])))
 
 
-@query(f"SELECT vec_id, round(list_avg(p), 6) AS mean, CAST(list_sum(list_transform(p, lambda v: v * v)) * 64 - list_sum(p) * list_sum(p) AS BIGINT) AS variance_4096 FROM (SELECT vec_id, {_PX} AS p FROM embeddings)")
+@query(f"SELECT vec_id, 64 AS n, round(list_avg(p), 6) AS mean, round(list_avg(list_transform(p, lambda v: v * v)) - list_avg(p) * list_avg(p), 6) AS variance FROM (SELECT vec_id, {_PX} AS p FROM embeddings)")
 def raster_stats(spark, folder):
-    """Mean and variance (in 4096ths, so exact) of the pixels."""
     px = F.transform("embedding", lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.round((v.cast("double") + 1) * 127.5).cast("int"))))
-    p = read(spark, folder, "embeddings").select("vec_id", F.explode(px).alias("p"))
-    return p.groupBy("vec_id").agg(F.round(F.avg("p"), 6).alias("mean"), (F.sum(F.col("p") * F.col("p")) * 64 - F.sum("p") * F.sum("p")).alias("variance_4096"))
+    stats_ = raster.pixel_stats(read(spark, folder, "embeddings").select("vec_id", px.alias("px")), ["vec_id"], "px")
+    return stats_.select("vec_id", "n", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"))
 
 
-@query()
+def _kernel(spark, folder, kernel) -> DataFrame:
+    return _hexed(raster.apply(_images(spark, folder), ["vec_id"], kernel))
+
+
+def _pixel_sql(width: int, height: int, value: str, source: str = "(SELECT vec_id, {0} AS p FROM embeddings)") -> str:
+    """An image of a size whose pixel (x, y) is an expression of the pixels p (64 of them, from 1) of the 8 x 8 image."""
+    at = f"list_transform(range(0, {width * height}), lambda i: lower(lpad(to_hex(CAST({value.replace('{x}', f'(i % {width})').replace('{y}', f'(i // {width})')} AS INTEGER)), 2, '0')))"
+    return f"SELECT vec_id, {width} AS width, {height} AS height, array_to_string({at}, '') AS pixels FROM {source.format(_PX)}"
+
+
+@query(_pixel_sql(8, 8, "p[(7 - {x}) * 8 + {y} + 1]"))
+def raster_rotate90(spark, folder):
+    return _kernel(spark, folder, lambda x: raster.rotate(x, 90))
+
+
+@query(_pixel_sql(8, 8, "p[{x} * 8 + 7 - {y} + 1]"))
+def raster_rotate270(spark, folder):
+    return _kernel(spark, folder, lambda x: raster.rotate(x, -90))
+
+
+_BLOCK = "round_even((p[16 * {y} + 2 * {x} + 1] + p[16 * {y} + 2 * {x} + 2] + p[16 * {y} + 2 * {x} + 9] + p[16 * {y} + 2 * {x} + 10]) / 4.0, 0)"
+
+
+@query(_pixel_sql(4, 4, _BLOCK))
+def raster_shrink(spark, folder):
+    """The longest side brought to 4 by the means of areas."""
+    return _kernel(spark, folder, lambda x: raster.shrink(x, 4))
+
+
+@query(_pixel_sql(4, 4, _BLOCK))
+def raster_thumbnail(spark, folder):
+    return _kernel(spark, folder, lambda x: raster.thumbnail(x, 4, 6))
+
+
+@query(_pixel_sql(5, 6, "p[{y} * 8 + {x} + 1 + 1]"))
+def raster_crop(spark, folder):
+    """The box (2, 1, 3, 4) with a padding of one pixel."""
+    return _kernel(spark, folder, lambda x: raster.crop(x, 2, 1, 3, 4, 1, 1))
+
+
+# Sums over a window of an image whose edges are repeated, for the kernels that need them.
+_IN = lambda v: f"greatest(0, least(7, {v}))"
+
+
+def _window_sql(radius: int, weight: str = "1.0") -> str:
+    """(vec_id, p, m): m[i] the weighted mean over the window of (2 radius + 1) squared pixels around pixel i; weight is an expression of d."""
+    norm = f"list_sum(list_transform(range({-radius}, {radius + 1}), lambda d: {weight}))"
+    row = f"list_transform(range(0, 64), lambda i: list_sum(list_transform(range({-radius}, {radius + 1}), lambda d: p[(i // 8) * 8 + {_IN('i % 8 + d')} + 1] * {weight})) / {norm})"
+    col = f"list_transform(range(0, 64), lambda i: list_sum(list_transform(range({-radius}, {radius + 1}), lambda d: r[{_IN('i // 8 + d')} * 8 + i % 8 + 1] * {weight})) / {norm})"
+    return f"(SELECT vec_id, p, {col} AS m FROM (SELECT vec_id, p, {row} AS r FROM (SELECT vec_id, {_PX} AS p FROM embeddings)))"
+
+
+_BYTE = "round_even(greatest(0, least(255, {0})), 0)"
+_FLAT = "least(255, p[i + 1] / greatest(m[i + 1], 1) * 255)"
+
+
+@query(_pixel_sql(8, 8, _BYTE.format("1.45 * p[i + 1] - 0.45 * m[i + 1]"), _window_sql(4, "exp(-(d * d) / 2.88)")))
+def raster_sharpen(spark, folder):
+    return _kernel(spark, folder, lambda x: raster.sharpen(x, 0.6))
+
+
+@query(_pixel_sql(8, 8, _BYTE.format("1.25 * p[i + 1] - 0.25 * m[i + 1]"), _window_sql(3, "exp(-(d * d) / 2.0)")))
+def raster_enhance_crop(spark, folder):
+    return _kernel(spark, folder, raster.enhance_crop)
+
+
+@query(_pixel_sql(8, 8, _BYTE.format(f"255 * power(greatest(0, least(255, ({_FLAT} - 60) * 255 / 165)) / 255, 1.3)"), _window_sql(7)))
+def raster_clean_bw(spark, folder):
+    return _kernel(spark, folder, raster.clean_bw)
+
+
+_NEW = f"(p[i + 1] * 0.5 + {_FLAT} * 0.5)"
+
+
+@query(_pixel_sql(8, 8, _BYTE.format(f"CASE WHEN {_NEW} >= 232.5 THEN 255 ELSE 232.5 * power({_NEW} / 232.5, 1.15) END"), _window_sql(7)))
+def raster_whiten(spark, folder):
+    return _kernel(spark, folder, lambda x: raster.whiten(x, 0.5))
+
+
+@query(_pixel_sql(8, 8, "CASE WHEN p[i + 1] > round_even(m[i + 1], 0) - 11 THEN 255 ELSE 0 END", _window_sql(10, "exp(-(d * d) / (2 * 3.5 * 3.5))")))
+def raster_threshold(spark, folder):
+    return _kernel(spark, folder, raster.adaptive_threshold)
+
+
+@query(f"SELECT vec_id, least(p[1], p[8], p[57], p[64]) >= 120 AS full_page FROM (SELECT vec_id, {_PX} AS p FROM embeddings)")
+def raster_full_page(spark, folder):
+    flags = raster.apply(_images(spark, folder), ["vec_id"], lambda x: np.full((1, 1), 255 * raster.is_full_page(x), np.uint8))
+    return flags.select("vec_id", (F.hex("data") == "FF").alias("full_page"))
+
+
+@query(
+    f"""SELECT vec_id, CAST(floor(median(v)) AS INTEGER) AS border FROM (SELECT vec_id, unnest(list_transform(range(0, 100), lambda k: p[((k // 5) % 5 + (k // 25) // 2 * 3) * 8 + k % 5 + (k // 25) % 2 * 3 + 1])) AS v
+        FROM (SELECT vec_id, {_PX} AS p FROM embeddings)) GROUP BY vec_id"""
+)
+def raster_border(spark, folder):
+    """Median of the four corners of five pixels."""
+    out = raster.apply(_images(spark, folder), ["vec_id"], lambda x: np.full((1, 1), np.floor(raster.border_color(x)), np.uint8))
+    return out.select("vec_id", F.conv(F.hex("data"), 16, 10).cast("int").alias("border"))
+
+
+@query(
+    """SELECT vec_id, t AS full_text, 2::BIGINT AS n_boxes, CAST(length(t) AS INTEGER) AS char_count, 2 AS word_count, 0.75::DOUBLE AS confidence, CAST(NULL AS VARCHAR) AS error
+    FROM (SELECT vec_id, 'A' || (vec_id % 7 + 13) || 'x13  B13x' || (vec_id % 5 + 16) AS t FROM embeddings)"""
+)
+def read_pages(spark, folder):
+    """The whole way from image to text: a stand-in finds two boxes side by side, as large as the first two pixels say; another reads the sizes of
+    their padded crops."""
+    tag = F.concat(F.lpad(F.hex(F.col("vec_id") % 7 + 5), 2, "0"), F.lpad(F.hex(F.col("vec_id") % 5), 2, "0"))
+    images = read(spark, folder, "embeddings").select("vec_id", F.lit(200).alias("width"), F.lit(100).alias("height"), F.lit(1).alias("channels"), F.unhex(F.concat(tag, F.repeat(F.lit("00"), F.lit(200 * 100 - 2)))).alias("data"))
+
+    def detector():
+        def find(img):
+            w, h = int(img[0, 0]), int(img[0, 1])
+            return [[(100, 40), (105, 40), (105, 48 + h), (100, 48 + h)], [(10, 40), (10 + w, 40), (10 + w, 45), (10, 45)]]
+
+        return find
+
+    def reader():
+        return lambda img: (f"{'A' if img.shape[0] == 13 else 'B'}{img.shape[1]}x{img.shape[0]}", 0.75)
+
+    return models.read_pages(images, "vec_id", detector, reader, None, "vietocr")
+
+
+@query(
+    """SELECT line_id, text AS base_text, lower(text) AS tuned_text, trim(lower(text)) AS corrected_text, text IS DISTINCT FROM lower(text) AS tuned_changed, lower(text) IS DISTINCT FROM trim(lower(text)) AS corrected_changed FROM train"""
+)
+def compare_models(spark, folder):
+    t = read(spark, folder, "train")
+    low = t.select("line_id", F.lower("text").alias("text"))
+    return models.compare(t.select("line_id", "text"), low, low.select("line_id", F.trim("text").alias("text")), ["line_id"])
+
+
+@query(
+    r"""SELECT token, length(token) < 2 OR starts_with(token, '__SHIELD_ENT_') OR regexp_full_match(token, '\d+') OR regexp_matches(token, '[@/:#$%]') AS bypassed,
+        (length(b) > 0 AND length(regexp_replace(b, '[^0-9]', '', 'g')) >= 0.35 * length(b)) OR regexp_matches(token, '(?i)^(mst|stk|tel|fax|sđt|đt)') AS mostly_digits
+    FROM (SELECT token, regexp_replace(token, '[\s.,\-/:()]', '', 'g') AS b FROM (SELECT DISTINCT unnest(regexp_split_to_array(text, '\s+')) AS token FROM train) WHERE token <> '')"""
+)
+def token_kinds(spark, folder):
+    toks = read(spark, folder, "train").select(F.explode(F.split("text", r"\s+")).alias("token")).where("token <> ''").distinct()
+    return toks.select("token", lexicon.bypass(F.col("token")).alias("bypassed"), A.mostly_digits(F.col("token")).alias("mostly_digits"))
+
+
+@query(
+    """SELECT DISTINCT o AS original, CASE WHEN o = upper(o) AND o <> lower(o) AND length(o) > 1 THEN upper(w) WHEN substr(o, 1, 1) <> lower(substr(o, 1, 1)) THEN upper(substr(w, 1, 1)) || substr(w, 2) ELSE w END AS word
+    FROM (SELECT unnest(regexp_split_to_array(text, ' ')) AS o FROM train), (SELECT 'đường' AS w)"""
+)
+def recased(spark, folder):
+    toks = read(spark, folder, "train").select(F.explode(F.split("text", " ")).alias("original")).distinct()
+    return toks.select("original", T.like_case(F.col("original"), F.lit("đường")).alias("word"))
+
+
+# --- sources and sinks: written to a shared folder and read again
+
+@query("SELECT rel_img, nfc_normalize(rtrim(regexp_replace(text, '[\t\r\n]+', ' ', 'g'))) AS text FROM train WHERE rel_img IS NOT NULL AND text IS NOT NULL")
+def label_files(spark, folder):
+    to = shared_folder(spark, "labels-")
+    W.write_labels(read(spark, folder, "train"), to)
+    return R.read_labels(spark, to)
+
+
+@query("SELECT split, count(*) AS n FROM (SELECT CASE WHEN line_id % 9 = 0 THEN 'val' ELSE 'train' END AS split FROM train WHERE rel_img IS NOT NULL AND text IS NOT NULL) GROUP BY split")
+def label_files_by_split(spark, folder):
+    to = shared_folder(spark, "labels-")
+    W.write_labels(read(spark, folder, "train").withColumn("split", F.when(F.col("line_id") % 9 == 0, "val").otherwise("train")), to, "split")
+    return R.read_labels(spark, f"{to}/split=val").select(F.lit("val").alias("split")).unionAll(R.read_labels(spark, f"{to}/split=train").select(F.lit("train").alias("split"))).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_name AS rel_img, 'số ' || n_nationkey AS text FROM nation")
+def label_map(spark, folder):
+    to = shared_folder(spark, "map-")
+    read(spark, folder, "nation").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("n_name", F.concat(F.lit("số "), "n_nationkey"))))).alias("value")).write.text(to)
+    return R.read_label_map(spark, to)
+
+
+@query("SELECT lower(r_name) AS w1, 'x' AS w2, CASE WHEN r_regionkey = 1 THEN 99 ELSE r_regionkey END::BIGINT AS cnt FROM region UNION ALL SELECT 'new', 'x', 7::BIGINT")
+def ngram_overlay(spark, folder):
+    """Counts of a file, and those of another where both have the n-gram; n-grams of another length don't count."""
+    region, tables = read(spark, folder, "region"), []
+    key = F.concat(F.lower("r_name"), F.lit("_x"))
+    base = region.select(key.alias("k"), F.col("r_regionkey").cast("bigint").alias("n")).unionAll(region.select(F.concat(key, F.lit("_y")), F.lit(5).cast("bigint")))
+    over = region.where("r_regionkey = 1").select(key.alias("k"), F.lit(99).cast("bigint").alias("n")).unionAll(spark.createDataFrame([("new_x", 7)], "k string, n bigint"))
+    for t in (base, over):
+        to = shared_folder(spark, "ngrams-")
+        t.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "n")))).alias("value")).write.text(to)
+        tables.append(R.read_ngrams(spark, to, 2))
+    return lexicon.overlay(*tables, ["w1", "w2"])
+
+
+@query("SELECT DISTINCT lower(trim(nfc_normalize(w))) AS word FROM (SELECT unnest(regexp_split_to_array(text, '[\n\r]')) AS w FROM train) WHERE lower(trim(nfc_normalize(w))) <> ''")
+def lexicon_file(spark, folder):
+    to = shared_folder(spark, "lexicon-")
+    read(spark, folder, "train").where("text is not null").select(F.explode(F.split("text", "[\n\r]")).alias("value")).write.text(to)
+    return lexicon.lexicon_from_lines(spark.read.text(to))
+
+
+@query("SELECT count(*) AS n_texts, sum(length(t)) AS n_chars, count(DISTINCT t) AS n_distinct FROM (SELECT trim(regexp_replace(text, '[\n\r]', ' ', 'g')) AS t FROM train) WHERE t <> ''")
+def text_export(spark, folder):
+    to = shared_folder(spark, "texts-")
+    W.write_texts(read(spark, folder, "train").withColumn("text", F.regexp_replace("text", "[\n\r]", " ")), to)
+    return spark.read.text(to).agg(F.count("*").alias("n_texts"), F.sum(F.length("value")).alias("n_chars"), F.countDistinct("value").alias("n_distinct"))
+
+
+@query("SELECT split, count(*) AS n, count(DISTINCT sample_id) AS n_ids FROM train_annotation WHERE split IS NOT NULL GROUP BY split")
+def table_rebuild(spark, folder):
+    """A table written twice under one name, parted by split: the second takes the place of the first."""
+    to, t = shared_folder(spark, "table-"), read(spark, folder, "train_annotation").where("split is not null")
+    for rows in (t.unionAll(t), t):
+        W.write_table(rows, to, "split")
+    return spark.read.parquet(to).groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("sample_id").alias("n_ids"))
+
+
+@query("SELECT sample_id, upper(label) AS label FROM train_annotation")
+def rewrite_twice(spark, folder):
+    """A table derived from its unchanged source, twice: the same comes out."""
+    to, source = shared_folder(spark, "derived-"), read(spark, folder, "train_annotation").select("sample_id", "label")
+    for _ in range(2):
+        W.rewrite_from_source(lambda d: d.withColumn("label", F.upper("label")), source, to)
+    return spark.read.parquet(to)
+
+
+@query("SELECT ch, row_number() OVER (ORDER BY ch) AS position FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '(?s).')) AS ch FROM train) WHERE NOT regexp_matches(ch, '^\s$')")
+def dictionary_file(spark, folder):
+    """The characters by code point, as their file has them."""
+    to = shared_folder(spark, "characters-")
+    W.write_dictionary(D.char_dictionary(read(spark, folder, "train"), "text"), to)
+    whole = spark.read.text(to, wholetext=True).where("value <> ''")  # one file
+    return whole.select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("p", "ch")).select("ch", (F.col("p") + 1).cast("bigint").alias("position"))
+
+
+@query("SELECT * FROM (VALUES ('dpi', '300'), ('engine', 'dual'), ('lang', 'vi'), ('mode', 'fit_image'), ('title', 'Số')) t(name, value)")
+def option_files(spark, folder):
+    """Options of a file over defaults, with an old value renamed; broken and missing files give the defaults."""
+    import os
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as d:  # the driver's own
+        path = os.path.join(d, "options.json")
+        W.write_options(path, {"engine": "both", "dpi": 300, "title": "Số"})
+        got = R.read_options(path, {"engine": "paddle", "dpi": 200, "lang": "vi", "mode": "fit_image"}, {"engine": {"both": "dual"}})
+        assert R.read_options(os.path.join(d, "none.json"), {"a": 1}) == {"a": 1}
+    return spark.createDataFrame([(k, str(v)) for k, v in got.items()], "name string, value string")
+
+
+@query("SELECT 'second' AS found, TRUE AS none_large_enough")
+def model_files(spark, folder):
+    """The first model file that is there and large enough."""
+    import os
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as d:  # the driver's own
+        for name, size in (("first", 10), ("second", 2000), ("third", 3000)):
+            with open(os.path.join(d, name), "wb") as f:
+                f.write(b"x" * size)
+        paths = [os.path.join(d, n) for n in ("none", "first", "second", "third")]
+        found, none = R.first_existing(paths, 1000), R.first_existing(paths, 10_000)
+    return spark.createDataFrame([(os.path.basename(found), none is None)], "found string, none_large_enough boolean")
+
+
+def _image_files(spark: SparkSession, folder: str) -> str:
+    """A folder of portable images, twenty pages a file, and one that can't be read; every third file is named .ppm."""
+    to = shared_folder(spark, "images-")
+    pages_ = W.encode(_images(spark, folder), ["vec_id"], [lambda *_: 1 // 0, W.encode_portable])  # the first encoder fails
+    named = pages_.withColumn("f", F.floor(F.col("vec_id") / 20)).groupBy("f").agg(F.array_sort(F.collect_list(F.struct("vec_id", "encoded"))).alias("e"))
+    whole = named.select(
+        F.concat(F.lit("d/Page_"), "f", F.when(F.col("f") % 3 == 0, ".ppm").otherwise(".PGM")).alias("name"),
+        F.unhex(F.array_join(F.transform("e", lambda x: F.hex(x["encoded"])), "")).alias("data"),
+    )
+    broken = spark.createDataFrame([("d/page_x.pgm", bytearray(b"P5 nothing")), ("d/notes.txt", bytearray(b"x"))], "name string, data binary")
+    assert W.write_bytes(whole.unionAll(broken), "name", "data", W.file_writer(to)).where("error is not null").count() == 0
+    return to
+
+
+_FILES = "(SELECT vec_id // 20 AS f, 'Page_' || (vec_id // 20) || CASE WHEN (vec_id // 20) % 3 = 0 THEN '.ppm' ELSE '.PGM' END AS name FROM embeddings)"
+
+
+@query(f"SELECT name, row_number() OVER (ORDER BY f) AS ordinal FROM (SELECT DISTINCT f, name FROM {_FILES}) UNION ALL SELECT 'page_x.pgm', 1 + max(f) - min(f) + 1 FROM {_FILES}")
+def folder_scan(spark, folder):
+    """The images of a folder as people sort them; other files are left out."""
+    files = R.scan_folder(spark, _image_files(spark, folder)).select("path")
+    return pages.ordinals(files).select("name", F.col("ordinal").cast("bigint").alias("ordinal"))
+
+
+@query(f"SELECT name FROM (SELECT DISTINCT f, name FROM {_FILES}) ORDER BY f LIMIT 4")
+def first_files(spark, folder):
+    """The first part of a list that counts as large."""
+    return R.first_part(R.scan_folder(spark, _image_files(spark, folder)), large=5, first=4).select("name")
+
+
+@query(f"(SELECT name FROM (SELECT DISTINCT f, name FROM {_FILES} WHERE f % 3 = 0) ORDER BY f LIMIT 2) UNION ALL (SELECT name FROM (SELECT DISTINCT f, name FROM {_FILES} WHERE f % 3 <> 0) ORDER BY f LIMIT 2)")
+def sampled_files(spark, folder):
+    return R.sample_files(R.scan_folder(spark, _image_files(spark, folder)), ("ppm", "pgm"), 2).select("name")
+
+
+@query(f"SELECT name, row_number() OVER (ORDER BY f) AS place FROM (SELECT DISTINCT f, name FROM {_FILES} WHERE f IN (0, 2, 10, 11))")
+def file_list(spark, folder):
+    """Given files in natural order."""
+    named = R.scan_folder(spark, _image_files(spark, folder)).where("name rlike '_(0|2|10|11)[.]'").select("path")
+    paths = [r[0] for r in named.collect()]
+    listed = R.file_list(spark, paths).select("name", F.monotonically_increasing_id().alias("m"))
+    return pages.numbered(listed, ["m"], "place").select("name", "place")
+
+
+@query(
+    f"""SELECT 'Page_' || (vec_id // 20) AS stem, CAST(row_number() OVER (PARTITION BY vec_id // 20 ORDER BY vec_id) - 1 AS INTEGER) AS page_index, CAST(count(*) OVER (PARTITION BY vec_id // 20) AS INTEGER) AS total_pages,
+        array_to_string({_HEX.format(_PX)}, '') AS pixels, FALSE AS failed FROM embeddings UNION ALL SELECT 'page_x', 0, 0, NULL, TRUE"""
+)
+def page_decode(spark, folder):
+    """The pages of the files of a folder; a file that can't be read has no image but an error."""
+    files = R.scan_folder(spark, _image_files(spark, folder), content=True)
+    decoded = R.pages(files, R.decode_portable)
+    return decoded.select(T.stem_of_file("path").alias("stem"), "page_index", "total_pages", F.lower(F.hex("data")).alias("pixels"), F.col("error").isNotNull().alias("failed"))
+
+
+@query(
+    """SELECT file_path, count(*) AS n_pages, md5(string_agg(coalesce(layer, ''), '|' ORDER BY page_index, result_id)) AS layers
+    FROM (SELECT file_path, page_index, result_id, full_text AS layer FROM ocr_result WHERE file_path IS NOT NULL) GROUP BY file_path"""
+)
+def document_layers(spark, folder):
+    r = read(spark, folder, "ocr_result").where("file_path is not null").select("file_path", F.struct("page_index", "result_id").alias("o"), F.coalesce("full_text", F.lit("")).alias("layer"))
+    layers = W.document_layers(r, "file_path", "o", "layer")
+    return layers.select("file_path", F.size("layers").cast("bigint").alias("n_pages"), F.md5(F.array_join("layers", "|")).alias("layers"))
+
+
+@query("SELECT page_id, count(*) AS n_runs, md5(string_agg(text, chr(10) ORDER BY box_id, box_key)) AS texts FROM ocr_box WHERE trim(text) <> '' AND NOT regexp_matches(text, '^\s*$') GROUP BY page_id")
+def searchable_pdf(spark, folder):
+    """A PDF of each page with its texts over an image of one pixel, and what is read back from its bytes."""
+    b = read(spark, folder, "ocr_box").where("trim(text) <> '' and text rlike '\\\\S'").withColumn("g", G.page_geometry(F.col("img_w"), F.col("img_h"), F.lit("a4_portrait"), F.lit(300.0)))
+    c = F.col
+    at = G.text_position(c("x"), c("y"), c("w"), c("h"), c("img_w"), c("img_h"), c("g"))
+    run = F.struct("box_id", "box_key", F.struct("text", at["x"].alias("x"), at["baseline"].alias("baseline"), at["font_size"].alias("font_size")).alias("t"))
+    whole = b.groupBy("page_id").agg(F.min("g").alias("g"), F.array_sort(F.collect_list(run)).alias("r")).select(
+        "page_id", "g.*", F.lit(1).alias("width"), F.lit(1).alias("height"), F.lit(1).alias("channels"), F.unhex(F.lit("C8")).alias("data"), F.transform("r", lambda x: x["t"]).alias("texts"), F.lit(0).alias("o")
+    )
+
+    def texts(batches):
+        import pandas as pd
+
+        for batch in batches:
+            read_back = [[t for page in W.pdf_texts(bytes(p)) for t in page] for p in batch["pdf"]]
+            yield pd.DataFrame({"page_id": batch["page_id"], "texts": read_back})
+
+    back = W.pdf_documents(whole, "page_id", "o").mapInPandas(texts, "page_id bigint, texts array<string>")
+    return back.select("page_id", F.size("texts").cast("bigint").alias("n_runs"), F.md5(F.array_join("texts", "\n")).alias("texts"))
+
+
+@query(
+    f"""WITH p AS (SELECT vec_id, CAST(floor(list_avg(px)) AS BIGINT) AS m, list_min(px) AS low FROM (SELECT vec_id, {_PX} AS px FROM embeddings))
+    SELECT vec_id, 'số ' || m AS text, CASE WHEN low < 60 THEN 0.98 ELSE 0.8 END::DOUBLE AS conf, CASE WHEN low < 60 THEN 'cross_verified' ELSE 'vietocr' END AS winner FROM p"""
+)
 def recognize_dual(spark, folder):
     """Both recognisers over the images, with stand-ins that read the mean and the darkest pixel."""
 
@@ -628,11 +1018,11 @@ def stream_progress(spark, folder):
     stream = spark.readStream.schema(read(spark, folder, "events").schema).parquet(f"{folder}/events.parque[t]")
     failed = F.when(F.col("event_type") == "error", "x")
     df = S.progress(stream.withColumn("failed", failed), "ts", late="3650 days", failed="failed")
-    return S.run_once(df, f"progress_{abs(hash(folder)) % 10**8}", "complete", tempfile.mkdtemp(prefix="pagewright-"))
+    return S.run_once(df, "complete")
 
 
 @query("SELECT user_id, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def stream_latest(spark, folder):
     stream = spark.readStream.schema(read(spark, folder, "events").schema).parquet(f"{folder}/events.parque[t]")
     df = S.latest_results(stream.select("user_id", "event_id", "ts"), ["user_id"], "event_id")
-    return S.run_once(df, f"latest_{abs(hash(folder)) % 10**8}", "complete", tempfile.mkdtemp(prefix="pagewright-"))
+    return S.run_once(df, "complete")

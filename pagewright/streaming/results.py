@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..plans.persist import shared_folder
+
 
 def read_stream(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int = 16) -> DataFrame:
     """A stream of Parquet files as they arrive in a folder."""
@@ -33,8 +35,20 @@ def first_seen(stream: DataFrame, keys: list[str], time: str, late: str = "1 day
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def run_once(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """All that is there now, through the stream, into a table in memory: for tests and small results."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(df: DataFrame, mode: str) -> DataFrame:
+    """All that is there now, through the stream, as a table of files in the shared folder.
+
+    In complete mode each batch replaces the table, in append mode it is added; the driver holds no rows.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark, "stream-")
+    write = "overwrite" if mode == "complete" else "append"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode(write).parquet(f"{folder}/table")
+
+    query = df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    if query.lastProgress is None:  # nothing came
+        spark.createDataFrame([], df.schema).write.mode(write).parquet(f"{folder}/table")
+    return spark.read.schema(df.schema).parquet(f"{folder}/table")
