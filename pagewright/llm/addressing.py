@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -26,14 +27,17 @@ MAX_WORDS = 500_000
 _BREAK = re.compile(r"(?<=[^\W\d_])[-¬=‐]\n(?=[^\W\d_])")
 
 
-def joined(text: str) -> tuple[str, list[int]]:
+def joined(text: str) -> tuple[str, Sequence[int]]:
     """The text on one line, words broken across lines joined, and the place of each character in the original."""
+    if "\n" not in text:
+        return text, range(len(text))
+    breaks = [m for m in _BREAK.finditer(text) if text[m.end()].islower() or text[max(0, m.start() - 1)].isupper()]
+    if not breaks:
+        return text.replace("\n", " "), range(len(text))
     out: list[str] = []
     at: list[int] = []
     last = 0
-    for m in _BREAK.finditer(text):
-        if not text[m.end()].islower() and not text[max(0, m.start() - 1)].isupper():
-            continue
+    for m in breaks:
         out.append(text[last : m.start()])
         at.extend(range(last, m.start()))
         last = m.end()
@@ -66,6 +70,10 @@ _LONG = re.compile(
     r"(?P<digits>$^)?(?P<name>[a-z]+(?:\s+[a-z]+){0,3})(?=\s*(?:[,;–()]|\.(?!\w)|$)|\s+-\s)"
 )
 _BOUND = re.compile(r"\s*(?:[,;–()]|\.(?!\w)|$)|\s+-\s")
+_TWO = re.compile(r"(?P<province>$^)?(?P<district>$^)?(?P<ward>$^)?(?P<digits>$^)?(?P<name>[a-z]+\s+[a-z]+)(?![a-z])")
+_GAP, _DIGIT, _GROUP = re.compile(r"\s+"), re.compile(r"\d"), re.compile(r"\d{3}[\s.)]*$")
+_NUMBER_WORD, _NUMBERED = re.compile(r"(?:so nha|so|sn|lo|lot)\s+$"), re.compile(r"(?:phuong|p|quan|q)\b|[pq]\d")
+_DELIMITED_END, _COUNTRY_END = re.compile(rf"(?:{_DELIMITER})$"), re.compile(r"(?:viet nam|vn)$")
 _OPEN = re.compile(r"(?:^|[,;:(–]|\s-)\s*$")
 _COUNTRY = re.compile(r"(?:viet nam|vn)\b")
 _PART_END = re.compile(
@@ -134,9 +142,9 @@ def fold_places(text: str) -> str:
     return out if len(out) == len(text) else "".join((strip_marks(c) or c)[0] for c in text)
 
 
-def find_addresses(text: str, words: PlaceWords) -> list[Address]:
-    """The addresses in a one-line text in composed form, from left to right."""
-    folded = fold_places(text)
+def find_addresses(text: str, words: PlaceWords, folded: str | None = None) -> list[Address]:
+    """The addresses in a one-line text in composed form, from left to right; folded is that of fold_places(), if it is at hand."""
+    folded = fold_places(text) if folded is None else folded
     found: list[Address] = []
     at = 0
     while m := _ANCHOR.search(folded, at):
@@ -144,18 +152,18 @@ def find_addresses(text: str, words: PlaceWords) -> list[Address]:
         if not (m["sw"] or m["num"][0] in "sl" or words.is_street(m["street"])):
             continue
         # The last digits of a phone or identity number are a house number only if three words and a delimiter say so.
-        group = bool(re.search(r"\d{3}[\s.)]*$", folded[max(0, m.start() - 8) : m.start()]))
+        group = bool(_GROUP.search(folded[max(0, m.start() - 8) : m.start()]))
         for n, street, r, first in _streets(text, folded, m, words):
             if group and n != 3:
                 continue
-            named = bool(re.match(r"(?:so|sn|lo)", r["num"]))
+            named = r["num"].startswith(("so", "sn", "lo"))
             sure = words.is_street(first) if n == 3 else first in words.streets
             if not (sure or r["sw"] or named):
                 continue
             end = r.start("street") + len(street)
             a = Address(r.start(), end, _number(r["num"]), re.sub(r"\s+", " ", re.sub(r"\s*\.", ".", street)))
             # The number word may have been cut off by the pattern's leftmost digit; take it in.
-            w = re.search(r"(?:so nha|so|sn|lo|lot)\s+$", folded[max(0, a.start - 8) : a.start])
+            w = _NUMBER_WORD.search(folded[max(0, a.start - 8) : a.start])
             if w and not named:
                 a.start -= len(w[0])
             a.end = _parts_after(folded, end, a, words, not group)
@@ -227,7 +235,7 @@ def _next_part(s: str, at: int, words: PlaceWords) -> re.Match | None:
     """The part that begins behind a delimiter here."""
     if d := _DELIMITED.match(s, at):
         return next((m for m in _readings(s, d.end()) if _valid(m, words)), None)
-    gap = re.compile(r"\s+").match(s, at)
+    gap = _GAP.match(s, at)
     if gap and _level_follows(s, gap.end(), words):
         return next((m for m in _readings(s, gap.end()) if (m["province"] or m["district"] or m["ward"]) and _valid(m, words)), None)
     return None
@@ -278,7 +286,7 @@ def _readings(s: str, at: int):
         yield long
     if m := _PART.match(s, at):
         yield m
-    if m := re.compile(r"(?P<province>$^)?(?P<district>$^)?(?P<ward>$^)?(?P<digits>$^)?(?P<name>[a-z]+\s+[a-z]+)(?![a-z])").match(s, at):
+    if m := _TWO.match(s, at):
         yield m
     if size == 1:
         yield long
@@ -303,9 +311,9 @@ def _valid(m: re.Match, words: PlaceWords) -> bool:
 
 def _parts_before(s: str, at: int, a: Address, words: PlaceWords, text: str) -> int:
     before: list[re.Match] = []
-    while d := re.search(rf"(?:{_DELIMITER})$", s[:at]):
+    while d := _DELIMITED_END.search(s, max(0, at - 12), at):
         end = d.start()
-        if c := re.search(r"(?:viet nam|vn)$", s[:end]):
+        if c := _COUNTRY_END.search(s, max(0, end - 8), end):
             at = c.start()
             continue
         best = None
@@ -314,7 +322,7 @@ def _parts_before(s: str, at: int, a: Address, words: PlaceWords, text: str) ->
             for b in range(window, end):
                 if b and (s[b - 1].isalnum()):
                     continue
-                if any(x.isdigit() for x in s[b:end]) and not re.match(r"(?:phuong|p|quan|q)\b|[pq]\d", s[b:end]):
+                if _DIGIT.search(s, b, end) and not _NUMBERED.match(s, b, end):
                     continue
                 m = _PART.fullmatch(s, b, end)
                 if not (m and _valid(m, words)):

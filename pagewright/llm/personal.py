@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -119,6 +119,7 @@ _UPPER = "".join(c for c in map(chr, (*range(0x41, 0x250), *range(0x370, 0x590),
 #: Words written with capitals, parted by white space.
 _RUN = re.compile(rf"(?<![^\W\d_])[{_UPPER}][^\W\d_]*(?:\s+[{_UPPER}][^\W\d_]*)+")
 #: How what stands before a person may end.
+_HONORIFICS = frozenset({"ong", "ba", "anh", "chi", "mr", "ms", "mrs", "miss"})
 _BEFORE = (":", ".", "ong", "ba", "anh", "chi", "mr", "ms", "mrs", "miss")
 
 
@@ -135,6 +136,8 @@ def find_names(line: str, folded: str, taken: bytearray, names: Names, person: b
             tokens = [(x, y) for x, y in tokens if not any(taken[x:y])]
         every = [folded[x:y] for x, y in tokens]
         known = [w in names.words for w in every]
+        if sum(known) < 2 and not person and not folded[max(0, run.start() - 8) : run.start()].rstrip().endswith(_BEFORE) and _HONORIFICS.isdisjoint(every):
+            continue
         for k, (start, end) in enumerate(tokens[:-1]):
             before = folded[max(0, start - 32) : start].rstrip()
             labelled = (before.endswith(_BEFORE) and bool(_PERSON_LABEL.search(folded[max(0, start - 32) : start]))) or (person and not before and not line[:start].strip())
@@ -171,7 +174,7 @@ class Number:
     words: str
 
 
-_LETTERS = re.compile(r"[a-z]+")
+_LETTERS, _DIGIT = re.compile(r"[a-z]+"), re.compile(r"\d")
 
 
 def find_numbers(line: str, folded: str, field: str) -> list[Number]:
@@ -189,10 +192,10 @@ def find_numbers(line: str, folded: str, field: str) -> list[Number]:
             prior = "label" if likely else "none"
         found.append(Number(kind, start, end, shape, prior, words[-1], " ".join(words)))
 
-    if not any(c.isdigit() for c in line):
+    if not _DIGIT.search(line):
         return found
     for m in _ID12.finditer(line):
-        if sum(c.isdigit() for c in m[0]) == 12:
+        if len(m[0]) - len(_DIGIT.sub("", m[0])) == 12:
             put("id_number", m.start(), m.end(), "plain" if m[0].isdigit() else "grouped", True)
     for m in _ID_SHORT.finditer(line):
         put("id_number", m.start(), m.end(), "plain" if m[0].isalnum() else "grouped", field == "cccd")
@@ -212,14 +215,30 @@ def is_item(n: Number, contexts: dict[tuple[str, ...], bool]) -> bool:
     return contexts.get((*key, n.words), contexts.get((*key, n.word), n.prior == "label"))
 
 
-def find_items(text: str, names: Names, words: PlaceWords, field: str = "full_text", contexts: dict[tuple[str, ...], bool] | None = None) -> list[Item]:
-    """The personal items of a text; places are those of the text in composed form, from 0.
+@dataclass
+class Draft:
+    """What a text holds for sure, and the numbers that may be items; places are those of the text in composed form, from 0."""
+
+    items: list[Item]
+    numbers: list[Number]
+
+    def settled(self, contexts: dict[tuple[str, ...], bool]) -> list[Item]:
+        """The items, with the numbers that their contexts speak for; of numbers at one place the first."""
+        out = list(self.items)
+        for n in self.numbers:
+            if is_item(n, contexts) and all(n.end <= i.start or n.start >= i.end for i in out):
+                out.append(Item(n.start, n.end, n.kind))
+        return sorted(out, key=lambda i: i.start)
+
 
-    Null and blank texts have none. A field that holds one item as a whole has it even where its form is unknown, as
-    long as it holds a letter or digit of the right kind. contexts are those of learn_contexts().
+def draft(text: str, names: Names, words: PlaceWords, field: str = "full_text") -> Draft:
+    """Look for items in a text; null and blank texts have none.
+
+    A field that holds one item as a whole has it even where its form is unknown, as long as it holds a letter or digit of the right
+    kind; its numbers need no context.
     """
     if not text or not text.strip():
-        return []
+        return Draft([], [])
     line, at = joined(text)
     folded = fold_places(line)
     taken = bytearray(len(line) + 1)
@@ -233,12 +252,14 @@ def find_items(text: str, names: Names, words: PlaceWords, field: str = "full_te
     if "@" in line or "at" in folded:
         for m in _EMAIL.finditer(line):
             take(m.start(), m.end(), "email")
-    for a in find_addresses(line, words):
-        if not any(taken[a.start : a.end]):
-            take(a.start, a.end, "address")
-    for n in find_numbers(line, folded, field):
-        if is_item(n, contexts or {}):
-            take(n.start, n.end, n.kind)
+    for a in find_addresses(line, words, folded):
+        take(a.start, a.end, "address")
+    numbers = find_numbers(line, folded, field)
+    if field in WHOLE:
+        for n in numbers:
+            if is_item(n, {}):
+                take(n.start, n.end, n.kind)
+        numbers = []
     people = find_names(line, folded, taken, names, WHOLE.get(field) == "person")
     for x, y in people:  # a part of a value that may be a name as a whole must be known for certain
         if WHOLE.get(field) != "person" or names.disclosed(w := folded[x:y].split())[1] == len(w) >= 3:
@@ -258,7 +279,12 @@ def find_items(text: str, names: Names, words: PlaceWords, field: str = "full_te
             take(lead, len(line.rstrip()), kind)
         for x, y in people:
             take(x, y, "person")
-    return sorted(found, key=lambda i: i.start)
+    return Draft(found, [replace(n, start=at[n.start], end=at[n.end - 1] + 1) for n in numbers if not any(taken[n.start : n.end])])
+
+
+def find_items(text: str, names: Names, words: PlaceWords, field: str = "full_text", contexts: dict[tuple[str, ...], bool] | None = None) -> list[Item]:
+    """The personal items of a text; contexts are those of learn_contexts()."""
+    return draft(text, names, words, field).settled(contexts or {})
 
 
 def masked(text: str, items: list[Item]) -> str:
@@ -310,48 +336,57 @@ def _bounded(rows: DataFrame) -> list:
 
 #: Fields that hold protected numbers, by kind.
 _PROTECTED = {"sdt": "phone", "fax": "phone", "cccd": "id_number"}
+_LIKE_DIGITS = str.maketrans("oOlI", "0011")
 
 
 def _digits(text: str) -> str:
     return "".join(c for c in text.translate(_LIKE_DIGITS) if c.isdigit())[-9:]
 
 
-_LIKE_DIGITS = str.maketrans("oOlI", "0011")
+_ITEM = "array<struct<kind:string,start:int,end:int>>"
+_NUMBER = "array<struct<kind:string,start:int,end:int,shape:string,prior:string,word:string,words:string,hit:boolean>>"
 
 
-def learn_contexts(results: DataFrame, column: str = "extracted_fields", text: str = "full_text") -> dict[tuple[str, ...], bool]:
-    """(kind, shape, prior, words before) -> whether numbers there are items, for contexts that say other than the shorter one.
+def drafts(results: DataFrame, bits: list[dict[str, float]], words: PlaceWords, column: str = "extracted_fields", text: str = "full_text") -> DataFrame:
+    """(result_id, field_name, text, items, numbers) of every text and map value that holds text, the text in composed form.
 
-    Over all texts and values: of the candidates in a context, those that are the protected value of their record (hits) are counted. As
-    not every record holds what its text mentions, hits are set against the share of hits in contexts that have any.
+    A number is a hit if it is the protected value of its kind that its record holds. Null and blank values give no rows; a result
+    without a map has its text only.
     """
-    rows = results.select(text, F.coalesce(F.map_entries(column), F.array().cast("array<struct<key:string,value:string>>")).alias("e"))
+    shared = results.sparkSession.sparkContext.broadcast((bits, words.places, words.streets))
+    rows = results.where("result_id is not null").select("result_id", F.col(text).alias("t"), F.coalesce(F.map_entries(column), F.array().cast("array<struct<key:string,value:string>>")).alias("e"))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[tuple[str, ...], list[int]] = {}
-        for b in batches:
-            for t, entries in zip(b[text], b["e"], strict=True):
-                values = {e["key"]: e["value"] for e in entries if e["value"]}
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        b, places, streets = shared.value
+        names, known = Names(b), PlaceWords(places, streets)
+        for batch in batches:
+            out = []
+            for rid, t, entries in zip(batch["result_id"].tolist(), batch["t"].tolist(), batch["e"].tolist(), strict=True):
                 own: dict[str, set[str]] = {"phone": set(), "id_number": set()}
-                for k, kind in _PROTECTED.items():
-                    if k in values:
-                        own[kind].add(_digits(values[k]))
-                for field, v in (("full_text", t), *values.items()):
-                    if not v or field in WHOLE:
+                for e in entries:
+                    if e["value"] and (kind := _PROTECTED.get(e["key"])):
+                        own[kind].add(_digits(e["value"]))
+                for field, v in (("full_text", t), *((e["key"], e["value"]) for e in entries)):
+                    if not v or not v.strip():
                         continue
-                    line = joined(compose(v))[0]
-                    for n in find_numbers(line, fold_places(line), field):
-                        c = counts.setdefault((n.kind, n.shape, n.prior, n.word, n.words), [0, 0])
-                        c[0] += 1
-                        c[1] += _digits(line[n.start : n.end]) in own[n.kind]
-            if len(counts) > 100_000:
-                yield _frame(counts)
-                counts = {}
-        yield _frame(counts)
-
-    partial = rows.mapInPandas(count, "kind string, shape string, prior string, word string, words string, n bigint, hits bigint")
+                    c = compose(v)
+                    d = draft(c, names, known, field)
+                    numbers = [(n.kind, n.start, n.end, n.shape, n.prior, n.word, n.words, _digits(c[n.start : n.end]) in own[n.kind]) for n in d.numbers]
+                    out.append((rid, field, c, [(i.kind, i.start, i.end) for i in d.items], numbers))
+            yield pd.DataFrame(out, columns=["result_id", "field_name", "text", "items", "numbers"])
+
+    return rows.mapInPandas(run, f"result_id bigint, field_name string, text string, items {_ITEM}, numbers {_NUMBER}")
+
+
+def learn_contexts(drafted: DataFrame) -> dict[tuple[str, ...], bool]:
+    """(kind, shape, prior, words before) -> whether numbers there are items, for contexts that say other than the shorter one.
+
+    Over the drafts of all texts and values: the candidates in a context that are the protected value of their record (hits) are counted. As
+    not every record holds what its text mentions, hits are set against the share of hits in contexts that have any.
+    """
     key = ["kind", "shape", "prior"]
-    whole = cut(partial.groupBy(*key, "word", "words").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")))
+    numbers = drafted.select(F.explode("numbers").alias("x")).select("x.*")
+    whole = cut(numbers.groupBy(*key, "word", "words").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits")))
     short = whole.groupBy(*key, "word").agg(F.sum("n").alias("n1"), F.sum("hits").alias("h1"))
     held = F.broadcast(short.where("h1 > 0").groupBy("kind").agg((F.sum("h1") / F.sum("n1")).alias("held")))
     before = F.when(F.col("prior") == "label", LIKELY).otherwise(UNLIKELY)
@@ -362,38 +397,32 @@ def learn_contexts(results: DataFrame, column: str = "extracted_fields", text: s
     return {(r["kind"], r["shape"], r["prior"], r["context"]): r["item"] for r in _bounded(flips(short, "q1", "q0", "word").union(flips(long, "q2", "q1", "words")))}
 
 
-def _frame(counts: dict[tuple[str, ...], list[int]]) -> pd.DataFrame:
-    return pd.DataFrame([(*k, *v) for k, v in counts.items()], columns=["kind", "shape", "prior", "word", "words", "n", "hits"])
-
-
-def scan(results: DataFrame, bits: list[dict[str, float]], words: PlaceWords, contexts: dict[tuple[str, ...], bool] | None = None) -> DataFrame:
-    """(result_id, field_name, masked, items<kind, start_pos, end_pos>) of every text and map value that holds text.
+def settle(drafted: DataFrame, contexts: dict[tuple[str, ...], bool], texts: bool = True) -> DataFrame:
+    """(result_id, field_name, [masked,] items<kind, start_pos, end_pos>): drafts with their numbers judged by context.
 
-    start_pos counts characters from 1, end_pos is the last character. Null and blank values give no rows; a result without
-    a map has its full_text only.
+    start_pos counts characters from 1, end_pos is the last character.
     """
-    shared = results.sparkSession.sparkContext.broadcast((bits, words.places, words.streets, contexts or {}))
-    values = results.where("result_id is not null").select(
-        "result_id",
-        F.explode(
-            F.concat(
-                F.array(F.struct(F.lit("full_text").alias("key"), F.col("full_text").alias("value"))),
-                F.coalesce(F.map_entries("extracted_fields"), F.array().cast("array<struct<key:string,value:string>>")),
-            )
-        ).alias("e"),
-    )
-    values = values.select("result_id", F.col("e.key").alias("field_name"), F.col("e.value").alias("value")).where("value rlike '\\\\S'")
+    shared = drafted.sparkSession.sparkContext.broadcast(contexts)
+    columns = ["result_id", "field_name", *(["text"] if texts else []), "items", "numbers"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        b, places, streets, learned = shared.value
-        names, known = Names(b), PlaceWords(places, streets)
-        for batch in batches:
-            texts, items = [], []
-            for f, v in zip(batch["field_name"].tolist(), batch["value"].tolist(), strict=True):
-                c = compose(v)
-                found = find_items(c, names, known, f, learned)
-                texts.append(masked(c, found))
-                items.append([{"kind": i.kind, "start_pos": i.start + 1, "end_pos": i.end} for i in found])
-            yield pd.DataFrame({"result_id": batch["result_id"], "field_name": batch["field_name"], "masked": texts, "items": items})
-
-    return values.mapInPandas(run, "result_id bigint, field_name string, masked string, items array<struct<kind:string,start_pos:int,end_pos:int>>")
+        known = shared.value
+        for b in batches:
+            found = []
+            for items, numbers in zip(b["items"].tolist(), b["numbers"].tolist(), strict=True):
+                sure = [Item(i["start"], i["end"], i["kind"]) for i in items]
+                found.append(Draft(sure, [Number(*(n[c] for c in ("kind", "start", "end", "shape", "prior", "word", "words"))) for n in numbers]).settled(known))
+            out = b[["result_id", "field_name"]].copy()
+            if texts:
+                out["masked"] = [masked(t, f) for t, f in zip(b["text"].tolist(), found, strict=True)]
+            out["items"] = [[(i.kind, i.start + 1, i.end) for i in f] for f in found]
+            yield out
+
+    schema = f"result_id bigint, field_name string, {'masked string, ' if texts else ''}items array<struct<kind:string,start_pos:int,end_pos:int>>"
+    return drafted.select(*columns).mapInPandas(run, schema)
+
+
+def scan(results: DataFrame, bits: list[dict[str, float]], words: PlaceWords, texts: bool = True) -> DataFrame:
+    """Drafts of all texts and values, settled by the contexts learned from them; see drafts() and settle()."""
+    drafted = cut(drafts(results, bits, words))
+    return settle(drafted, learn_contexts(drafted), texts)

@@ -49,14 +49,18 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return places.pairs(_placed(spark, folder))
 
 
+def _personal(spark: SparkSession, folder: str, texts: bool) -> DataFrame:
+    results = _read(spark, folder, "ocr_result")
+    return personal.scan(results, personal.learn_names(results), _place_words(spark, folder), texts)
+
+
 def p3_masked(spark: SparkSession, folder: str) -> DataFrame:
     """Every text and map value with placeholders for its personal items, and the items."""
-    results = _read(spark, folder, "ocr_result")
-    return personal.scan(results, personal.learn_names(results), _place_words(spark, folder), personal.learn_contexts(results))
+    return _personal(spark, folder, True)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    items = p3_masked(spark, folder).select("result_id", "field_name", F.explode("items").alias("i"))
+    items = _personal(spark, folder, False).select("result_id", "field_name", F.explode("items").alias("i"))
     return items.select("result_id", "field_name", "i.kind", "i.start_pos").distinct()
 
 

@@ -57,11 +57,12 @@ def test_fields_of_codes_are_read_too():
 def test_contexts_are_learned_by_what_stands_beside_protected_numbers(spark):
     rows = [(k, f"xin goi 09510000{k:02d}, kho 09520000{k:02d}, ma 3954103{k:02d} va the 1954103{k:02d}", {"sdt": f"09510000{k:02d}", "cccd": f"1954103{k:02d}"}) for k in range(90)]
     df = spark.createDataFrame([*rows, (900, None, None), (901, "", {}), (902, "x", {"sdt": None})], "result_id bigint, full_text string, extracted_fields map<string,string>")
-    contexts = personal.learn_contexts(df)
+    drafted = personal.drafts(df, [{}] * 4, WORDS)
+    contexts = personal.learn_contexts(drafted)
     text = "xin gọi 0951999999, kho 0952888888, mã 395410399 và thẻ 195410399"
     got = [(i.kind, text[i.start : i.end]) for i in personal.find_items(text, NAMES, WORDS, "full_text", contexts)]
     assert got == [("phone", "0951999999"), ("id_number", "195410399")]
-    assert personal.learn_contexts(df.limit(0)) == {}
+    assert personal.learn_contexts(drafted.limit(0)) == {}
 
 
 def test_mask():
