@@ -16,6 +16,7 @@ holds more than PART texts of either side. Distinct texts are matched, not rows.
 
 from __future__ import annotations
 
+import string
 from collections import Counter
 from collections.abc import Iterator
 
@@ -110,11 +111,15 @@ class FullTextIndex:
             k = e
 
 
+#: Symbol of each byte: the end, the mark, letters, digits.
+_CODES = np.zeros(128, np.uint8)
+_CODES[1], _CODES[97:123], _CODES[48:58] = 1, np.arange(2, 28), np.arange(28, 38)
+
+
 def encode(label: str) -> np.ndarray:
     """Symbols of a folded label: its letters, then the mark, its digits in order, and the end."""
-    raw = np.frombuffer(label.encode("ascii"), np.uint8)
-    letters, digits = raw[raw >= 97] - 95, raw[raw < 97] - 20
-    return np.concatenate([letters, [1], digits, [0]]).astype(np.uint8)
+    letters, digits = _split(label)
+    return _CODES[np.frombuffer(f"{letters}\1{digits}\0".encode("ascii"), np.uint8)]
 
 
 def _cut(index: FullTextIndex, texts: list[np.ndarray], most: int) -> tuple[np.ndarray, ...]:
@@ -239,8 +244,12 @@ def spans(a: str, b: str, matches: list[tuple[int, int, int]]) -> tuple[int, int
     return total, sum(covered)
 
 
+_NO_DIGITS, _NO_LETTERS = str.maketrans("", "", string.digits), str.maketrans("", "", string.ascii_lowercase)
+
+
 def _split(label: str) -> tuple[str, str]:
-    return "".join(c for c in label if c > "9"), "".join(c for c in label if c <= "9")
+    """The letters and the digits of a folded label."""
+    return label.translate(_NO_DIGITS), label.translate(_NO_LETTERS)
 
 
 Match = tuple[str, str, int, int, int]
