@@ -258,7 +258,8 @@ def skew_angle(img: np.ndarray, most: float = 30.0) -> float:
         angle = weighted_median(found[:, 0], found[:, 1])
         angle = max(np.arange(angle - 0.4, angle + 0.45, 0.1), key=lambda a: _distinct(*np.nonzero(mask), a))
     else:
-        strips = [strip_angle(s) for s in np.array_split(small, 6)]
+        dark = small < box_blur(small, min(31, 2 * min(small.shape) - 1)) - 20
+        strips = [strip_angle(s) for s in np.array_split(dark, 6)]
         known = [a for a in strips if a is not None]
         if len(known) < LEAST_STRIPS:
             return 0.0
@@ -273,9 +274,9 @@ def _distinct(ys: np.ndarray, xs: np.ndarray, angle: float) -> float:
     return float((np.bincount(rows - rows.min()).astype(float) ** 2).sum())
 
 
-def strip_angle(light: np.ndarray, most: float = 25.0) -> float | None:
+def strip_angle(dark: np.ndarray, most: float = 25.0) -> float | None:
     """The angle that makes the rows of dark pixels of a strip most distinct; None for a strip without text."""
-    ys, xs = np.nonzero(light < light.mean() - 20)
+    ys, xs = np.nonzero(dark)
     if len(ys) < 50:
         return None
     best = max(np.arange(-most, most + 0.5, 0.5), key=lambda a: _distinct(ys, xs, a))
@@ -461,12 +462,11 @@ def corners_of_region(region: np.ndarray, width: int, height: int) -> np.ndarray
     if len(outline) < 4 or len(ys) < FILLED * polygon_area(outline):
         return None
     whole = polygon_area(outline)
-    four = simplified(outline, 4)
-    if polygon_area(four) >= 0.95 * whole and is_document(found := ordered(four), width, height):
-        return found
-    five = simplified(outline, 5)
-    if len(five) == 5 and polygon_area(five) >= 0.95 * whole and is_document(found := four_of_five(five), width, height):
-        return found
+    for kept in (0.985, 0.95):  # a corner cut off shows only where four corners must fit closely
+        for n, corners in ((4, ordered), (5, four_of_five)):
+            some = simplified(outline, n)
+            if len(some) == n and polygon_area(some) >= kept * whole and is_document(found := corners(some), width, height):
+                return found
     return None
 
 

@@ -44,11 +44,11 @@ def run_once(df: DataFrame, mode: str) -> DataFrame:
     folder = shared_folder(spark, "stream-")
     write = "overwrite" if mode == "complete" else "append"
 
+    spark.createDataFrame([], df.schema).write.parquet(f"{folder}/table")  # for streams without a batch
+
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode(write).parquet(f"{folder}/table")
 
     query = df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    if query.lastProgress is None:  # nothing came
-        spark.createDataFrame([], df.schema).write.mode(write).parquet(f"{folder}/table")
     return spark.read.schema(df.schema).parquet(f"{folder}/table")

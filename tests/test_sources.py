@@ -84,9 +84,8 @@ def test_recognition(spark):
     img = spark.createDataFrame([(1, 40, 30, 1, bytearray(b"\x50" * 1200))], "page int, width int, height int, channels int, data binary")
     boxes = models.detect(img, "page", lambda: lambda x: [[(5, 5), (25, 5), (25, 20), (5, 20)]])
     assert boxes.first()["box_id"] == 0
-    flat = boxes.select("page", "box_id", F.lit(5.0).alias("x"), F.lit(5.0).alias("y"), F.lit(20.0).alias("w"), F.lit(15.0).alias("h"))
-    crops = models.crops(img, flat, "page")
-    assert crops.first()["width"] == 28
+    crops = models.crops(img, boxes, "page")
+    assert (crops.first()["width"], crops.first()["height"]) == (28, 23)
     r = models.read_crops(crops, ["page", "box_id"], lambda: lambda x: ("số", 0.8), lambda: lambda x: ("so", 0.9)).first()
     assert r["winner"] == "cross_verified" and r["text"] == "số" and r["conf"] == 0.98
     with pytest.raises(ValueError):
@@ -97,5 +96,50 @@ def test_streams(spark, tmp_path):
     data = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1)], "k int, v string, n int")
     data.write.parquet(str(tmp_path / "in"))
     latest = S.latest_results(S.read_stream(spark, str(tmp_path / "in"), data.schema), ["k"], "n")
-    got = S.run_once(latest, "latest_test", "complete", str(tmp_path / "cp"))
+    got = S.run_once(latest, "complete")
     assert {(r["k"], r["v"]) for r in got.collect()} == {(1, "b"), (2, "c")}
+    assert S.run_once(S.read_stream(spark, str(tmp_path / "in"), data.schema), "append").count() == 3
+    (tmp_path / "none").mkdir()
+    assert S.run_once(S.read_stream(spark, str(tmp_path / "none"), data.schema), "append").count() == 0
+
+
+def test_reading_whole_pages(spark):
+    size = 60 * 40
+    rows = [(1, 60, 40, 1, bytearray(b"\x09" * size)), (2, 60, 40, 1, None), (3, 60, 40, 1, bytearray(b"\x07" * size)), (4, 60, 40, 1, bytearray(b"\x00" * size))]
+    images = spark.createDataFrame(rows, "page int, width int, height int, channels int, data binary")
+
+    def detector():
+        def find(img):
+            if img[0, 0] == 7:
+                raise RuntimeError("no boxes")
+            return [] if img[0, 0] == 0 else [[(30, 5), (50, 5), (50, 15), (30, 15)], [(5, 5), (25, 5), (25, 15), (5, 15)], [(5, 20), (50, 20), (50, 30), (5, 30)]]
+
+        return find
+
+    def reader():
+        return lambda x: (" " if x.shape[1] > 40 else f"so {x.shape[1]}", 0.6)
+
+    def corrected(t):
+        return t.withColumn("text", F.replace("text", F.lit("so"), F.lit("số")))
+
+    lexicon = spark.createDataFrame([("số",)], "word string")
+    got = {r["page"]: r for r in models.read_pages(images, "page", detector, reader, reader, "dual", corrected, lexicon).collect()}
+    assert got[1]["full_text"] == "số 28  số 28" and (got[1]["n_boxes"], got[1]["word_count"], got[1]["error"]) == (2, 4, None) and got[1]["confidence"] == 0.95
+    assert got[2]["error"] == "no image" and "no boxes" in got[3]["error"] and got[4]["full_text"] == "" and got[4]["error"] is None
+
+
+def test_pdf_bytes():
+    page = {"page_w": 595.28, "page_h": 841.89, "x": 20.0, "y": 30.0, "shown_w": 100.0, "shown_h": 50.0, "texts": [("Hóa đơn (số) 7", 20.0, 40.0, 9.0), (" ", 0.0, 0.0, 4.0), (None, 0.0, 0.0, 4.0)]}
+    pdf = sinks.searchable_pdf([{**page, "image": (2, 1, 1, b"\x00\xff")}, {**page, "image": (1, 1, 3, b"\x01\x02\x03"), "texts": []}])
+    assert sinks.pdf_texts(pdf) == [["Hóa đơn (số) 7"], []] and pdf.startswith(b"%PDF-") and pdf.endswith(b"%%EOF\n") and b"/Count 2" in pdf
+    table = int(pdf.rsplit(b"startxref\n", 1)[1].split()[0])
+    places = [int(line[:10]) for line in pdf[table:].split(b"\n")[3:] if line.endswith(b" n ")]
+    assert [pdf[at:].split()[0] for at in places] == [str(k).encode() for k in range(1, len(places) + 1)]
+
+
+def test_shared_folder(spark):
+    from pagewright.plans.persist import cut, shared_folder
+
+    assert shared_folder(spark) != shared_folder(spark)
+    df = cut(spark.range(10).select("id", F.array().cast("array<int>").alias("a"), F.lit(None).cast("string").alias("n")))
+    assert df.count() == 10 and df.columns == ["id", "a", "n"]
