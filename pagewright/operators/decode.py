@@ -11,6 +11,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,6 +38,7 @@ PHRASES = (
 )
 
 
+@lru_cache(200_000)
 def fold(text: str) -> str:
     """Without accents; đ becomes d."""
     return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn").replace("đ", "d").replace("Đ", "D")
@@ -76,9 +78,27 @@ def lint_rules(rules: list[tuple[str, str]]) -> list[str]:
     return out
 
 
-def apply_rules(text: str, rules: list[tuple[re.Pattern, str]]) -> str:
+#: A rule ready for use: pattern, replacement, and what the folded text must hold for the pattern to match (None if that isn't known).
+Rule = tuple[re.Pattern, str, str | None]
+
+
+def compiled(rules: list[tuple[str, str]] | None = None) -> list[Rule]:
+    """Rules ready for use; without any, those of the phrases, each of which is tried only where its letters stand."""
+    if rules is not None:
+        return [(re.compile(p, re.I), r, None) for p, r in rules]
+    return [(re.compile(p, re.I), r, _plain(r)) for p, r in phrase_rules()]
+
+
+def _plain(text: str) -> str:
+    return " ".join(fold(text).lower().split())
+
+
+def apply_rules(text: str, rules: list[Rule]) -> str:
     """Ordered rewriting; groups are expanded, a match in capitals gives capitals, a colon stays only if it was there."""
-    for pattern, replacement in rules:
+    plain = _plain(text)
+    for pattern, replacement, needed in rules:
+        if needed is not None and needed not in plain:
+            continue
 
         def put(m: re.Match, replacement: str = replacement) -> str:
             out = m.expand(replacement)
@@ -94,16 +114,20 @@ def rewrite(col: Column, rules: list[tuple[str, str]] | None = None) -> Column:
     """The text after ordered rules, in Arrow batches."""
     from pyspark.sql.functions import pandas_udf
 
-    own = rules if rules is not None else phrase_rules()
-
     @pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        compiled = [(re.compile(p, re.I), r) for p, r in own]
-        return s.map(lambda t: None if t is None else apply_rules(t, compiled))
+        own = compiled(rules)
+        return s.map(lambda t: None if t is None else apply_rules(t, own))
 
     return run(col)
 
 
+class Boosts(dict):
+    """Word -> boost of a text, by the scores of its domains; texts of equal scores share one."""
+
+    scores: tuple[float, ...] | None = None
+
+
 @dataclass
 class Model:
     """Lexicon and n-gram counts, ready to decode."""
@@ -112,6 +136,7 @@ class Model:
     bigrams: dict[tuple[str, str], int]
     trigrams: dict[tuple[str, str, str], int]
     loose: dict[str, list[str]] = field(default_factory=dict)
+    memo: dict[tuple, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         for w in self.words:
@@ -155,6 +180,18 @@ class Model:
         only = self.loose.get(fold(low), [])
         return _cased(token, only[0]) if len(only) == 1 else token
 
+    def _known(self, token: str, p2: str | None, p1: str | None, n1: str | None, n2: str | None, boosts: dict[str, float]) -> str:
+        """correct(), worked out once for each context and set of domain scores."""
+        scores = getattr(boosts, "scores", None)
+        if scores is None:
+            return self.correct(token, p2, p1, n1, n2, boosts)
+        key = token, p2, p1, n1, n2, scores
+        if key not in self.memo:
+            if len(self.memo) > 300_000:
+                self.memo.clear()
+            self.memo[key] = self.correct(token, p2, p1, n1, n2, boosts)
+        return self.memo[key]
+
     def decode(self, text: str, boosts: dict[str, float]) -> str:
         """A text from left to right; what was corrected is the context of what follows."""
         parts = [re.fullmatch(r"([(\[{\"']*)(.*?)([.,;:!?)'\"}\]]*)", t, re.S).groups() for t in text.split()]
@@ -163,7 +200,7 @@ class Model:
         for k, stem in enumerate(stems):
             p2, p1 = (done[k - 2] if k > 1 else None), (done[k - 1] if k else None)
             n1, n2 = (stems[k + 1] if k + 1 < len(stems) else None), (stems[k + 2] if k + 2 < len(stems) else None)
-            done.append(self.correct(stem, p2 or None, p1 or None, n1 or None, n2 or None, boosts))
+            done.append(self._known(stem, p2 or None, p1 or None, n1 or None, n2 or None, boosts))
         return " ".join(a + w + c for (a, _, c), w in zip(parts, done, strict=True))
 
 
@@ -182,14 +219,19 @@ def load_model(lex: DataFrame, bigrams: DataFrame, trigrams: DataFrame, most: in
     return Model(*out)
 
 
-def _boosts(text: str) -> dict[str, float]:
+def _boosts(text: str) -> Boosts:
     low = text.lower()
-    scores = {d: w * sum(k in low for k in keys) for d, (w, keys) in domains.DOMAINS.items()}
-    out: dict[str, float] = {}
-    for d, words in domains.DOMAIN_WORDS.items():
-        if scores[d] > 0:
+    return _boosts_of(tuple(w * sum(k in low for k in keywords) for w, keywords in domains.DOMAINS.values()))
+
+
+@lru_cache(10_000)
+def _boosts_of(scores: tuple[float, ...]) -> Boosts:
+    out = Boosts()
+    out.scores = scores
+    for score, words in zip(scores, (domains.DOMAIN_WORDS[d] for d in domains.DOMAINS), strict=True):
+        if score > 0:
             for w in words:
-                out[w] = max(out.get(w, 1.0), 1 + min(scores[d] * domains.BOOST_STEP, domains.BOOST_MOST))
+                out[w] = max(out.get(w, 1.0), 1 + min(score * domains.BOOST_STEP, domains.BOOST_MOST))
     return out
 
 
@@ -199,18 +241,17 @@ def correct(df: DataFrame, keys: list[str], model: Model, text: str = "text", ru
     Entities are put back last, so that no step changes them. Null stays null, blank text becomes empty.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    own = rules if rules is not None else phrase_rules()
     names = places or []
     shielded = df.select(*keys, entities.shield(text).alias("s"))
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        compiled = [(re.compile(p, re.I), r) for p, r in own]
+        own = compiled(rules)
         for b in batches:
             b = b.copy()
             b["t"] = [
-                None if t is None else snap_last(apply_rules(m.decode(unicodedata.normalize("NFC", t), _boosts(t)), compiled), names) for t in b["t"]
+                None if t is None else snap_last(apply_rules(m.decode(unicodedata.normalize("NFC", t), _boosts(t)), own), names) for t in b["t"]
             ]
             yield b
 

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
@@ -106,15 +108,51 @@ def test_correct(spark):
 
 
 def test_rules_expand_groups():
-    import re
-
-    rules = [(re.compile(r"\bso\s+(\d+)", re.I), r"Số \1"), (re.compile("tong cong:?", re.I), "Tổng cộng:")]
+    rules = decode.compiled([(r"\bso\s+(\d+)", r"Số \1"), ("tong cong:?", "Tổng cộng:")])
     assert decode.apply_rules("so 12 tong cong", rules) == "Số 12 Tổng cộng"
     assert decode.apply_rules("TONG CONG:", rules) == "TỔNG CỘNG:"
     assert decode.lint_rules([("(", "x"), ("a", "b"), ("a", r"\1"), ("", "x")])
     assert not decode.lint_rules(decode.phrase_rules())
 
 
+def test_gate_and_memo_change_nothing():
+    rng = random.Random(4)
+    words = "ghi chu Đơn gia THÀNH TIEN so luong tổng cong x phieu xuat kho kiêm  hoa don, nguoi nhan:".split(" ")
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 9))) for _ in range(300)]
+    assert [decode.apply_rules(t, decode.compiled()) for t in texts] == [decode.apply_rules(t, decode.compiled(decode.phrase_rules())) for t in texts]
+    m = model()
+    for t in texts:
+        assert m.decode(t, decode._boosts(t)) == m.decode(t, dict(decode._boosts(t)))
+
+
+def test_correction_against_all_readings():
+    """The chosen word is the one that scores best over all words of the lexicon and all forms of its neighbours, by the weights as stated."""
+    rng = random.Random(11)
+    lexicon_ = {w: rng.randint(1, 50) for w in ("hàng", "hang", "hạng", "kho", "khó", "khô", "xuất", "nhập", "nhấp", "đồng", "động", "dong")}
+    names = sorted(lexicon_)
+    b = {(rng.choice(names), rng.choice(names)): rng.randint(1, 200) for _ in range(60)}
+    t = {(rng.choice(names), rng.choice(names), rng.choice(names)): rng.randint(1, 200) for _ in range(60)}
+    m = decode.Model(lexicon_, b, t)
+    same = lambda w: [w, *(x for x in names if x != w and decode.fold(x) == decode.fold(w))]
+    for _ in range(400):
+        p2, p1, n1, n2 = (rng.choice([None, *names]) for _ in range(4))
+        token = decode.fold(rng.choice(names))
+        if not (p1 or n1):
+            continue
+
+        def score(w, p1=p1, n1=n1, p2=p2, n2=n2):
+            return max(1.5 * b.get((p, w), 0) + 1.2 * b.get((w, n), 0) + 2.5 * t.get((p2, p, w), 0) + 3.0 * t.get((p, w, n), 0) + 2.0 * t.get((w, n, n2), 0)
+                       for p in (same(p1) if p1 else [None]) for n in (same(n1) if n1 else [None]))
+
+        among = [w for w in names if w == token or decode.fold(w) in (token, token.replace("d", "đ"))]
+        best = min(among, key=lambda w: (-score(w), -lexicon_[w], w))
+        got = m.correct(token, p2, p1, n1, n2, {})
+        if score(best) > score(token):
+            assert got == best
+        else:
+            assert got == (token if token in lexicon_ else got)
+
+
 def test_place_ratio():
     assert decode.nearest_place("Ha Noi", ["Hà Nội", "Hà Nam"], 0.6) == "Hà Nội"
     assert decode.nearest_place("zzz", ["Hà Nội"]) is None
