@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import remove_accents
@@ -249,7 +249,7 @@ def draft(text: str, names: Names, words: PlaceWords, field: str = "full_text")
             taken[start:end] = b"\1" * (end - start)
             found.append(Item(at[start], at[end - 1] + 1, kind))
 
-    if "@" in line or "at" in folded:
+    if "@" in line or "[at]" in folded or "(at)" in folded:
         for m in _EMAIL.finditer(line):
             take(m.start(), m.end(), "email")
     for a in find_addresses(line, words, folded):
@@ -400,10 +400,11 @@ def learn_contexts(drafted: DataFrame) -> dict[tuple[str, ...], bool]:
 def settle(drafted: DataFrame, contexts: dict[tuple[str, ...], bool], texts: bool = True) -> DataFrame:
     """(result_id, field_name, [masked,] items<kind, start_pos, end_pos>): drafts with their numbers judged by context.
 
-    start_pos counts characters from 1, end_pos is the last character.
+    start_pos counts characters from 1, end_pos is the last character. Only drafts that hold numbers leave the JVM, without their texts'
+    being touched.
     """
     shared = drafted.sparkSession.sparkContext.broadcast(contexts)
-    columns = ["result_id", "field_name", *(["text"] if texts else []), "items", "numbers"]
+    columns = ["result_id", "field_name", *(["text"] if texts else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
@@ -412,14 +413,22 @@ def settle(drafted: DataFrame, contexts: dict[tuple[str, ...], bool], texts: boo
             for items, numbers in zip(b["items"].tolist(), b["numbers"].tolist(), strict=True):
                 sure = [Item(i["start"], i["end"], i["kind"]) for i in items]
                 found.append(Draft(sure, [Number(*(n[c] for c in ("kind", "start", "end", "shape", "prior", "word", "words"))) for n in numbers]).settled(known))
-            out = b[["result_id", "field_name"]].copy()
-            if texts:
-                out["masked"] = [masked(t, f) for t, f in zip(b["text"].tolist(), found, strict=True)]
-            out["items"] = [[(i.kind, i.start + 1, i.end) for i in f] for f in found]
-            yield out
-
-    schema = f"result_id bigint, field_name string, {'masked string, ' if texts else ''}items array<struct<kind:string,start_pos:int,end_pos:int>>"
-    return drafted.select(*columns).mapInPandas(run, schema)
+            yield b[columns].assign(items=[[(i.kind, i.start + 1, i.end) for i in f] for f in found])
+
+    schema = f"result_id bigint, field_name string, {'text string, ' if texts else ''}items array<struct<kind:string,start_pos:int,end_pos:int>>"
+    plain = F.transform("items", lambda i: F.struct(i["kind"].alias("kind"), (i["start"] + 1).alias("start_pos"), i["end"].alias("end_pos")))
+    ordered = F.array_sort(plain, lambda x, y: x["start_pos"] - y["start_pos"])
+    sure = drafted.where(F.size("numbers") == 0).select(*columns, ordered.alias("items"))
+    both = sure.union(drafted.where(F.size("numbers") > 0).select(*columns, "items", "numbers").mapInPandas(run, schema))
+    return both.select("result_id", "field_name", mask(F.col("text"), F.col("items")).alias("masked"), "items") if texts else both
+
+
+def mask(text: Column, items: Column) -> Column:
+    """masked() as an expression, of items<kind, start_pos, end_pos> in order."""
+    names = F.create_map(*[F.lit(x) for item in PLACEHOLDER.items() for x in item])
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    put = lambda a, i: F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, i["start_pos"] - a["at"] - 1), names[i["kind"]]).alias("out"), i["end_pos"].alias("at"))
+    return F.aggregate(items, start, put, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
 
 
 def scan(results: DataFrame, bits: list[dict[str, float]], words: PlaceWords, texts: bool = True) -> DataFrame:

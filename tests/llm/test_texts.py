@@ -76,12 +76,21 @@ def test_scan_defined_for_nulls(spark):
     rows = [(1, "Gọi 0217.3070.062", {"sdt": "0951 586 545", "ghi_chu": None}, "x"), (2, None, None, "x"), (3, "", {}, "x"), (None, "0217.3070.062", None, "x"), (1, "Gọi 0217.3070.062", None, "x"),
             (4, "chữ " * 20000 + "0217.3070.062", None, "x")]
     df = spark.createDataFrame(rows, "result_id bigint, full_text string, extracted_fields map<string,string>, kind string")
-    got = personal.scan(df, personal.learn_names(df), WORDS).select("result_id", "field_name", F.explode("items").alias("i")).select("result_id", "field_name", "i.kind", "i.start_pos")
-    rows = sorted(map(tuple, got.collect()))
-    assert rows == [(1, "full_text", "phone", 5), (1, "full_text", "phone", 5), (1, "sdt", "phone", 1), (4, "full_text", "phone", 80001)]
+    found = personal.scan(df, personal.learn_names(df), WORDS)
+    got = found.select("result_id", "field_name", F.explode("items").alias("i")).select("result_id", "field_name", "i.kind", "i.start_pos")
+    assert sorted(map(tuple, got.collect())) == [(1, "full_text", "phone", 5), (1, "full_text", "phone", 5), (1, "sdt", "phone", 1), (4, "full_text", "phone", 80001)]
+    assert {(r["result_id"], r["field_name"], r["masked"][-12:]) for r in found.collect()} == {(1, "full_text", "Gọi [PHONE]"), (1, "sdt", "[PHONE]"), (4, "full_text", " chữ [PHONE]")}
     assert personal.scan(df.limit(0), [{}, {}, {}], WORDS).count() == 0
 
 
+def test_mask_in_the_engine(spark):
+    text = "Gọi 😀 Sầm Xuân Lâm, số 0217.3070.062, rồi Cù Văn Bằng"
+    items = personal.find_items(text, NAMES, WORDS)
+    rows = [(text, [(i.kind, i.start + 1, i.end) for i in items]), ("x", []), ("", [])]
+    df = spark.createDataFrame(rows, "t string, i array<struct<kind:string,start_pos:int,end_pos:int>>")
+    assert [r[0] for r in df.select(personal.mask(F.col("t"), F.col("i"))).collect()] == [personal.masked(text, items), "x", ""] and len(items) == 3
+
+
 # --- scan noise
 
 
