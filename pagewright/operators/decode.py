@@ -1,7 +1,8 @@
 """Correction of text word by word in its context, by rules, and of place names; for text that a recogniser read.
 
 What depends on the word just corrected can't be a plain expression: a text is folded from left to right in an Arrow
-batch, with the lexicon and the n-grams broadcast. Their size is checked: build them with a least count.
+batch, with the lexicon and the n-grams broadcast. Their size is checked; beyond it, correct_by_joins() brings each text what it needs of
+them.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import typography
+from ..functions.text import peel, typography
+from ..plans.persist import cut
 from . import domains, entities, lexicon
 
 MAX_TABLE_ROWS = 5_000_000
@@ -209,12 +211,12 @@ def _cased(token: str, word: str) -> str:
 
 
 def load_model(lex: DataFrame, bigrams: DataFrame, trigrams: DataFrame, most: int = MAX_TABLE_ROWS) -> Model:
-    """Collect the tables after a check of their size; raise the least counts they were built with if it fails."""
+    """Collect the tables after a check of their size; where it fails, correct_by_joins() is the way."""
     out = []
     for t in (lex.select("word", "n"), bigrams.select("w1", "w2", "cnt"), trigrams.select("w1", "w2", "w3", "cnt")):
         rows = t.limit(most + 1).collect()
         if len(rows) > most:
-            raise ValueError(f"more than {most} rows; build the table with a higher least count")
+            raise ValueError(f"more than {most} rows; use correct_by_joins()")
         out.append({r[0] if len(r) == 2 else tuple(r[:-1]): r[-1] for r in rows})
     return Model(*out)
 
@@ -260,6 +262,54 @@ def correct(df: DataFrame, keys: list[str], model: Model, text: str = "text", ru
     return decoded.select(*keys, entities.unshield(typography("t"), F.coalesce("saved", F.array().cast("array<string>"))).alias("corrected"))
 
 
+def correct_by_joins(
+    df: DataFrame, keys: list[str], lex: DataFrame, bigrams: DataFrame, trigrams: DataFrame, text: str = "text", rules: list[tuple[str, str]] | None = None, places: list[str] | None = None
+) -> DataFrame:
+    """(keys..., corrected): as correct(), for tables too large to be sent to tasks. keys must identify a row.
+
+    Each text is joined with the words its tokens may stand for, and with the counts of the n-grams that these can form; with no more than those
+    it is decoded.
+    """
+    shielded = cut(df.select(*keys, entities.shield(text).alias("s")).select(*keys, F.col("s.shielded").alias("t"), F.col("s.saved").alias("saved")))
+    stems = F.transform(F.filter(F.split(F.col("t"), r"\s+"), lambda w: w != ""), lambda w: F.lower(peel(w)["stem"]))
+    toks = shielded.select(*keys, F.posexplode(stems).alias("pos", "token")).where("token <> ''")
+    own = toks.select("token").distinct()
+    may = cut(lexicon.candidates(own, lex).union(own.select("token", "token")).distinct())
+    forms = cut(toks.join(may, "token").select(*keys, "pos", F.col("candidate").alias("w")).distinct())
+
+    def counted(table: DataFrame, n: int) -> DataFrame:
+        """(keys..., entries<key, value>) of the n-grams of a table that the forms at neighbouring places make."""
+        rows = forms.select(*keys, F.col("pos").alias("p"), F.col("w").alias("w1"))
+        for k in range(1, n):
+            rows = rows.join(forms.select(*keys, (F.col("pos") - k).alias("p"), F.col("w").alias(f"w{k + 1}")), [*keys, "p"])
+        names = [f"w{k + 1}" for k in range(n)]
+        hits = rows.select(*keys, *names).distinct().join(table, names)
+        count = "n" if n == 1 else "cnt"
+        return hits.groupBy(*keys).agg(F.collect_list(F.struct(F.array(*names).alias("key"), F.col(count).alias("value"))).alias(f"e{n}"))
+
+    rows = shielded
+    for n, table in ((1, lex.select(F.col("word").alias("w1"), "n")), (2, bigrams), (3, trigrams)):
+        rows = rows.join(counted(table, n), keys, "left")
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    names = places or []
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = compiled(rules)
+        for b in batches:
+            out = []
+            for t, *tables in zip(b["t"], b["e1"], b["e2"], b["e3"], strict=True):
+                if t is None:
+                    out.append(None)
+                    continue
+                words, twos, threes = ({tuple(e["key"]): int(e["value"]) for e in (x if x is not None else ())} for x in tables)
+                m = Model({k[0]: n for k, n in words.items()}, twos, threes)
+                out.append(snap_last(apply_rules(m.decode(unicodedata.normalize("NFC", t), dict(_boosts(t))), own), names))
+            yield b[[*keys, "saved"]].assign(t=out)
+
+    decoded = rows.mapInPandas(run, f"{schema}, saved array<string>, t string")
+    return decoded.select(*keys, entities.unshield(typography("t"), F.coalesce("saved", F.array().cast("array<string>"))).alias("corrected"))
+
+
 def snap_last(text: str, places: list[str], least: float = 0.8) -> str:
     """The text with its part after the last comma replaced by the most similar place name, if similar enough; the first of equal ones."""
     head, comma, tail = text.rpartition(",")

@@ -153,6 +153,17 @@ def test_correction_against_all_readings():
             assert got == (token if token in lexicon_ else got)
 
 
+def test_correction_by_joins_gives_the_same(spark):
+    rng = random.Random(7)
+    words = "hàng hang kho khó xuất nhập đồng động dong, (Kho) HANG cl0ng giao a@b.test 12/3/2030 GIAO rno".split()
+    rows = [(k, "x", " ".join(rng.choice(words) for _ in range(rng.randint(0, 8)))) for k in range(60)] + [(90, "x", None), (91, "x", ""), (92, "x", "Kho hang, Ha Noi")]
+    df = spark.createDataFrame(rows, "id int, w string, text string")
+    lex, two, three = lexicon.lexicon(df), lexicon.ngrams(df, [], 2), lexicon.ngrams(df, [], 3)
+    want = {r["id"]: r["corrected"] for r in decode.correct(df, ["id"], decode.load_model(lex, two, three), places=["Hà Nội"]).collect()}
+    got = {r["id"]: r["corrected"] for r in decode.correct_by_joins(df, ["id"], lex, two, three, places=["Hà Nội"]).collect()}
+    assert got == want and len(got) == 63
+
+
 def test_place_ratio():
     assert decode.nearest_place("Ha Noi", ["Hà Nội", "Hà Nam"], 0.6) == "Hà Nội"
     assert decode.nearest_place("zzz", ["Hà Nội"]) is None
