@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str = "") -> str:
-    """A new folder below the one the cluster names in spark.checkpoint.dir; it goes when the application ends.
+    """A folder, not yet there, below the one the cluster names in spark.checkpoint.dir; it goes when the application ends.
 
     Where none is named, a temporary one will do on a local master, as in tests; on a cluster that is an error, as executors
     would write to disks of their own.
@@ -23,8 +23,10 @@ def shared_folder(spark: SparkSession, name: str = "") -> str:
         context.setCheckpointDir(base)
     folder = f"{base.rstrip('/')}/pagewright-{name}{uuid.uuid4().hex}"
     path = context._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return folder
+    system = path.getFileSystem(context._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)  # only what is there can be marked
+    return f"{folder}/data"
 
 
 def cut(df: DataFrame) -> DataFrame:
